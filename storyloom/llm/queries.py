@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, chat, decontaminate, neighbours, quality, sharding, sstable, urls
+from storyloom.llm import bpe, chat, decontaminate, jaccard, neighbours, quality, sharding, sstable, urls
 
 #: The rules of op7.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -36,6 +36,10 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -65,7 +69,7 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_byte_bpe, op4_neighbours, op6_quality, op7_url_filters, op8_decontamination, op9_chat, op10_sstable)
+    f.__name__: f for f in (op1_sharding, op2_byte_bpe, op4_neighbours, op5_jaccard, op6_quality, op7_url_filters, op8_decontamination, op9_chat, op10_sstable)
 }
 
 ORACLE_SQL: dict[str, str] = {
