@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, chat, decontaminate, jaccard, neighbours, quality, sharding, sstable, urls
+from storyloom.llm import bpe, chat, decontaminate, jaccard, lm, neighbours, quality, sharding, sstable, urls
 
 #: The rules of op7.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -32,6 +32,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"))
 
@@ -69,7 +73,7 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_byte_bpe, op4_neighbours, op5_jaccard, op6_quality, op7_url_filters, op8_decontamination, op9_chat, op10_sstable)
+    f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_suffix_tree, op4_neighbours, op5_jaccard, op6_quality, op7_url_filters, op8_decontamination, op9_chat, op10_sstable)
 }
 
 ORACLE_SQL: dict[str, str] = {
