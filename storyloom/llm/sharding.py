@@ -24,6 +24,8 @@ from storyloom.llm.common import cut
 
 ROUNDS = 6
 MOVE_BUCKETS = 256
+#: Share of a shard's quota that a large group counts on, as its parts differ in size.
+FILL = 0.85
 
 
 def _ranked(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
@@ -85,7 +87,7 @@ def _propagate(linked: DataFrame, sizes: DataFrame, quota: list[int], part: int,
         spread = linked.groupBy(*group, "shard").agg(F.count("*").alias("n"))
         ranked = spread.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("n", (-F.col("shard")).alias("s"))), asc=False).alias("best"))
         # The parts of a group take in turn the fullest of the shards that the group needs at least.
-        need = F.least(F.size("best"), F.ceil(F.col("copies") / max(1, quota[-1])).cast("int"))
+        need = F.least(F.size("best"), F.ceil(F.col("copies") / max(1.0, FILL * quota[-1])).cast("int"))
         parts = F.greatest(F.lit(1), F.when(F.col("copies") > part, F.ceil(F.col("copies") / part)).otherwise(1)).cast("int")
         target = (
             ranked.join(sizes, group)
