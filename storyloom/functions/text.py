@@ -48,7 +48,7 @@ def bullet_items(c: Column) -> Column:
 
 def clean_paragraph(c: Column) -> Column:
     """One paragraph: line ends stripped, hyphens joined, bullets parted or lines joined, spaces single."""
-    joined = join_hyphens(strip_line_ends(c))
+    joined = join_hyphens(strip_line_ends(F.regexp_replace(c, r"\n\z", "")))
     return single_spaces(F.coalesce(F.array_join(bullet_items(joined), "\n\n"), reflow(joined)))
 
 

@@ -35,8 +35,9 @@ def spans_of(chapters: DataFrame) -> DataFrame:
 
 def metric_lines(spark: SparkSession, path: str) -> DataFrame:
     """Vote metrics of JSON lines; blank and malformed lines are left out."""
-    rows = spark.read.schema(METRICS + ", _corrupt_record STRING").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
-    return rows.filter("_corrupt_record IS NULL").drop("_corrupt_record")
+    rows = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = rows.select(F.from_json("value", METRICS + ", _corrupt_record STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("m"))
+    return parsed.filter("m._corrupt_record IS NULL").select("m.*").drop("_corrupt_record")
 
 
 def votes_of(metrics: DataFrame) -> DataFrame:
