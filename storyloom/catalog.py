@@ -297,6 +297,43 @@ def roster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.merge_rosters(per)
 
 
+@query("SELECT doc_id, sha256(text) AS raw_sha256, len(list_filter(string_split_regex(text, '\\n\\s*\\n+'), lambda p: regexp_matches(p, '\\S')))::BIGINT AS block_count FROM documents")
+def document_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.document_meta(_docs(spark, sf_dir)).drop("clean_sha256")
+
+
+_DOUBLE, _SINGLE = "regexp_matches(para, '\"[^\"]+\"')", "regexp_matches(para, '(^|[^\\p{L}])''[^'']+''')"
+
+
+@query(f"SELECT chapter_index, para_index, CASE WHEN {_DOUBLE} OR {_SINGLE} THEN 'dialogue' ELSE 'narration' END AS kind, CASE WHEN {_DOUBLE} THEN 0.9 WHEN {_SINGLE} THEN 0.7 ELSE 0.6 END::DOUBLE AS confidence FROM {PARAS}")
+def dialogue_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paras(spark, sf_dir).withColumn("d", T.dialogue_pattern(F.col("para"))).select("chapter_index", "para_index", "d.kind", "d.confidence")
+
+
+@query(f"SELECT chapter_index, row_number() OVER (PARTITION BY chapter_index ORDER BY para_index) AS n, 'Narrator' AS speaker, trim(para) AS text FROM {PARAS} WHERE regexp_matches(para, '\\S')")
+def script_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.script_items(_paras(spark, sf_dir))
+
+
+@query(f"""
+WITH s AS (SELECT chapter_index, para_index FROM {PARAS} WHERE regexp_matches(para, '^\\s*<[^>]+>\\s*[.?!]?\\s*$')),
+g AS (SELECT *, sum(CASE WHEN para_index - p <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY chapter_index ORDER BY para_index) AS run FROM (SELECT *, lag(para_index) OVER (PARTITION BY chapter_index ORDER BY para_index) AS p FROM s))
+SELECT chapter_index, min(para_index) AS first, max(para_index) AS last, count(*) AS lines FROM (SELECT *, (row_number() OVER (PARTITION BY chapter_index, run ORDER BY para_index) - 1) // 12 AS part FROM g) GROUP BY chapter_index, run, part""")
+def system_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.system_groups(spans.normalize(_paras(spark, sf_dir)).withColumnRenamed("para_index", "line_no"))
+
+
+@query()
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.similar_names(V.view(spark, sf_dir, V.MENTIONS).select(F.col("mention").alias("name")))
+
+
+@query()
+def roster_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = V.view(spark, sf_dir, V.MENTIONS).select(F.col("mention").alias("name"))
+    return attribution.closest_in_roster(names, _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("rank"), F.concat(F.lit("Customer#"), F.lpad(F.col("n_nationkey").cast("string"), 9, "0")).alias("name")))
+
+
 # --- aliases ---
 
 _KEY = "trim(regexp_replace(CASE WHEN starts_with(lower(trim({0})), 'i ') THEN substr(lower(trim({0})), 3) ELSE lower(trim({0})) END, '[^a-z0-9]+', ' ', 'g'))"

@@ -154,3 +154,17 @@ def dialogue_pattern(c: Column) -> Column:
     """(kind, confidence) of a line by its quotes: straight double 0.9, single 0.7, curly 0.9, none narration 0.6."""
     kind = lambda k, p: F.struct(F.lit(k).alias("kind"), F.lit(p).alias("confidence"))
     return F.when(F.rlike(c, F.lit('"[^"]+"')), kind("dialogue", 0.9)).when(F.rlike(c, F.lit("[“][^”]+[”]")), kind("dialogue", 0.9)).when(F.rlike(c, F.lit(r"(?<!\p{L})'[^']+'")), kind("dialogue", 0.7)).otherwise(kind("narration", 0.6))
+
+
+def display_title(c: Column) -> Column:
+    """Words with a capital first letter."""
+    return F.initcap(c)
+
+
+def speaker_prompt(names: Column, kind: Column, left: Column, mid: Column, right: Column) -> Column:
+    """What a model is asked about a span: the roster in order, the kind, and the text around."""
+    roster = F.when(F.size(names) > 0, F.array_join(F.array_sort(names), ", ")).otherwise(F.lit("[]"))
+    lines = [F.lit("ROSTER: "), roster, F.lit("\nSPAN_TYPE: "), kind, F.lit("\nLEFT: "), left, F.lit("\nSPAN: "), mid, F.lit("\nRIGHT: "), right]
+    # Fixed value: the instruction's wording.
+    ask = "\n\nChoose the SPEAKER from ROSTER or 'Unknown'. Return JSON: {\"speaker\": <string>, \"confidence\": <0..1>}."
+    return F.concat(*lines, F.lit(ask))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,3 +110,33 @@ def merge_rosters(rosters: DataFrame) -> DataFrame:
     of = named.withColumnRenamed("node", "canonical").join(first, "canonical")
     head = of.groupBy("root").agg(F.min_by("canonical", F.struct("first", "canonical")).alias("name"))
     return of.join(head, "root").join(both, "canonical").groupBy("name").agg(F.array_sort(F.collect_set("shared")).alias("aliases")).select(F.col("name").alias("canonical"), F.array_join("aliases", "|").alias("aliases"))
+
+
+def similar_names(names: DataFrame, share: float = 0.90) -> DataFrame:
+    """(name, canonical): names joined, directly or by others, whose edits are few for their length: 2 x distance is at
+    most (1 - share) x their total length. The longest of a group, then the first, is canonical."""
+    from storyloom.operators.aliases import edit_candidates
+    from storyloom.operators.graph import components
+
+    own = names.select("name").distinct().withColumn("k", T.name_key(F.col("name")))
+    near = edit_candidates(own.select(F.col("k").alias("normalized")), own.select(F.col("k").alias("canonical")))
+    close = near.withColumn("c", F.col("canonical")).filter(2 * F.levenshtein("normalized", "c") <= (1 - share) * (F.length("normalized") + F.length("c")))
+    tiles = close.select(F.struct("normalized", "c").alias("tile"), F.explode(F.array("normalized", "c")).alias("node"))
+    grouped = own.join(components(tiles).withColumnRenamed("node", "k"), "k")
+    head = grouped.groupBy("root").agg(F.min_by("name", F.struct(-F.length("name"), F.col("name"))).alias("canonical"))
+    return grouped.join(head, "root").select("name", "canonical")
+
+
+def closest_in_roster(names: DataFrame, roster: DataFrame, share: float = 0.92) -> DataFrame:
+    """(name, canonical): the roster entry (rank, name) of least rank whose matching-blocks ratio with a name reaches share.
+
+    Only names that share a first letter, in any case, are compared, in Arrow batches."""
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+
+    left = names.select("name").distinct().withColumn("low", F.lower("name")).withColumn("initial", F.substring("low", 1, 1))
+    right = roster.select("rank", F.col("name").alias("canonical"), F.lower("name").alias("other")).withColumn("initial", F.substring("other", 1, 1))
+    lengths = 2 * F.least(F.length("low"), F.length("other")) >= share * (F.length("low") + F.length("other"))
+    pairs = left.join(right, "initial").filter(lengths).withColumn("ratio", ratio(F.col("low"), F.col("other"))).filter(F.col("ratio") >= share)
+    return left.select("name").join(pairs.groupBy("name").agg(F.min_by("canonical", "rank").alias("canonical")), "name", "left")

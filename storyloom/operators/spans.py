@@ -119,3 +119,23 @@ def neighbours(found: DataFrame) -> DataFrame:
     """Adds type and bounds of the spans before and after."""
     order = Window.partitionBy("chapter_index").orderBy("start", "end", "id")
     return found.select("chapter_index", "id", "type", F.lag("type").over(order).alias("prev_type"), F.lag("end").over(order).alias("prev_end"), F.lead("type").over(order).alias("next_type"), F.lead("start").over(order).alias("next_start"))
+
+
+def script_items(paras: DataFrame) -> DataFrame:
+    """(chapter_index, n, speaker, text): paragraphs that are not blank, as lines for one narrator."""
+    order = Window.partitionBy("chapter_index").orderBy("para_index")
+    kept = paras.filter(F.rlike("para", F.lit(r"\S")))
+    return kept.select("chapter_index", F.row_number().over(order).cast("long").alias("n"), F.lit("Narrator").alias("speaker"), F.trim("para").alias("text"))
+
+
+def system_groups(tagged: DataFrame, gap: int = 1, most: int = 12) -> DataFrame:
+    """(chapter_index, first, last, lines): runs of angle-token lines (chapter_index, line_no, line_tag) with at most gap other
+    lines between, cut after most lines."""
+    order = Window.partitionBy("chapter_index").orderBy("line_no")
+    rows = tagged.filter("line_tag = 'SystemAngle'")
+    opens = F.coalesce(F.col("line_no") - F.lag("line_no").over(order) > gap + 1, F.lit(True))
+    rows = rows.withColumn("opens", opens.cast("int"))
+    rows = rows.withColumn("run", F.sum("opens").over(order))
+    place = F.row_number().over(Window.partitionBy("chapter_index", "run").orderBy("line_no")) - 1
+    rows = rows.withColumn("part", F.floor(place / most))
+    return rows.groupBy("chapter_index", "run", "part").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.count("*").alias("lines")).drop("run", "part")

@@ -90,3 +90,54 @@ def test_streams(spark, tmp_path, sf_dir):
     q = metrics.windowed_counts(spark.readStream.schema(events.schema).parquet(source)).writeStream.outputMode("complete").format("memory").queryName("windowed").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("SELECT sum(n) FROM windowed").first()[0] == 200
+
+
+def test_profiles(spark, tmp_path):
+    from storyloom.operators import casting
+    from storyloom.sources import profiles
+
+    config = {"defaults": {"engine": "piper", "narrator_voice": "n1", "style": {"pace": 0.9}}, "voices": {"piper": ["n1", "q1"]}, "speakers": {"Quinn": {"voice": "q1", "aliases": ["the  Ghoul"], "style": {"energy": 0.5}}, "Narrator": None}}
+    p = tmp_path / "p.json"
+    p.write_text(json.dumps(config))
+    t = profiles.profile_tables(spark, profiles.mapping(str(p)))
+    assert [tuple(r)[1:6] for r in t["profiles"].orderBy("rank").collect()] == [("Quinn", "piper", "q1", 0.9, 0.5), ("Narrator", "piper", "n1", 0.9, 1.0)]
+    who = spark.createDataFrame([("THE ghoul",), ("system",), ("Zed",)], "speaker string")
+    got = {r["speaker"]: (r["voice"], r["reason"]) for r in casting.pick_voice(who, t["profiles"], t["aliases"], t["voices"], t["fallback"], "piper").collect()}
+    assert got == {"THE ghoul": ("q1", "alias"), "system": ("n1", "narrator-fallback"), "Zed": ("n1", "default")}
+    profiles.save_profiles(t, str(tmp_path / "out.json"))
+    assert json.loads((tmp_path / "out.json").read_text())["speakers"]["Quinn"]["aliases"] == ["the Ghoul"]
+    assert profiles.chapters_in("1, 5-3,x,7-") == [1, 3, 4, 5] and profiles.chapters_in(None) == []
+    with pytest.raises(ValueError, match="author, cover"):
+        profiles.book({"title": "T"})
+
+
+def test_waves(spark, tmp_path):
+    import struct
+    import wave
+
+    from storyloom.operators.quality_control import signal_stats
+    from storyloom.sources.audio import waves
+
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setparams((2, 2, 100, 0, "NONE", ""))
+        w.writeframes(struct.pack("<4h", 16384, 16384, -8192, -8192))
+    row = waves(spark, str(tmp_path / "a.wav")).first()
+    assert (row["rate"], row["duration_s"], list(row["samples"])) == (100, 0.02, [0.5, -0.25])
+    assert signal_stats(waves(spark, str(tmp_path / "a.wav")).withColumnRenamed("path", "key")).first()["peak"] == 0.5
+
+
+def test_prompt(spark):
+    from storyloom.functions.text import speaker_prompt
+
+    c = [F.lit(x) for x in ("Dialogue", "l", "m", "r")]
+    got = spark.range(1).select(speaker_prompt(F.array(F.lit("B"), F.lit("A")), *c).alias("p")).first()["p"]
+    assert got.startswith("ROSTER: A, B\nSPAN_TYPE: Dialogue\nLEFT: l\nSPAN: m\nRIGHT: r\n\n")
+
+
+def test_closest_in_roster(spark):
+    from storyloom.operators.attribution import closest_in_roster, similar_names
+
+    names = spark.createDataFrame([("Alexanders",), ("zed",), ("alexander",)], "name string")
+    roster = spark.createDataFrame([(2, "Alexandar"), (1, "Alexander")], "rank int, name string")
+    assert {r["name"]: r["canonical"] for r in closest_in_roster(names, roster).collect()} == {"Alexanders": "Alexander", "alexander": "Alexander", "zed": None}
+    assert {r["name"]: r["canonical"] for r in similar_names(names).collect()} == {"Alexanders": "Alexanders", "alexander": "Alexanders", "zed": "zed"}
