@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from storyloom.storage import cut, shared_dir
 
 #: Bytes of text that one NumPy pass holds; a longer single text is one pass of its own.
 CHUNK_BYTES = 2 << 20
@@ -34,25 +35,6 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(target))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        import tempfile
-
-        path = "file://" + tempfile.mkdtemp(prefix="storyloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def cut(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/storyloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def strings(column: pa.Array) -> pa.LargeStringArray:
     """One contiguous large-string array, nulls as empty."""
     if isinstance(column, pa.ChunkedArray):
