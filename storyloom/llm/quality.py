@@ -29,7 +29,8 @@ from storyloom.llm.common import ALNUM, passes, raw, ship, strings, words
 SAMPLE = 20_000
 BITS = 18
 LIMIT = 0.5
-EPOCHS, STEP, ALPHA, L1, L2 = 12, 128, 0.08, 0.6, 0.5
+#: L1 grows with the root of the training documents, as the gradients of weights without effect do.
+EPOCHS, STEP, ALPHA, L1, L2 = 12, 128, 0.2, 1 / 6, 0.5
 _BANDS = 16
 
 
@@ -72,9 +73,12 @@ def features(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     n_words = np.diff(first)
     distinct = np.bincount(own, minlength=n)
     extra.append(1 - distinct / np.maximum(n_words, 1))
-    bands = [(np.minimum(_BANDS - 1, np.sqrt(x) * _BANDS).astype(np.int64) + _BANDS * k) * 2654435761 % (1 << BITS) for k, x in enumerate(extra)]
-    own = np.concatenate([own, *[np.arange(n)] * len(bands)])
-    slot = np.concatenate([slot, *bands])
+    for k, x in enumerate(extra):  # a share has the features of all bands up to its own
+        band = np.minimum(_BANDS - 1, np.sqrt(x) * _BANDS).astype(np.int64)
+        level = np.arange(band.sum()) - np.repeat(np.cumsum(band) - band, band)
+        own = np.concatenate([own, np.repeat(np.arange(n), band)])
+        slot = np.concatenate([slot, (level + 1 + _BANDS * k) * 2654435761 % (1 << BITS)])
+    own, slot = np.concatenate([own, np.arange(n)]), np.concatenate([slot, np.zeros(n, np.int64)])
     order = np.argsort(own, kind="stable")
     return slot[order], np.searchsorted(own[order], np.arange(n + 1))
 
@@ -83,7 +87,7 @@ def fit_arrays(slots: np.ndarray, bounds: np.ndarray, grades: np.ndarray) -> Mod
     """Fit on texts given by their features."""
     size, n = 1 << BITS, len(grades)
     z, squares, w = np.zeros(size), np.zeros(size), np.zeros(size)
-    low, gap = -1.0, np.log(1.0)
+    l1 = L1 * np.sqrt(n)
     share = np.bincount(grades, minlength=3) / n
     below = np.clip(np.cumsum(share)[:2], 1e-4, 1 - 1e-4)
     cuts = np.log(below / (1 - below))
@@ -108,7 +112,7 @@ def fit_arrays(slots: np.ndarray, bounds: np.ndarray, grades: np.ndarray) -> Mod
             d = squares[own]
             squares[own] = new = d + g * g
             z[own] += g - (np.sqrt(new) - np.sqrt(d)) / ALPHA * w[own]
-            w[own] = np.where(np.abs(z[own]) <= L1, 0, -(z[own] - np.sign(z[own]) * L1) / ((1 + np.sqrt(new)) / ALPHA + L2))
+            w[own] = np.where(np.abs(z[own]) <= l1, 0, -(z[own] - np.sign(z[own]) * l1) / ((1 + np.sqrt(new)) / ALPHA + L2))
             d_up, d_down = up * (1 - up) / p, down * (1 - down) / p
             at_low = np.where(y == 0, -d_up, np.where(y == 1, d_down, 0)).sum()
             at_high = np.where(y == 1, -d_up, np.where(y == 2, d_down, 0)).sum()
