@@ -129,13 +129,13 @@ def test_jaccard(spark, block):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows)
 
 
-def test_jaccard_frequent_shingles(spark):
+def test_jaccard_common_shingles(spark):
     rows = [(k, " ".join(f"w{(k * j) % 37}" for j in range(40))) for k in range(30)] + [(100 + k, " ".join(f"s{j}" for j in range(50)) + f" e{k}") for k in range(30)]
-    old, jaccard.FREQUENT = jaccard.FREQUENT, 0
+    old, jaccard.HELD = jaccard.HELD, 50
     try:
         got = jaccard.join(frame(spark, rows)).collect()
     finally:
-        jaccard.FREQUENT = old
+        jaccard.HELD = old
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows)
 
 
