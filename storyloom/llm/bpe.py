@@ -28,7 +28,7 @@ from storyloom.llm.common import gather, passes, raw, runs, ship, strings
 #: Splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Cached strings of a worker, and distinct words of one recursive query.
-CACHE, BATCH = 400_000, 20_000
+CACHE, BATCH = 200_000, 10_000
 #: Longer words (in bytes) are contracted by a linked list and a heap, by the same rule: the rows of all steps
 #: of the recursive query grow with the square of a word's length.
 LONG = 128
