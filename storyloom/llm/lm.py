@@ -1,21 +1,17 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Symbols are the training words, one end, and one unknown symbol for all other words. Contexts are the last one to
-``DEPTH`` words. A context's entry (context, next word) is a candidate if it occurs ``SHARE`` x training tokens times,
-twice at least. It is kept if the word is ``RATIO`` times as likely after the context as after the context's suffix,
+``DEPTH`` words. A context's entry (context, next word) is a candidate if it occurs ``LEAST`` times, whatever the size
+of the corpus. It is kept if the word is ``RATIO`` times as likely after the context as after the context's suffix,
 and the context is kept if its entries gain ``GAIN`` nats of likelihood over the suffix, each occurrence left out of
 its own estimate. Distributions are smoothed by absolute discounting: what a context's kept entries don't claim goes
 to its suffix's distribution, and the root's discounts go to the unknown symbol, so every state's distribution sums
 to 1. A word is scored by the longest kept suffix of what stands before it in its text.
 
-At most 1 / SHARE entries of a length are candidates, so the tree is bounded whatever the corpus, and is broadcast.
-Candidates come from a count sketch of all n-grams of all training texts, of fixed width (its error is in proportion
-to the corpus, as is the limit); those that it lets through are then counted exactly over all training texts.
-
-The corpus counts of all words, for the base score and the root, are not broadcast. Blocks of texts send their
-distinct words with counts to ranges of the hash space, the sums come back to each block, and the block's texts, kept
-as postings meanwhile, are scored: a frequent word is one entry per block, however many texts hold it. Words are told
-apart by 64-bit hashes.
+The tree grows with the corpus and is a table, never broadcast or collected. Blocks of training texts send their
+n-grams with counts to ranges of the hash space, as many as the text's size asks for; the sums are joined level by
+level. To be scored, blocks send their words and n-grams to such ranges, word counts and the part of the tree that
+each block touches come back, and the block's texts, kept meanwhile, are scored. Words are told apart by 64-bit hashes.
 
 Defined results: a null or empty text has one token, its end; a null doc_id counts as an empty text for the
 split; repeated rows each count and are each scored; an empty table gives no rows; without training texts every word
@@ -24,22 +20,21 @@ is unknown and the model is sure of that. Further columns are not read.
 
 from __future__ import annotations
 
-import zlib
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import SPACED, cut, mix, passes, raw, ship, strings, words
 
 DEPTH = 2
-SHARE, RATIO, GAIN, DISCOUNT = 2e-6, 1.5, 10.0, 0.75
+LEAST, RATIO, GAIN, DISCOUNT = 2, 1.5, 10.0, 0.75
 END_WORD = np.uint64(0x5851F42D4C957F2D)
-WIDTH_BITS, SLICE_BITS, SIEVE_BITS = 22, 16, 22
-BLOCK_BYTES = 8 << 20
-HELD = 500_000
+SIEVE_BITS = 22
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -66,22 +61,15 @@ def grams(t: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     out = [mix(t)]
     for k in range(1, DEPTH + 1):
         own = np.zeros(len(t), np.uint64)
-        if len(t) > k:
-            own[k:] = mix(_chain(t, k))
+        own[1:] = _joint(out[-1][:-1], out[-1][1:], k)
         own[place < k] = 0
         out.append(own)
     return out
 
 
-def _chain(t: np.ndarray, k: int) -> np.ndarray:
-    out = np.zeros(len(t) - k, np.uint64)
-    for j in range(k + 1):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + mix(t[j : j + len(out)])
-    return out + np.uint64(k)
-
-
-def _slot(g: np.ndarray, k: int) -> np.ndarray:
-    return (mix(g + np.uint64(k)) >> np.uint64(64 - WIDTH_BITS)).astype(np.int64)
+def _joint(context: np.ndarray, suffix: np.ndarray, k: int) -> np.ndarray:
+    """The hash of an n-gram from those of its context (all but the last word) and its suffix (all but the first)."""
+    return mix(context * np.uint64(0xD6E8FEB86659FD93) + suffix + np.uint64(k))
 
 
 def _passes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -90,67 +78,58 @@ def _passes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         yield x, y, *tokens(body[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
 
 
-def _sketch(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Training tokens, and counters over all n-grams."""
+def _buckets(docs: DataFrame) -> int:
+    """Ranges of the hash space: one for BUCKET_BYTES of text, so that a range's share stays as large at every size."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
-        sketch, n = np.zeros(1 << WIDTH_BITS, np.uint32), 0
-        for batch in batches:
-            for _, _, t, at in _passes(strings(batch.column(0))):
-                n += len(t)
-                for k, g in enumerate(grams(t, at)):
-                    sketch += np.bincount(_slot(g[g != 0], k), minlength=1 << WIDTH_BITS).astype(np.uint32)
-        if n:
-            parts = sketch.reshape(-1, 1 << SLICE_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n] + [0] * (len(parts) - 1), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], names=["slice", "n", "blob"])
-
-    def merged(table: pa.Table) -> pa.Table:
-        out = np.zeros(1 << SLICE_BITS, np.uint64)
-        for blob in table["blob"].to_pylist():
-            out += np.frombuffer(zlib.decompress(blob), np.uint32)
-        return pa.table({"slice": table["slice"][:1], "n": pa.array([sum(table["n"].to_pylist())], pa.int64()), "blob": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
-
-    rows = docs.select("text").mapInArrow(run, "slice int, n bigint, blob binary").groupBy("slice").applyInArrow(merged, "slice int, n bigint, blob binary").collect()
-    out = np.zeros((1 << WIDTH_BITS - SLICE_BITS, 1 << SLICE_BITS), np.uint64)
-    for r in rows:
-        out[r["slice"]] = np.frombuffer(zlib.decompress(bytes(r["blob"])), np.uint64)
-    return sum(r["n"] for r in rows), out.reshape(-1)
-
-
-def _counted(docs: DataFrame, marks: np.ndarray) -> DataFrame:
-    """(k, gram, context, suffix, n): exact counts of the n-grams whose counter is marked."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
-    names = ["k", "gram", "context", "suffix", "n"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
-        marks = np.unpackbits(shared.value).astype(bool)
-        held: list[tuple] = [(np.zeros((4, 0), np.uint64), np.zeros(0, np.int64))] * (DEPTH + 1)
+def _cuts(h: np.ndarray, buckets: int) -> list[int]:
+    """Where each range of sorted hashes begins, and the last ends."""
+    bounds = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
+    return [0, *np.searchsorted(h, bounds).tolist(), len(h)]
 
-        def out() -> pa.RecordBatch:
-            cols = [np.concatenate([x[0][j] for x in held]).view(np.int64) for j in (0, 1, 2)]
-            k = np.concatenate([np.full(len(x[1]), d) for d, x in enumerate(held)]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(k), *map(pa.array, cols), pa.array(np.concatenate([x[1] for x in held]))], names=names)
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """(k, gram, context, suffix, n): exact counts of the n-grams that occur LEAST times, and of all tokens (k = -1)."""
+    buckets = _buckets(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
         for batch in batches:
-            for _, _, t, at in _passes(strings(batch.column(0))):
-                all_grams = grams(t, at)
-                for k, g in enumerate(all_grams):
-                    own = np.flatnonzero(g)
-                    own = own[marks[_slot(g[own], k)]]
-                    zero = np.zeros(len(own), np.uint64)
-                    rows = np.stack([g[own], all_grams[k - 1][own - 1] if k else zero, all_grams[k - 1][own] if k else zero, zero])
-                    rows, counts = np.concatenate([held[k][0], rows], 1), np.concatenate([held[k][1], np.ones(len(own), np.int64)])
-                    _, first, where = np.unique(rows[0], return_index=True, return_inverse=True)
-                    held[k] = rows[:, first], np.bincount(where, counts, len(first)).astype(np.int64)
-                if sum(len(x[1]) for x in held) > HELD:
-                    yield out()
-                    held = [(x[0][:, :0], x[1][:0]) for x in held]
-        yield out()
-
-    found = docs.select("text").mapInArrow(run, "k int, gram bigint, context bigint, suffix bigint, n bigint")
-    return found.groupBy("k", "gram", "context", "suffix").agg(F.sum("n").alias("n"))
+            texts = strings(batch.column(0))
+            _, offsets = raw(texts)
+            for low, high in passes(offsets, BLOCK_BYTES):
+                parts = [(t, at) for _, _, t, at in _passes(texts.slice(low, high - low))]
+                levels = list(zip(*(grams(t, at) for t, at in parts), strict=True))
+                for k in range(DEPTH + 1):
+                    g = np.concatenate(levels[k])
+                    own, first, n = np.unique(g, return_index=True, return_counts=True)
+                    own, first, n = (x[own != 0] for x in (own, first, n))
+                    below = np.concatenate(levels[k - 1]) if k else np.zeros(len(g), np.uint64)
+                    context, suffix = (below[first - 1], below[first]) if k else (below[first], own)
+                    cuts = _cuts(own, buckets)
+                    rows = [(k, i, context[a:b].tobytes() if k else b"", suffix[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)] if rows else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())], names=["k", "bucket", "context", "suffix", "n"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        np.seterr(over="ignore")
+        k = table["k"][0].as_py()
+        context, suffix = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint64) for c in ("context", "suffix"))
+        counts = np.frombuffer(b"".join(table["n"].to_pylist()), np.uint32)
+        g = _joint(context, suffix, k) if k else suffix
+        own, first, index = np.unique(g, return_index=True, return_inverse=True)
+        n = np.bincount(index, counts, len(own)).astype(np.int64)
+        tokens = [int(n.sum())] if k == 0 else []
+        some = n >= LEAST
+        own, first, n = own[some], first[some], n[some]
+        columns = [own, context[first] if k else np.zeros(len(own), np.uint64), suffix[first]]
+        more = np.zeros(len(tokens), np.int64)
+        levels = np.concatenate([np.full(len(own), k), more - 1]).astype(np.int32)
+        return pa.table({"k": levels, **{c: np.concatenate([x.view(np.int64), more]) for c, x in zip(("gram", "context", "suffix"), columns, strict=True)}, "n": np.concatenate([n, np.array(tokens, np.int64)])})
+
+    found = docs.select("text").mapInArrow(run, "k int, bucket int, context binary, suffix binary, n binary")
+    return found.groupBy("k", "bucket").applyInArrow(summed, "k int, gram bigint, context bigint, suffix bigint, n bigint")
 
 
 class Lookup:
@@ -170,36 +149,45 @@ class Lookup:
         return out
 
 
-def grow(n: int, table: dict[str, np.ndarray]) -> list[dict[str, np.ndarray]]:
-    """The tree by context length: kept contexts with what they leave to their suffix (log10), and kept entries with
-    their probability (log10); from the candidates' counts (k, gram, context, suffix, n)."""
-    levels: list[dict[str, np.ndarray]] = []
-    level = lambda k: {c: x[table["k"] == k] for c, x in table.items()}
-    sort = lambda t: {c: x[np.argsort(t["gram"])] for c, x in t.items()}
-    below = sort(level(0))
-    lookup = Lookup(below["gram"])
+def grow(n: int, table: DataFrame) -> DataFrame:
+    """The tree (k, kept, hash, value): kept contexts with what they leave to their suffix (log10), and kept entries
+    with their probability (log10); from the candidates' counts (k, gram, context, suffix, n)."""
+    out = []
     # Probability of each candidate by the longest kept suffix of its context, for the level above.
-    probability = (below["n"] - DISCOUNT) / max(n, 1)
+    below = table.filter("k = 0").select("gram", "n", ((F.col("n") - DISCOUNT) / max(n, 1)).alias("p"))
+    of = Window.partitionBy("context")
     for k in range(1, DEPTH + 1):
-        own = sort(level(k))
-        context, suffix = lookup(own["context"]), lookup(own["suffix"])
-        known = (context >= 0) & (suffix >= 0)
-        own = {c: x[known] for c, x in own.items()}
-        total, parent = below["n"][context[known]], probability[suffix[known]]
-        keep = (own["n"] - DISCOUNT) / total >= RATIO * parent
-        names, where = np.unique(own["context"], return_inverse=True)
-        claimed = np.bincount(where, np.where(keep, (own["n"] - DISCOUNT) / total, 0), len(names))
-        left = np.maximum(1 - claimed, 1e-9)
-        out_of = np.maximum(own["n"] - 1 - DISCOUNT, 0) / np.maximum(total - 1, 1) + left[where] * parent
-        gain = np.bincount(where, np.where(keep, own["n"] * np.log(out_of / parent), 0), len(names)).astype(float)
-        all_of = np.zeros(len(names))
-        all_of[where] = total
-        gain += (all_of - np.bincount(where, np.where(keep, own["n"], 0), len(names))) * np.log(left)
-        good = (gain >= GAIN) & (claimed > 0)
-        entry = keep & good[where]
-        p = np.where(entry, (own["n"] - DISCOUNT) / total + left[where] * parent, np.where(good[where], left[where], 1) * parent)
-        levels.append({"contexts": names[good], "left": np.log10(left[good]), "entries": own["gram"][entry], "p": np.log10(p[entry])})
-        below, probability, lookup = own, p, Lookup(own["gram"])
+        own = table.filter(F.col("k") == k).select("gram", "context", "suffix", "n")
+        own = own.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("parent")), "suffix")
+        own = own.join(below.select(F.col("gram").alias("context"), F.col("n").alias("total")), "context")
+        share = (F.col("n") - DISCOUNT) / F.col("total")
+        own = own.withColumn("keep", share >= RATIO * F.col("parent")).withColumn("claimed", F.sum(F.when(F.col("keep"), share).otherwise(0.0)).over(of))
+        own = own.withColumn("left", F.greatest(1 - F.col("claimed"), F.lit(1e-9)))
+        out_of = F.greatest(F.col("n") - 1 - DISCOUNT, F.lit(0.0)) / F.greatest(F.col("total") - 1, F.lit(1)) + F.col("left") * F.col("parent")
+        gain = F.sum(F.when(F.col("keep"), F.col("n") * F.log(out_of / F.col("parent"))).otherwise(0.0)).over(of)
+        rest = F.col("total") - F.sum(F.when(F.col("keep"), F.col("n")).otherwise(0)).over(of)
+        own = own.withColumn("good", (gain + rest * F.log("left") >= GAIN) & (F.col("claimed") > 0))
+        by_suffix = F.when(F.col("good"), F.col("left")).otherwise(1.0) * F.col("parent")
+        entry = F.col("keep") & F.col("good")
+        own = own.select("gram", "n", "context", "left", "good", entry.alias("entry"), F.when(entry, share + by_suffix).otherwise(by_suffix).alias("p"))
+        below = cut(own, "lm-level")
+        contexts = below.filter("good").groupBy(F.col("context").alias("hash")).agg(F.log10(F.min("left")).alias("value"))
+        entries = below.filter("entry").select(F.col("gram").alias("hash"), F.log10("p").alias("value"))
+        out += [x.select(F.lit(k).alias("k"), F.lit(kept).alias("kept"), "hash", "value") for kept, x in (("context", contexts), ("entry", entries))]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def levels_of(table: pa.Table) -> list[dict[str, np.ndarray]]:
+    """A tree's rows (k, kept, hash, value) by context length, as Tree reads them."""
+    levels = []
+    k, context = table["k"].to_numpy(), np.array(table["kept"].to_pylist(), object) == "context"
+    h, value = table["hash"].to_numpy().view(np.uint64), table["value"].to_numpy()
+    for d in range(1, DEPTH + 1):
+        sides = []
+        for own in (np.flatnonzero((k == d) & context), np.flatnonzero((k == d) & ~context)):
+            own = own[np.argsort(h[own])]
+            sides += [h[own], value[own]]
+        levels.append(dict(zip(("contexts", "left", "entries", "p"), sides, strict=True)))
     return levels
 
 
@@ -227,14 +215,17 @@ class Tree:
         return out, open_
 
 
-def fit(docs: DataFrame) -> list[dict[str, np.ndarray]]:
-    """The tree of all texts of docs."""
+def fit_table(docs: DataFrame) -> DataFrame:
+    """The tree (k, kept, hash, value) of all texts of docs."""
     ship(docs.sparkSession)
-    n, sketch = _sketch(docs)
-    limit = max(2.0, SHARE * n)
-    table = _counted(docs, sketch >= limit).filter(F.col("n") >= limit).toArrow()
-    columns = {c: table[c].to_numpy().view(np.uint64) if c in ("gram", "context", "suffix") else table[c].to_numpy() for c in ("k", "gram", "context", "suffix", "n")}
-    return grow(n, columns)
+    table = cut(_counted(docs), "lm-grams")
+    n = table.filter("k = -1").agg(F.sum("n")).first()[0] or 0
+    return grow(n, table.filter("k >= 0"))
+
+
+def fit(docs: DataFrame) -> list[dict[str, np.ndarray]]:
+    """The tree of all texts of docs in memory, for small tables."""
+    return levels_of(fit_table(docs).toArrow())
 
 
 def _zip(*arrays: np.ndarray) -> bytes:
@@ -249,54 +240,77 @@ def _unzip(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def _coded(docs: DataFrame, model: list[dict[str, np.ndarray]], buckets: int) -> DataFrame:
-    """Of every block its texts' postings and tree scores (bucket -1), and its distinct words by range of hashes with
-    training counts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of texts: their distinct words in order of hashes, and their tokens as places among these."""
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["block", "bucket", "a", "b", "doc_ids", "held_out", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         np.seterr(over="ignore")
-        tree = Tree(shared.value)
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = strings(batch.column(1))
             _, offsets = raw(texts)
             for low, high in passes(offsets, BLOCK_BYTES):
-                hashes, owners, opens, scores = [], [], [], []
-                for x, y, t, at in _passes(texts.slice(low, high - low)):
-                    log, open_ = tree.score(t, at)
-                    scores.append(np.add.reduceat(log, at[:-1]))
-                    hashes.append(t)
-                    owners.append(np.repeat(np.arange(x, y), np.diff(at)))
-                    opens.append(open_)
-                h, owner, open_ = np.concatenate(hashes), np.concatenate(owners), np.concatenate(opens)
+                parts = [(t, np.diff(at)) for _, _, t, at in _passes(texts.slice(low, high - low))]
+                vocabulary, index = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+                sizes = np.concatenate([x for _, x in parts]).astype(np.uint32)
                 own = batch.slice(low, high - low)
-                held = own.column(2).to_numpy(zero_copy_only=False)
-                vocabulary, index = np.unique(h, return_inverse=True)
-                trained = np.bincount(index, ~held[owner], len(vocabulary)).astype(np.uint32)
-                pairs, where, times = np.unique(owner * len(vocabulary) + index, return_inverse=True, return_counts=True)
-                by_root = np.bincount(where, open_, len(pairs)).astype(np.uint32)
-                text, word = pairs // len(vocabulary), pairs % len(vocabulary)
-                sizes = np.bincount(text, minlength=high - low).astype(np.uint32)
-                step = np.diff(word, prepend=0).astype(np.int32)
-                rows: list[list] = [[block], [-1], [_zip(_planes(step))], [_zip(sizes, _planes(times.astype(np.uint32)), _planes(by_root))]]
-                bounds = np.searchsorted(vocabulary, (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64))
-                cuts = [0, *bounds.tolist(), len(vocabulary)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    if b > a:
-                        for column, value in zip(rows, (block, k, vocabulary[a:b].tobytes(), trained[a:b].tobytes()), strict=True):
-                            column.append(value)
-                more = len(rows[0]) - 1
-                lists = [pa.ListArray.from_arrays(pa.array([0, high - low] + [high - low] * more, pa.int32()), c) for c in (own.column(0), own.column(2), pa.array(np.concatenate(scores)))]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary()), *lists], names=names)
+                lists = [pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), c) for c in (own.column(0), own.column(2))]
+                blobs = [pa.array([x], pa.binary()) for x in (vocabulary.tobytes(), _zip(sizes), _zip(_planes(index.astype(np.uint32))))]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *blobs, *lists], names=["block", "words", "sizes", "tokens", "doc_ids", "held_out"])
                 block += 1
 
     given = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    return given.mapInArrow(run, f"block bigint, bucket int, a binary, b binary, doc_ids array<{kind}>, held_out array<boolean>, score array<double>")
+    return given.mapInArrow(run, f"block bigint, words binary, sizes binary, tokens binary, doc_ids array<{kind}>, held_out array<boolean>")
+
+
+def _opened(words: bytes, sizes: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct words, its tokens' places among them, and where each text's begin and the last end."""
+    at = np.concatenate([[0], np.cumsum(np.frombuffer(_unzip(sizes), np.uint32).astype(np.int64))])
+    return np.frombuffer(words, np.uint64), _joined(_unzip(tokens), np.uint32, int(at[-1])).astype(np.int64), at
+
+
+def _keys(t: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What some texts ask of the tree: their distinct n-grams, sorted."""
+    keys = np.unique(np.concatenate(grams(t, at)))
+    return keys[keys != 0]
+
+
+def _asked(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Of every block by range of hashes its distinct words with training counts (b), and its n-grams (b is null)."""
+    names = ["block", "bucket", "a", "b"]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for batch in batches:
+            for r in batch.to_pylist():
+                words, index, at = _opened(r["words"], r["sizes"], r["tokens"])
+                trained = np.bincount(index, np.repeat(~np.array(r["held_out"], bool), np.diff(at)), len(words)).astype(np.uint32)
+                rows = []
+                for h, n in ((words, trained), (_keys(words[index], at), None)):
+                    cuts = _cuts(h, buckets)
+                    rows += [(r["block"], k, h[a:b].tobytes(), None if n is None else n[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return blocks.select("block", "words", "sizes", "tokens", "held_out").mapInArrow(run, "block bigint, bucket int, a binary, b binary")
+
+
+def _touched(asked: pa.Table, tree: pa.Table) -> pa.Table:
+    """Of a range of hashes, the rows of the tree that each block asks for: places among its keys, what they are, values."""
+    order = np.argsort(tree["hash"].to_numpy().view(np.uint64), kind="stable")
+    h, value = tree["hash"].to_numpy().view(np.uint64)[order], tree["value"].to_numpy()[order]
+    kind = (2 * tree["k"].to_numpy() + (np.array(tree["kept"].to_pylist(), object) == "context"))[order].astype(np.uint8)
+    blocks, out, sizes = asked["block"].to_pylist(), [], []
+    for blob in asked["a"].to_pylist():
+        keys = np.frombuffer(blob, np.uint64)
+        place = np.searchsorted(keys, h)
+        own = np.flatnonzero(keys[np.minimum(place, len(keys) - 1)] == h)
+        out.append(_zip(place[own].astype(np.uint32), kind[own], value[own]))
+        sizes.append(len(own))
+    return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": asked["bucket"].cast(pa.int32()), "a": pa.array(out, pa.binary()), "size": pa.array([len(x) // 8 for x in asked["a"].to_pylist()], pa.int64()), "hits": pa.array(sizes, pa.int64())})
 
 
 def _planes(x: np.ndarray) -> np.ndarray:
@@ -332,44 +346,72 @@ def _summed(table: pa.Table) -> pa.Table:
     )
 
 
-def score(docs: DataFrame, model: list[dict[str, np.ndarray]] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text")
     if model is None:
-        model = fit(docs.filter(~held_out(F.col("doc_id"))))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    coded = cut(_coded(docs, model, buckets), "lm-blocks")
+        model = fit_table(docs.filter(~held_out(F.col("doc_id"))))
+    buckets = _buckets(docs)
+    blocks = cut(_blocks(docs), "lm-blocks")
     kind = dict(docs.dtypes)["doc_id"]
-    sums = coded.filter("bucket >= 0").select("block", "bucket", "a", "b").groupBy("bucket").applyInArrow(_summed, "block bigint, bucket int, a binary, tokens bigint, types bigint")
+    asked = _asked(blocks, buckets)
+    sums = asked.filter("b IS NOT NULL").groupBy("bucket").applyInArrow(_summed, "block bigint, bucket int, a binary, tokens bigint, types bigint")
     sums = cut(sums, "lm-counts")
     totals = sums.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
     n, v = totals["tokens"] or 0, totals["types"] or 0
+    tree = model.mapInArrow(_placed(buckets), "bucket int, k int, kept string, hash bigint, value double")
+    touched = asked.filter("b IS NULL").select("block", "bucket", "a").groupBy("bucket").cogroup(tree.groupBy("bucket")).applyInArrow(_or_none, "block bigint, bucket int, a binary, size bigint, hits bigint")
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def scored(table: pa.Table) -> pa.Table:
+        np.seterr(over="ignore")
         table = table.sort_by("bucket").combine_chunks()
-        blobs = table["a"].to_pylist()
-        counts = np.frombuffer(b"".join(_unzip(x) for x in blobs[1:]), np.uint64).astype(float)
-        texts = table["score"][0].values
-        data = _unzip(blobs[0])
-        step = _joined(data, np.int32, len(data) // 4)
-        data = _unzip(table["b"][0].as_py())
-        sizes = np.frombuffer(data, np.uint32, len(texts)).astype(np.int64)
-        times = _joined(data, np.uint32, len(step), 4 * len(texts)).astype(float)
-        by_root = _joined(data, np.uint32, len(step), 4 * len(texts) + 4 * len(step)).astype(float)
-        c = counts[np.cumsum(step)]
-        first = np.cumsum(sizes) - sizes
-        tokens = np.add.reduceat(times, first)
-        base = np.add.reduceat(times * np.log10(c + 1), first) - tokens * np.log10(n + v + 1)
-        known = np.add.reduceat(times * (c > 0), first)
+        rows = table.select(["a", "size", "hits"]).to_pylist()
+        own = int(np.flatnonzero(table["words"].is_valid().to_numpy())[0])
+        words, index, at = _opened(*(table[c][own].as_py() for c in ("words", "sizes", "tokens")))
+        counts = np.frombuffer(b"".join(_unzip(r["a"]) for r in rows if r["a"] is not None and r["size"] is None), np.uint64).astype(float)
+        t = words[index]
+        keys, first, found = _keys(t, at), 0, []
+        for r in rows:
+            if r["size"] is not None:
+                data, m = _unzip(r["a"]), r["hits"]
+                place = np.frombuffer(data, np.uint32, m).astype(np.int64)
+                found.append((keys[first + place], np.frombuffer(data, np.uint8, m, 4 * m), np.frombuffer(data, np.float64, m, 5 * m)))
+                first += r["size"]
+        h, what, value = (np.concatenate([x[j] for x in found]) for j in range(3))
+        hits = pa.table({"k": (what // 2).astype(np.int32), "kept": np.where(what % 2, "context", "entry").tolist(), "hash": h.view(np.int64), "value": value})
+        log, open_ = Tree(levels_of(hits)).score(t, at)
+        c = counts[index]
+        first = at[:-1]
+        tokens = np.diff(at)
+        base = np.add.reduceat(np.log10(c + 1), first) - tokens * np.log10(n + v + 1)
+        known = np.add.reduceat((c > 0).astype(np.int64), first)
         root = np.log10(np.where(c > 0, c - DISCOUNT, DISCOUNT * v) / n) if n else np.zeros(len(c))
-        model_score = texts.to_numpy() + np.add.reduceat(by_root * root, first)
-        columns = [table["doc_ids"][0].values, table["held_out"][0].values, tokens.astype(np.int64), known.astype(np.int64), np.full(len(tokens), n), base, model_score]
+        model_score = np.add.reduceat(log + open_ * root, first)
+        columns = [table["doc_ids"][own].values, table["held_out"][own].values, tokens.astype(np.int64), known, np.full(len(tokens), n), base, model_score]
         return pa.table({k: c if isinstance(c, pa.Array) else pa.array(c) for k, c in zip(names, columns, strict=True)})
 
-    postings = coded.filter("bucket = -1")
-    back = sums.filter("block >= 0").select("block", "bucket", "a")
-    both = postings.unionByName(back, allowMissingColumns=True)
+    back = sums.filter("block >= 0").select("block", "bucket", "a").unionByName(touched, allowMissingColumns=True)
+    both = blocks.unionByName(back, allowMissingColumns=True)
     return both.groupBy("block").applyInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+
+def _placed(buckets: int):
+    """Gives each row of the tree the range of its hash, as _cuts has them."""
+    bounds = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = np.searchsorted(bounds, batch.column("hash").to_numpy().view(np.uint64), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), *(batch.column(c) for c in ("k", "kept", "hash", "value"))], names=["bucket", "k", "kept", "hash", "value"])
+
+    return run
+
+
+def _or_none(asked: pa.Table, tree: pa.Table) -> pa.Table:
+    """_touched, and no rows where no block asks."""
+    if not asked.num_rows:
+        return pa.table({c: pa.array([], t) for c, t in (("block", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("size", pa.int64()), ("hits", pa.int64()))})
+    return _touched(asked, tree)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -12,6 +13,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from storyloom.llm import bpe, decontaminate, lm, quality, sstable
 from storyloom.llm.queries import tokenizer
@@ -98,6 +100,20 @@ def test_context_counts(spark):
     assert got[1000]["base_score"] == pytest.approx(got[1002]["base_score"]) and got[1000]["score"] > got[1002]["score"] + 1
 
 
+def test_rare_contexts_count_in_a_large_corpus(spark):
+    big = spark.range(80).selectExpr("10 + 7 * id AS doc_id", "array_join(transform(sequence(1, 20000), i -> concat('w', pmod(xxhash64(id, i), 5000))), ' ') AS text").filter(~lm.held_out(F.col("doc_id")))
+    r = random.Random(8)
+    passage = [f"w{k}" for k in r.sample(range(5000), 60)]
+    free = [d for d in range(100000, 101000) if zlib.crc32(str(d).encode()) % 7 != 2][:2]
+    held = [d for d in range(100000, 101000) if zlib.crc32(str(d).encode()) % 7 == 2][:2]
+    shuffled = r.sample(passage, 60)
+    planted = spark.createDataFrame([*((d, " ".join(passage)) for d in free), (held[0], " ".join(passage)), (held[1], " ".join(shuffled))], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in lm.score(big.unionByName(planted)).filter("doc_id >= 100000").collect()}
+    assert got[held[0]]["train_tokens"] > 1_000_000
+    assert got[held[0]]["base_score"] == pytest.approx(got[held[1]]["base_score"])
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 60
+
+
 def test_decontamination(spark):
     r = texts(5, 30)
     long = [t for _, t in r if t and len(spaced(t)) >= 30][:4]
