@@ -1,14 +1,15 @@
 """Sharding by balanced label propagation, in DataFrame operations only.
 
-Documents with equal texts are linked. Linked documents start in a shard by hash; in every round each moves
-towards the shards that hold most of its neighbours, if the shards' quotas have room, so that fewer links are
-cut. Documents without links then fill the shards up to their quotas. Law ``rows``: shards' row counts are at
-most one apart.
+Documents with equal texts are linked. Linked documents start in a shard by hash. In every round each group that has
+no seat yet asks for the shard that holds most of it and has room; a shard takes groups, as wholes, up to its quota.
+Groups that no shard of theirs has room for are put into the gaps one after another, so that at most one a shard is
+cut, even if all documents have links. Documents without links then fill the shards up to their quotas. Law ``rows``:
+shards' row counts are at most one apart.
 
 A group's links are never listed: a document's neighbours by shard are its group's counts by shard. A group
 larger than an eighth of a quota is split by a hash of its rows into parts that move as wholes, and its parts
 share out over the shards that the group needs at least. Those groups number at most 8 x shards, so their table
-is broadcast; so are the tables of quotas and of accepted moves (shards x ``MOVE_BUCKETS`` rows).
+is broadcast; so are the tables of running sums' first values (shards x buckets).
 
 Defined results: a null text has no bytes (size 16, checksum 0) and no links; a null doc_id takes part as a
 value; repeated rows are linked by their text and each get a slot; an empty table gives no rows. Further
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from storyloom.llm.common import cut
 
 ROUNDS = 6
-MOVE_BUCKETS = 256
 #: Share of a shard's quota that a large group counts on, as its parts differ in size.
 FILL = 0.85
 
@@ -75,46 +75,55 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS) -> DataFrame:
     )
     rows = cut(rows, "shard-start")
     linked, free = rows.filter("linked"), rows.filter("NOT linked")
-    linked = _propagate(linked, sizes, quota, part, rounds)
+    linked = _propagate(linked, quota, rounds)
     return _fill(linked, free, quota)
 
 
-def _propagate(linked: DataFrame, sizes: DataFrame, quota: list[int], part: int, rounds: int) -> DataFrame:
+def _running(df: DataFrame, by: list[str]) -> DataFrame:
+    """Adds end: the sum of n of a group's part and of those before it of each value of by, parts of a group in a row."""
     group = ["text_hash", "text_crc32", "size"]
-    shards = len(quota)
-    room_of = F.array(*[F.lit(q) for q in quota])
-    for k in range(rounds):
-        spread = linked.groupBy(*group, "shard").agg(F.count("*").alias("n"))
-        ranked = spread.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("n", (-F.col("shard")).alias("s"))), asc=False).alias("best"))
-        # The parts of a group take in turn the fullest of the shards that the group needs at least.
-        need = F.least(F.size("best"), F.ceil(F.col("copies") / max(1.0, FILL * quota[-1])).cast("int"))
-        parts = F.greatest(F.lit(1), F.when(F.col("copies") > part, F.ceil(F.col("copies") / part)).otherwise(1)).cast("int")
-        target = (
-            ranked.join(sizes, group)
-            .select(*group, "best", need.alias("need"), F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))).alias("part"))
-            .select(*group, "part", (-F.element_at("best", (F.pmod("part", "need") + 1).cast("int"))["s"]).alias("target"))
-        )
-        wanted = linked.join(target, [*group, "part"]).withColumn("move_bucket", F.pmod(F.xxhash64(*group, "part", F.lit(k)), F.lit(MOVE_BUCKETS)))
-        wanted = cut(wanted, "shard-wanted")
-        moves = wanted.filter("target <> shard")
-        held = wanted.groupBy("shard").agg(F.count("*").alias("held")).withColumnRenamed("shard", "target")
-        asked = moves.groupBy("target", "move_bucket").agg(F.count("*").alias("asked"))
-        run = Window.partitionBy("target").orderBy("move_bucket").rowsBetween(Window.unboundedPreceding, 0)
-        accepted = (
-            asked.withColumn("sum", F.sum("asked").over(run))
-            .join(F.broadcast(held), "target", "left")
-            .filter(F.col("sum") <= F.element_at(room_of, F.col("target") + 1) - F.coalesce("held", F.lit(0)))
-            .select("target", "move_bucket", F.lit(True).alias("accepted"))
-        )
-        accepted = cut(accepted, "shard-accepted")
-        if not accepted.head(1):
-            return wanted.drop("target", "move_bucket")
-        linked = (
-            wanted.join(F.broadcast(accepted), ["target", "move_bucket"], "left")
-            .withColumn("shard", F.when(F.col("accepted"), F.col("target")).otherwise(F.col("shard")))
-            .select("doc_id", *group, "linked", "part", "shard")
-        )
-    return cut(linked, "shard-linked")
+    buckets = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = [*by, "bucket"]
+    df = df.withColumn("bucket", F.pmod(F.xxhash64(*group), F.lit(buckets)))
+    sums = df.groupBy(*keys).agg(F.sum("n").alias("sum"))
+    over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    first = sums.select(*keys, (F.sum("sum").over(over.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sum")).alias("first"))
+    run = Window.partitionBy(*keys).orderBy(*group, "part").rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("run", F.sum("n").over(run)).join(F.broadcast(first), keys).withColumn("end", F.col("first") + F.col("run")).drop("bucket", "first", "run")
+
+
+def _propagate(linked: DataFrame, quota: list[int], rounds: int) -> DataFrame:
+    """Linked rows with the shard where their group, or its part, has its seat."""
+    group = ["text_hash", "text_crc32", "size"]
+    spread = linked.groupBy(*group, "shard").agg(F.count("*").alias("n"))
+    fullest = F.sort_array(F.collect_list(F.struct("n", F.xxhash64(*group, "shard").alias("tie"), "shard")), asc=False)
+    ranked = spread.groupBy(*group).agg(F.transform(fullest, lambda x: x["shard"]).alias("best"), F.sum("n").alias("copies"))
+    # The parts of a group take in turn the fullest of the shards that the group needs at least.
+    need = F.least(F.size("best"), F.ceil(F.col("copies") / max(1.0, FILL * quota[-1])).cast("int"))
+    parts = linked.groupBy(*group, "part").agg(F.count("*").alias("n"))
+    columns = [*group, "part", "n", "best", "need", "seat"]
+    state = cut(parts.join(ranked, group).select(*group, "part", "n", "best", need.alias("need"), F.lit(None).cast("int").alias("seat")), "shard-seats")
+    room, left = list(quota), None
+    for _ in range(rounds):
+        free = F.array(*[F.lit(x) for x in room])
+        fits = lambda shards: F.filter(shards, lambda s: F.element_at(free, s + 1) >= F.col("n"))  # noqa: B023, E731
+        near, any_of = fits(F.slice("best", 1, F.col("need"))), fits(F.col("best"))
+        turn = F.try_element_at(near, F.pmod("part", F.greatest(F.size(near), F.lit(1))).cast("int") + 1)
+        waiting = state.filter("seat IS NULL").withColumn("target", F.coalesce(turn, F.try_element_at(any_of, F.lit(1))))
+        asking = _running(waiting.filter("target IS NOT NULL"), ["target"])
+        seat = F.when(F.col("end") <= F.element_at(free, F.col("target") + 1), F.col("target"))
+        asking = asking.withColumn("seat", seat).select(columns)
+        state = cut(state.filter("seat IS NOT NULL").unionByName(asking).unionByName(waiting.filter("target IS NULL").select(columns)), "shard-seats")
+        held = {r["seat"]: r["n"] for r in state.groupBy("seat").agg(F.sum("n").alias("n")).collect()}
+        before, left = left, held.pop(None, 0)
+        room = [q - held.get(k, 0) for k, q in enumerate(quota)]
+        if left in (0, before):
+            break
+    ends = [sum(room[: k + 1]) for k in range(len(room))]
+    packed = _running(state.filter("seat IS NULL"), [])
+    at = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("end") - F.col("n")))
+    seats = state.filter("seat IS NOT NULL").select(*group, "part", "seat").unionByName(packed.select(*group, "part", at.alias("seat")))
+    return cut(linked.drop("shard").join(seats.withColumnRenamed("seat", "shard"), [*group, "part"]).select("doc_id", *group, "linked", "part", "shard"), "shard-linked")
 
 
 def _fill(linked: DataFrame, free: DataFrame, quota: list[int]) -> DataFrame:

@@ -52,6 +52,16 @@ def test_sharding_keeps_groups(spark):
     assert sharding.shard(frame(spark).limit(0), 8).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 5])
+def test_sharding_keeps_groups_where_all_rows_have_copies(spark, copies):
+    got = sharding.shard(frame(spark, [(k, f"group {k // copies}") for k in range(6000)]), 8).collect()
+    shards = defaultdict(set)
+    for r in got:
+        shards[r["doc_id"] // copies].add(r["shard"])
+    assert sum(len(s) > 1 for s in shards.values()) <= 16
+    assert Counter(Counter(r["shard"] for r in got).values()) == {750: 8}
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(3)
     centres = r.standard_normal((20, 24))
