@@ -127,16 +127,39 @@ def similar_names(names: DataFrame, share: float = 0.90) -> DataFrame:
     return grouped.join(head, "root").select("name", "canonical")
 
 
+def piece_pairs(left: DataFrame, right: DataFrame, rate: float) -> DataFrame:
+    """(a, b): of strings a of left and b of right, all pairs whose edits are at most rate x their total length, and others.
+
+    Such a pair's b, cut into one piece more than its length allows edits, has a piece that a holds too, at a place that
+    differs by at most those edits; so strings a offer their substrings of those lengths and places."""
+    edits = lambda n: F.floor(2 * rate * n / (1 - rate) + 1e-9).cast("int")
+
+    def cut_at(n: Column, i: Column) -> tuple[Column, Column]:
+        width = F.greatest(F.floor(n / (edits(n) + 1)).cast("int"), F.lit(1))
+        return i * width + 1, F.when(i == edits(n), F.greatest(n - i * width, F.lit(0))).otherwise(width)
+
+    n, i = F.col("n"), F.col("i")
+    first, size = cut_at(n, i)
+    pieces = right.select("b").distinct().withColumn("n", F.length("b")).withColumn("i", F.explode(F.sequence(F.lit(0), edits(n)))).withColumn("s", F.substring(F.col("b"), first, size))
+    lengths = F.sequence(F.ceil(F.length("a") * (1 - rate) / (1 + rate) - 1e-9).cast("int"), F.floor(F.length("a") * (1 + rate) / (1 - rate) + 1e-9).cast("int"))
+    places = F.sequence(F.greatest(first - edits(n), F.lit(1)), first + edits(n))
+    offered = left.select("a").distinct().select("a", F.explode(lengths).alias("n")).select("a", "n", F.explode(F.sequence(F.lit(0), edits(n))).alias("i")).select("a", "n", "i", size.alias("size"), F.explode(places).alias("at"))
+    offered = offered.select("a", "n", "i", F.substring(F.col("a"), F.col("at"), F.col("size")).alias("s")).distinct()
+    return offered.join(pieces, ["n", "i", "s"]).select("a", "b").distinct()
+
+
 def closest_in_roster(names: DataFrame, roster: DataFrame, share: float = 0.92) -> DataFrame:
     """(name, canonical): the roster entry (rank, name) of least rank whose matching-blocks ratio with a name reaches share.
 
-    Only names that share a first letter, in any case, are compared, in Arrow batches."""
+    A ratio of share leaves at most (1 - share) x the total length to insert and delete; pairs within that are found
+    by shared pieces, whatever their first letters, and compared in Arrow batches."""
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
-    left = names.select("name").distinct().withColumn("low", F.lower("name")).withColumn("initial", F.substring("low", 1, 1))
-    right = roster.select("rank", F.col("name").alias("canonical"), F.lower("name").alias("other")).withColumn("initial", F.substring("other", 1, 1))
+    left = names.select("name").distinct().withColumn("low", F.lower("name"))
+    right = roster.select("rank", F.col("name").alias("canonical"), F.lower("name").alias("other"))
     lengths = 2 * F.least(F.length("low"), F.length("other")) >= share * (F.length("low") + F.length("other"))
-    pairs = left.join(right, "initial").filter(lengths).withColumn("ratio", ratio(F.col("low"), F.col("other"))).filter(F.col("ratio") >= share)
+    near = piece_pairs(left.select(F.col("low").alias("a")), right.select(F.col("other").alias("b")), 1 - share).toDF("low", "other").filter(lengths)
+    pairs = left.join(near, "low").join(right, "other").withColumn("ratio", ratio(F.col("low"), F.col("other"))).filter(F.col("ratio") >= share)
     return left.select("name").join(pairs.groupBy("name").agg(F.min_by("canonical", "rank").alias("canonical")), "name", "left")

@@ -175,3 +175,24 @@ def test_album(spark):
 
 def test_json_shape(spark):
     assert json.loads(spark.createDataFrame([(1, 1, "x")], "chapter_index long, id long, text string").groupBy("chapter_index").agg(F.to_json(F.collect_list(F.struct("id", "text"))).alias("j")).first()["j"]) == [{"id": 1, "text": "x"}]
+
+
+def test_roster_ratio_finds_other_first_letters(spark):
+    import difflib
+    import random
+
+    r = random.Random(4)
+    roster = ["".join(r.choice("abcd") for _ in range(n)) for n in (1, 2, 5, 13, 14, 25, 26, 30, 40, 60)] + ["Alexandra Featherstone", ""]
+    names = {*roster, "xlexandra Featherstone", "the Alexandra Featherstone", "Nobody"}
+    for x in roster:
+        for _ in range(12):
+            y = list(x)
+            for _ in range(r.randint(1, 5)):
+                k = r.randrange(len(y) + 1)
+                y[k : k + r.randint(0, 1)] = r.choice(["", "a", "x"])
+            names.add("".join(y))
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    want = {x: next((y for y in roster if ratio(x, y) >= 0.92), None) for x in names}
+    assert want["xlexandra Featherstone"] == "Alexandra Featherstone"
+    got = attribution.closest_in_roster(spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame(list(enumerate(roster)), "rank int, name string"))
+    assert {x["name"]: x["canonical"] for x in got.collect()} == want
