@@ -115,12 +115,11 @@ def merge_rosters(rosters: DataFrame) -> DataFrame:
 def similar_names(names: DataFrame, share: float = 0.90) -> DataFrame:
     """(name, canonical): names joined, directly or by others, whose edits are few for their length: 2 x distance is at
     most (1 - share) x their total length. The longest of a group, then the first, is canonical."""
-    from storyloom.operators.aliases import edit_candidates
     from storyloom.operators.graph import components
 
     own = names.select("name").distinct().withColumn("k", T.name_key(F.col("name")))
-    near = edit_candidates(own.select(F.col("k").alias("normalized")), own.select(F.col("k").alias("canonical")))
-    close = near.withColumn("c", F.col("canonical")).filter(2 * F.levenshtein("normalized", "c") <= (1 - share) * (F.length("normalized") + F.length("c")))
+    near = piece_pairs(own.select(F.col("k").alias("a")), own.select(F.col("k").alias("b")), (1 - share) / 2)
+    close = near.toDF("normalized", "c").filter(2 * F.levenshtein("normalized", "c") <= (1 - share) * (F.length("normalized") + F.length("c")))
     tiles = close.select(F.struct("normalized", "c").alias("tile"), F.explode(F.array("normalized", "c")).alias("node"))
     grouped = own.join(components(tiles).withColumnRenamed("node", "k"), "k")
     head = grouped.groupBy("root").agg(F.min_by("name", F.struct(-F.length("name"), F.col("name"))).alias("canonical"))

@@ -196,3 +196,10 @@ def test_roster_ratio_finds_other_first_letters(spark):
     assert want["xlexandra Featherstone"] == "Alexandra Featherstone"
     got = attribution.closest_in_roster(spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame(list(enumerate(roster)), "rank int, name string"))
     assert {x["name"]: x["canonical"] for x in got.collect()} == want
+
+
+def test_similar_names_of_many_edits(spark):
+    long = "the most honourable bartholomew featherstonehaugh of winterbourne"
+    edited = long.replace("honourable", "honorable").replace("bartholomew", "bartolomeu").replace("winter", "wintre")
+    names = spark.createDataFrame([(long,), (edited,), ("somebody else",)], "name string")
+    assert {r["name"]: r["canonical"] for r in attribution.similar_names(names).collect()} == {long: long, edited: long, "somebody else": "somebody else"}
