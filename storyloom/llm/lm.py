@@ -1,17 +1,22 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Symbols are the training words, one end, and one unknown symbol for all other words. Contexts are the last one to
-``DEPTH`` words. A context's entry (context, next word) is a candidate if it occurs ``LEAST`` times, whatever the size
-of the corpus. It is kept if the word is ``RATIO`` times as likely after the context as after the context's suffix,
-and the context is kept if its entries gain ``GAIN`` nats of likelihood over the suffix, each occurrence left out of
-its own estimate. Distributions are smoothed by absolute discounting: what a context's kept entries don't claim goes
-to its suffix's distribution, and the root's discounts go to the unknown symbol, so every state's distribution sums
-to 1. A word is scored by the longest kept suffix of what stands before it in its text.
-
-The tree grows with the corpus and is a table, never broadcast or collected. Blocks of training texts send their
-n-grams with counts to ranges of the hash space, as many as the text's size asks for; the sums are joined level by
-level. To be scored, blocks send their words and n-grams to such ranges, word counts and the part of the tree that
-each block touches come back, and the block's texts, kept meanwhile, are scored. Words are told apart by 64-bit hashes.
+``DEPTH`` words. An n-gram counts if it occurs ``LEAST`` times, whatever the size of the corpus. After a context, a word
+is kept as an entry if it is ``RATIO`` times as likely there as after the context's suffix; the context is retained as
+a state if its entries' divergence from the suffix's distribution, summed over their occurrences, comes to ``GAIN``
+nats, each occurrence left out of its own estimate. Distributions are smoothed by absolute discounting: what a
+context's entries don't claim goes to its suffix's distribution, and the root's discounts go to the unknown symbol, so
+every state's distribution sums to 1. A word is scored by the longest retained suffix of what stands before it in its
+text.
+
+Nothing of the tree is broadcast or collected; it is spread over ranges of the hash space, as many as the text's size
+asks for. Two exchanges build and apply it. In the first, blocks of texts send their distinct n-grams with training
+counts, and get back the totals. From these a block judges its entries; one block for each n-gram sends the entry to
+its context's range, where entries are summed and states retained; blocks get back the states among their contexts and
+score their texts. The blocks themselves are a table bucketed by block, so they don't move.
+
+Words are told apart by 64-bit hashes, n-grams by hashes of ``SLACK`` bits more than count their occurrences, so that
+at every size less than one n-gram in 2^SLACK shares its total with another.
 
 Defined results: a null or empty text has one token, its end; a null doc_id counts as an empty text for the
 split; repeated rows each count and are each scored; an empty table gives no rows; without training texts every word
@@ -21,20 +26,23 @@ is unknown and the model is sure of that. Further columns are not read.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import SPACED, cut, mix, passes, raw, ship, strings, words
+from storyloom.llm.common import SPACED, cut, mix, passes, raw, shared_dir, ship, strings, words
 
 DEPTH = 2
-LEAST, RATIO, GAIN, DISCOUNT = 2, 1.5, 10.0, 0.75
+LEAST, RATIO, GAIN, DISCOUNT = 2, 1.5, 6.0, 0.75
+SLACK = 12
 END_WORD = np.uint64(0x5851F42D4C957F2D)
-SIEVE_BITS = 22
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 16 << 20
+
+_ANSWER = "kind int, block bigint, bucket int, a binary, tokens bigint, types bigint"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,194 +63,54 @@ def tokens(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, at
 
 
-def grams(t: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """For 1 to DEPTH + 1 words: the hash of that many tokens up to each place, 0 where the text has too few."""
-    place = np.arange(len(t)) - np.repeat(at[:-1], np.diff(at))
-    out = [mix(t)]
-    for k in range(1, DEPTH + 1):
-        own = np.zeros(len(t), np.uint64)
-        own[1:] = _joint(out[-1][:-1], out[-1][1:], k)
-        own[place < k] = 0
-        out.append(own)
-    return out
+# --- numbers in few bytes ---
 
 
-def _joint(context: np.ndarray, suffix: np.ndarray, k: int) -> np.ndarray:
-    """The hash of an n-gram from those of its context (all but the last word) and its suffix (all but the first)."""
-    return mix(context * np.uint64(0xD6E8FEB86659FD93) + suffix + np.uint64(k))
+@functools.cache
+def _zstd():
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
-def _passes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    body, offsets = raw(column)
-    for x, y in passes(offsets):
-        yield x, y, *tokens(body[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
 
+def pack(x: np.ndarray) -> bytes:
+    """Numbers, compressed byte plane by byte plane."""
+    x = np.ascontiguousarray(x)
+    return _zstd()[0].compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()) if len(x) else b""
 
-def _buckets(docs: DataFrame) -> int:
-    """Ranges of the hash space: one for BUCKET_BYTES of text, so that a range's share stays as large at every size."""
-    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
+def unpack(blob: bytes, kind: type) -> np.ndarray:
+    data = np.frombuffer(_zstd()[1].decompress(blob) if blob else b"", np.uint8)
+    return np.ascontiguousarray(data.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
-def _cuts(h: np.ndarray, buckets: int) -> list[int]:
-    """Where each range of sorted hashes begins, and the last ends."""
-    bounds = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
-    return [0, *np.searchsorted(h, bounds).tolist(), len(h)]
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending numbers by their differences."""
+    return pack(np.diff(x, prepend=np.uint64(0)))
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """(k, gram, context, suffix, n): exact counts of the n-grams that occur LEAST times, and of all tokens (k = -1)."""
-    buckets = _buckets(docs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
-        for batch in batches:
-            texts = strings(batch.column(0))
-            _, offsets = raw(texts)
-            for low, high in passes(offsets, BLOCK_BYTES):
-                parts = [(t, at) for _, _, t, at in _passes(texts.slice(low, high - low))]
-                levels = list(zip(*(grams(t, at) for t, at in parts), strict=True))
-                for k in range(DEPTH + 1):
-                    g = np.concatenate(levels[k])
-                    own, first, n = np.unique(g, return_index=True, return_counts=True)
-                    own, first, n = (x[own != 0] for x in (own, first, n))
-                    below = np.concatenate(levels[k - 1]) if k else np.zeros(len(g), np.uint64)
-                    context, suffix = (below[first - 1], below[first]) if k else (below[first], own)
-                    cuts = _cuts(own, buckets)
-                    rows = [(k, i, context[a:b].tobytes() if k else b"", suffix[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)] if rows else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())], names=["k", "bucket", "context", "suffix", "n"])
-
-    def summed(table: pa.Table) -> pa.Table:
-        np.seterr(over="ignore")
-        k = table["k"][0].as_py()
-        context, suffix = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint64) for c in ("context", "suffix"))
-        counts = np.frombuffer(b"".join(table["n"].to_pylist()), np.uint32)
-        g = _joint(context, suffix, k) if k else suffix
-        own, first, index = np.unique(g, return_index=True, return_inverse=True)
-        n = np.bincount(index, counts, len(own)).astype(np.int64)
-        tokens = [int(n.sum())] if k == 0 else []
-        some = n >= LEAST
-        own, first, n = own[some], first[some], n[some]
-        columns = [own, context[first] if k else np.zeros(len(own), np.uint64), suffix[first]]
-        more = np.zeros(len(tokens), np.int64)
-        levels = np.concatenate([np.full(len(own), k), more - 1]).astype(np.int32)
-        return pa.table({"k": levels, **{c: np.concatenate([x.view(np.int64), more]) for c, x in zip(("gram", "context", "suffix"), columns, strict=True)}, "n": np.concatenate([n, np.array(tokens, np.int64)])})
-
-    found = docs.select("text").mapInArrow(run, "k int, bucket int, context binary, suffix binary, n binary")
-    return found.groupBy("k", "bucket").applyInArrow(summed, "k int, gram bigint, context bigint, suffix bigint, n bigint")
-
-
-class Lookup:
-    """Places of hashes in a sorted table, -1 for those that it lacks."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
-        self.sieve[(keys & np.uint64((1 << SIEVE_BITS) - 1)).astype(np.int64)] = True
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), -1, np.int64)
-        some = np.flatnonzero(self.sieve[(x & np.uint64((1 << SIEVE_BITS) - 1)).astype(np.int64)])
-        if len(some) and len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, x[some]), len(self.keys) - 1)
-            out[some] = np.where(self.keys[at] == x[some], at, -1)
-        return out
-
-
-def grow(n: int, table: DataFrame) -> DataFrame:
-    """The tree (k, kept, hash, value): kept contexts with what they leave to their suffix (log10), and kept entries
-    with their probability (log10); from the candidates' counts (k, gram, context, suffix, n)."""
-    out = []
-    # Probability of each candidate by the longest kept suffix of its context, for the level above.
-    below = table.filter("k = 0").select("gram", "n", ((F.col("n") - DISCOUNT) / max(n, 1)).alias("p"))
-    of = Window.partitionBy("context")
-    for k in range(1, DEPTH + 1):
-        own = table.filter(F.col("k") == k).select("gram", "context", "suffix", "n")
-        own = own.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("parent")), "suffix")
-        own = own.join(below.select(F.col("gram").alias("context"), F.col("n").alias("total")), "context")
-        share = (F.col("n") - DISCOUNT) / F.col("total")
-        own = own.withColumn("keep", share >= RATIO * F.col("parent")).withColumn("claimed", F.sum(F.when(F.col("keep"), share).otherwise(0.0)).over(of))
-        own = own.withColumn("left", F.greatest(1 - F.col("claimed"), F.lit(1e-9)))
-        out_of = F.greatest(F.col("n") - 1 - DISCOUNT, F.lit(0.0)) / F.greatest(F.col("total") - 1, F.lit(1)) + F.col("left") * F.col("parent")
-        gain = F.sum(F.when(F.col("keep"), F.col("n") * F.log(out_of / F.col("parent"))).otherwise(0.0)).over(of)
-        rest = F.col("total") - F.sum(F.when(F.col("keep"), F.col("n")).otherwise(0)).over(of)
-        own = own.withColumn("good", (gain + rest * F.log("left") >= GAIN) & (F.col("claimed") > 0))
-        by_suffix = F.when(F.col("good"), F.col("left")).otherwise(1.0) * F.col("parent")
-        entry = F.col("keep") & F.col("good")
-        own = own.select("gram", "n", "context", "left", "good", entry.alias("entry"), F.when(entry, share + by_suffix).otherwise(by_suffix).alias("p"))
-        below = cut(own, "lm-level")
-        contexts = below.filter("good").groupBy(F.col("context").alias("hash")).agg(F.log10(F.min("left")).alias("value"))
-        entries = below.filter("entry").select(F.col("gram").alias("hash"), F.log10("p").alias("value"))
-        out += [x.select(F.lit(k).alias("k"), F.lit(kept).alias("kept"), "hash", "value") for kept, x in (("context", contexts), ("entry", entries))]
-    return functools.reduce(DataFrame.unionByName, out)
-
-
-def levels_of(table: pa.Table) -> list[dict[str, np.ndarray]]:
-    """A tree's rows (k, kept, hash, value) by context length, as Tree reads them."""
-    levels = []
-    k, context = table["k"].to_numpy(), np.array(table["kept"].to_pylist(), object) == "context"
-    h, value = table["hash"].to_numpy().view(np.uint64), table["value"].to_numpy()
-    for d in range(1, DEPTH + 1):
-        sides = []
-        for own in (np.flatnonzero((k == d) & context), np.flatnonzero((k == d) & ~context)):
-            own = own[np.argsort(h[own])]
-            sides += [h[own], value[own]]
-        levels.append(dict(zip(("contexts", "left", "entries", "p"), sides, strict=True)))
-    return levels
-
-
-class Tree:
-    """Scores tokens by the longest kept suffix before them."""
-
-    def __init__(self, levels: list[dict[str, np.ndarray]]):
-        self.levels = [(Lookup(x["contexts"]), x["left"], Lookup(x["entries"]), x["p"]) for x in levels]
-
-    def score(self, t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each token the log10 probability as far as the tree gives it, and whether the root's is to be added."""
-        g = grams(t, at)
-        out, open_ = np.zeros(len(t)), np.ones(len(t), bool)
-        for k in range(DEPTH, 0, -1):
-            contexts, left, entries, p = self.levels[k - 1]
-            before = np.concatenate([np.zeros(1, np.uint64), g[k - 1][:-1]])
-            own = np.flatnonzero(open_ & (g[k] != 0))
-            state = contexts(before[own])
-            own, state = own[state >= 0], state[state >= 0]
-            entry = entries(g[k][own])
-            hit = entry >= 0
-            out[own[hit]] += p[entry[hit]]
-            open_[own[hit]] = False
-            out[own[~hit]] += left[state[~hit]]
-        return out, open_
-
-
-def fit_table(docs: DataFrame) -> DataFrame:
-    """The tree (k, kept, hash, value) of all texts of docs."""
-    ship(docs.sparkSession)
-    table = cut(_counted(docs), "lm-grams")
-    n = table.filter("k = -1").agg(F.sum("n")).first()[0] or 0
-    return grow(n, table.filter("k >= 0"))
-
-
-def fit(docs: DataFrame) -> list[dict[str, np.ndarray]]:
-    """The tree of all texts of docs in memory, for small tables."""
-    return levels_of(fit_table(docs).toArrow())
-
-
-def _zip(*arrays: np.ndarray) -> bytes:
-    import zstandard
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
 
+def ranges(x: np.ndarray, bits: int, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of the ranges of the hash space that ascending hashes of so many bits fall into."""
+    bounds = (np.arange(1, buckets, dtype=object) * (1 << bits) // buckets).astype(np.uint64)
+    cuts = [0, *np.searchsorted(x, bounds).tolist(), len(x)]
+    return [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
 
-def _unzip(blob: bytes) -> bytes:
-    import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(blob)
+def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ([] for _ in names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of texts: their distinct words in order of hashes, and their tokens as places among these."""
-    kind = dict(docs.dtypes)["doc_id"]
+# --- blocks of texts ---
+
+
+def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
+    """Blocks of texts (distinct words in order of hashes, tokens as places among them), as a table bucketed by block."""
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -251,167 +119,292 @@ def _blocks(docs: DataFrame) -> DataFrame:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = strings(batch.column(1))
-            _, offsets = raw(texts)
+            body, offsets = raw(texts)
             for low, high in passes(offsets, BLOCK_BYTES):
-                parts = [(t, np.diff(at)) for _, _, t, at in _passes(texts.slice(low, high - low))]
+                parts = []
+                for x, y in passes(offsets[low : high + 1]):
+                    x, y = low + x, low + y
+                    t, at = tokens(body[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
+                    parts.append((t, np.diff(at)))
                 vocabulary, index = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
                 sizes = np.concatenate([x for _, x in parts]).astype(np.uint32)
                 own = batch.slice(low, high - low)
                 lists = [pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), c) for c in (own.column(0), own.column(2))]
-                blobs = [pa.array([x], pa.binary()) for x in (vocabulary.tobytes(), _zip(sizes), _zip(_planes(index.astype(np.uint32))))]
+                blobs = [pa.array([x], pa.binary()) for x in (pack_sorted(vocabulary), pack(sizes), pack(index.astype(np.uint32)))]
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *blobs, *lists], names=["block", "words", "sizes", "tokens", "doc_ids", "held_out"])
                 block += 1
 
-    given = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    return given.mapInArrow(run, f"block bigint, words binary, sizes binary, tokens binary, doc_ids array<{kind}>, held_out array<boolean>")
-
-
-def _opened(words: bytes, sizes: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's distinct words, its tokens' places among them, and where each text's begin and the last end."""
-    at = np.concatenate([[0], np.cumsum(np.frombuffer(_unzip(sizes), np.uint32).astype(np.int64))])
-    return np.frombuffer(words, np.uint64), _joined(_unzip(tokens), np.uint32, int(at[-1])).astype(np.int64), at
-
-
-def _keys(t: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """What some texts ask of the tree: their distinct n-grams, sorted."""
-    keys = np.unique(np.concatenate(grams(t, at)))
-    return keys[keys != 0]
-
-
-def _asked(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Of every block by range of hashes its distinct words with training counts (b), and its n-grams (b is null)."""
-    names = ["block", "bucket", "a", "b"]
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
-        for batch in batches:
-            for r in batch.to_pylist():
-                words, index, at = _opened(r["words"], r["sizes"], r["tokens"])
-                trained = np.bincount(index, np.repeat(~np.array(r["held_out"], bool), np.diff(at)), len(words)).astype(np.uint32)
-                rows = []
-                for h, n in ((words, trained), (_keys(words[index], at), None)):
-                    cuts = _cuts(h, buckets)
-                    rows += [(r["block"], k, h[a:b].tobytes(), None if n is None else n[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    return blocks.select("block", "words", "sizes", "tokens", "held_out").mapInArrow(run, "block bigint, bucket int, a binary, b binary")
-
-
-def _touched(asked: pa.Table, tree: pa.Table) -> pa.Table:
-    """Of a range of hashes, the rows of the tree that each block asks for: places among its keys, what they are, values."""
-    order = np.argsort(tree["hash"].to_numpy().view(np.uint64), kind="stable")
-    h, value = tree["hash"].to_numpy().view(np.uint64)[order], tree["value"].to_numpy()[order]
-    kind = (2 * tree["k"].to_numpy() + (np.array(tree["kept"].to_pylist(), object) == "context"))[order].astype(np.uint8)
-    blocks, out, sizes = asked["block"].to_pylist(), [], []
-    for blob in asked["a"].to_pylist():
-        keys = np.frombuffer(blob, np.uint64)
-        place = np.searchsorted(keys, h)
-        own = np.flatnonzero(keys[np.minimum(place, len(keys) - 1)] == h)
-        out.append(_zip(place[own].astype(np.uint32), kind[own], value[own]))
-        sizes.append(len(own))
-    return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": asked["bucket"].cast(pa.int32()), "a": pa.array(out, pa.binary()), "size": pa.array([len(x) // 8 for x in asked["a"].to_pylist()], pa.int64()), "hits": pa.array(sizes, pa.int64())})
-
-
-def _planes(x: np.ndarray) -> np.ndarray:
-    """The bytes of 4-byte numbers, lowest first, which compress well apart."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T)
-
-
-def _joined(data: bytes, kind: type, count: int, offset: int = 0) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * count, offset).reshape(4, -1).T).view(kind).reshape(-1)
+    found = docs.mapInArrow(run, f"block bigint, words binary, sizes binary, tokens binary, doc_ids array<{kind}>, held_out array<boolean>")
+    name = f"lm_blocks_{uuid.uuid4().hex}"
+    found.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/storyloom/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+class Block:
+    """A block's texts: tokens as places (index) among distinct words, and at each token's place the n-grams ending there."""
+
+    def __init__(self, row: dict, bits: int):
+        self.shift = np.uint64(64 - bits)
+        self.words, self.index = unpack_sorted(row["words"]), unpack(row["tokens"], np.uint32).astype(np.int64)
+        sizes = unpack(row["sizes"], np.uint32).astype(np.int64)
+        self.at = np.concatenate([[0], np.cumsum(sizes)])
+        self.trained = np.repeat(~np.array(row["held_out"], bool), sizes)
+        self.place = np.arange(len(self.index)) - np.repeat(self.at[:-1], sizes)
+        h = mix(self.words[self.index])
+        gram, own = h, []
+        for k in range(1, DEPTH + 1):
+            gram = np.concatenate([gram[:1], mix(gram[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:] + np.uint64(k))])
+            own.append(gram[self.place >= k] >> self.shift)
+        #: Distinct n-grams of two words and more, ascending, and of every length and token which it is (-1: none).
+        self.keys, inverse = np.unique(np.concatenate(own), return_inverse=True)
+        ends = np.cumsum([0, *map(len, own)])
+        self.which = []
+        for k in range(1, DEPTH + 1):
+            ids = np.full(len(h), -1)
+            ids[self.place >= k] = inverse[ends[k - 1] : ends[k]]
+            self.which.append(ids)
+
+    def asked(self, buckets: int) -> list[tuple]:
+        """(kind, bucket, hashes, training counts) of its words (kind 0) and n-grams (kind 1)."""
+        n0 = np.bincount(self.index[self.trained], minlength=len(self.words))
+        n1 = sum((np.bincount(ids[self.trained & (ids >= 0)], minlength=len(self.keys)) for ids in self.which), np.zeros(len(self.keys), np.int64))
+        sides = ((0, self.words, n0, 64), (1, self.keys, n1, 64 - int(self.shift)))
+        return [(kind, k, pack_sorted(x[a:b]), pack(n[a:b].astype(np.uint64))) for kind, x, n, bits in sides for k, a, b in ranges(x, bits, buckets)]
+
+    def learn(self, answers: list[dict], n: int) -> None:
+        """Takes the totals of its words and n-grams (0 below LEAST); n: all training tokens."""
+        found = [[unpack(r["a"], np.uint64) for r in answers if r["kind"] == kind] for kind in (0, 1)]
+        none = np.zeros(0, np.uint64)
+        counts, coded = (np.concatenate(x) if x else none for x in found)
+        self.counts = counts.astype(np.int64)
+        self.totals, self.owner = (coded >> np.uint64(1)).astype(np.int64), (coded & np.uint64(1)).astype(bool)
+        self.n = n
+
+    def total(self, k: int, p: np.ndarray) -> np.ndarray:
+        """Total of the k words that end at tokens p."""
+        if k == 0:
+            return np.full(len(p), self.n)
+        return self.counts[self.index[p]] if k == 1 else self.totals[self.which[k - 2][p]]
+
+    def entries(self, k: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of tokens p after k words: whether each is an entry there, its count, its context's, and its share by the suffix."""
+        count, of = self.total(k + 1, p), self.total(k, p - 1)
+        over, below = self.total(k, p), self.total(k - 1, p - 1)
+        fits = (count >= LEAST) & (count <= of) & (count <= over) & (over <= below)
+        share = over / np.maximum(below, 1)
+        return fits & ((count - DISCOUNT) >= RATIO * share * of), count, of, share
+
+    def contexts(self) -> np.ndarray:
+        """Its contexts that occur LEAST times, ascending; then place() finds them."""
+        shorter = np.zeros(len(self.keys), bool)
+        for ids in self.which[:-1]:
+            shorter[ids[ids >= 0]] = True
+        of_word, of_key = self.counts >= LEAST, shorter & (self.totals >= LEAST)
+        hashes, inverse = np.unique(np.concatenate([self.words[of_word] >> self.shift, self.keys[of_key]]), return_inverse=True)
+        m = int(of_word.sum())
+        self.word_place, self.key_place = np.full(len(self.words), -1), np.full(len(self.keys), -1)
+        self.word_place[of_word], self.key_place[of_key] = inverse[:m], inverse[m:]
+        return hashes
+
+    def context_place(self, k: int, p: np.ndarray) -> np.ndarray:
+        """Which of contexts() the k words are that end at tokens p (-1: none)."""
+        return self.word_place[self.index[p]] if k == 1 else self.key_place[self.which[k - 2][p]]
+
+    def owned(self) -> tuple[np.ndarray, ...]:
+        """Contexts, ascending, with entries of n-grams that this block speaks for: how many, occurrences, divergence."""
+        parts = []
+        at = np.full(len(self.keys), -1)
+        for k in range(1, DEPTH + 1):
+            at[:] = -1
+            p = np.flatnonzero(self.which[k - 1] >= 0)
+            at[self.which[k - 1][p]] = p
+            p = at[self.owner & (at >= 0)]
+            kept, count, of, share = self.entries(k, p)
+            p, count, of, share = p[kept], count[kept], of[kept], share[kept]
+            left_out = (count - 1 - DISCOUNT) / np.maximum(of - 1, 1)
+            gain = count * np.log(left_out / share)
+            hashes = self.words[self.index[p - 1]] >> self.shift if k == 1 else self.keys[self.which[k - 2][p - 1]]
+            parts.append((hashes, of, count, gain))
+        hashes, of, count, gain = (np.concatenate(x) for x in zip(*parts, strict=True))
+        own, inverse = np.unique(hashes, return_inverse=True)
+        largest = np.zeros(len(own), np.int64)
+        np.maximum.at(largest, inverse, of)
+        return own, largest, np.bincount(inverse, minlength=len(own)), np.bincount(inverse, count, len(own)).astype(np.int64), np.bincount(inverse, gain, len(own))
+
+    def score(self, occurrences: np.ndarray, entries: np.ndarray, v: int) -> np.ndarray:
+        """Log10 probability of every token, from the states among contexts(): their entries' occurrences and number."""
+        c, n = self.counts[self.index], self.n
+        p = np.where(c > 0, c - DISCOUNT, DISCOUNT * v) / n if n else np.ones(len(c))
+        for k in range(1, DEPTH + 1):
+            at = np.flatnonzero(self.place >= k)
+            state = self.context_place(k, at - 1)
+            at, state = at[state >= 0], state[state >= 0]
+            some = entries[state] > 0
+            at, state = at[some], state[some]
+            kept, count, of, _ = self.entries(k, at)
+            p[at] = left(occurrences[state], entries[state], of) * p[at] + np.where(kept, (count - DISCOUNT) / np.maximum(of, 1), 0)
+        return np.log10(p)
+
+
+def left(occurrences: np.ndarray, entries: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """What a state leaves to its suffix's distribution."""
+    return np.maximum(1 - (occurrences - DISCOUNT * entries) / np.maximum(of, 1), 1e-9)
+
+
+# --- ranges of hashes ---
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    """Of a range of hashes, each block's words' counts in all training texts, and the range's totals."""
-    blobs = table["a"].to_pylist()
-    sizes = np.array([len(x) // 8 for x in blobs])
-    h = np.frombuffer(b"".join(blobs), np.uint64)
-    n = np.frombuffer(b"".join(table["b"].to_pylist()), np.uint32)
-    _, index = np.unique(h, return_inverse=True)
-    sums = np.bincount(index, n)
-    counts = sums[index].astype(np.uint64)
-    ends = np.cumsum(sizes)
-    out = [_zip(counts[e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-    total, distinct = int(sums.sum()), int((sums > 0).sum())
-    none = len(out) * [None]
-    return pa.table(
-        {
-            "block": pa.array([*table["block"].to_pylist(), -1], pa.int64()),
-            "bucket": pa.array([*table["bucket"].to_pylist(), -1], pa.int32()),
-            "a": pa.array([*out, None], pa.binary()),
-            "tokens": pa.array([*none, total], pa.int64()),
-            "types": pa.array([*none, distinct], pa.int64()),
-        }
-    )
-
-
-def score(docs: DataFrame, model: DataFrame | None = None) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    ship(spark)
-    docs = docs.select("doc_id", "text")
-    if model is None:
-        model = fit_table(docs.filter(~held_out(F.col("doc_id"))))
-    buckets = _buckets(docs)
-    blocks = cut(_blocks(docs), "lm-blocks")
-    kind = dict(docs.dtypes)["doc_id"]
-    asked = _asked(blocks, buckets)
-    sums = asked.filter("b IS NOT NULL").groupBy("bucket").applyInArrow(_summed, "block bigint, bucket int, a binary, tokens bigint, types bigint")
-    sums = cut(sums, "lm-counts")
-    totals = sums.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
-    n, v = totals["tokens"] or 0, totals["types"] or 0
-    tree = model.mapInArrow(_placed(buckets), "bucket int, k int, kept string, hash bigint, value double")
-    touched = asked.filter("b IS NULL").select("block", "bucket", "a").groupBy("bucket").cogroup(tree.groupBy("bucket")).applyInArrow(_or_none, "block bigint, bucket int, a binary, size bigint, hits bigint")
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
-    def scored(table: pa.Table) -> pa.Table:
-        np.seterr(over="ignore")
-        table = table.sort_by("bucket").combine_chunks()
-        rows = table.select(["a", "size", "hits"]).to_pylist()
-        own = int(np.flatnonzero(table["words"].is_valid().to_numpy())[0])
-        words, index, at = _opened(*(table[c][own].as_py() for c in ("words", "sizes", "tokens")))
-        counts = np.frombuffer(b"".join(_unzip(r["a"]) for r in rows if r["a"] is not None and r["size"] is None), np.uint64).astype(float)
-        t = words[index]
-        keys, first, found = _keys(t, at), 0, []
-        for r in rows:
-            if r["size"] is not None:
-                data, m = _unzip(r["a"]), r["hits"]
-                place = np.frombuffer(data, np.uint32, m).astype(np.int64)
-                found.append((keys[first + place], np.frombuffer(data, np.uint8, m, 4 * m), np.frombuffer(data, np.float64, m, 5 * m)))
-                first += r["size"]
-        h, what, value = (np.concatenate([x[j] for x in found]) for j in range(3))
-        hits = pa.table({"k": (what // 2).astype(np.int32), "kept": np.where(what % 2, "context", "entry").tolist(), "hash": h.view(np.int64), "value": value})
-        log, open_ = Tree(levels_of(hits)).score(t, at)
-        c = counts[index]
-        first = at[:-1]
-        tokens = np.diff(at)
-        base = np.add.reduceat(np.log10(c + 1), first) - tokens * np.log10(n + v + 1)
-        known = np.add.reduceat((c > 0).astype(np.int64), first)
-        root = np.log10(np.where(c > 0, c - DISCOUNT, DISCOUNT * v) / n) if n else np.zeros(len(c))
-        model_score = np.add.reduceat(log + open_ * root, first)
-        columns = [table["doc_ids"][own].values, table["held_out"][own].values, tokens.astype(np.int64), known, np.full(len(tokens), n), base, model_score]
-        return pa.table({k: c if isinstance(c, pa.Array) else pa.array(c) for k, c in zip(names, columns, strict=True)})
-
-    back = sums.filter("block >= 0").select("block", "bucket", "a").unionByName(touched, allowMissingColumns=True)
-    both = blocks.unionByName(back, allowMissingColumns=True)
-    return both.groupBy("block").applyInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-
-
-def _placed(buckets: int):
-    """Gives each row of the tree the range of its hash, as _cuts has them."""
-    bounds = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bucket = np.searchsorted(bounds, batch.column("hash").to_numpy().view(np.uint64), "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), *(batch.column(c) for c in ("k", "kept", "hash", "value"))], names=["bucket", "k", "kept", "hash", "value"])
-
-    return run
-
-
-def _or_none(asked: pa.Table, tree: pa.Table) -> pa.Table:
-    """_touched, and no rows where no block asks."""
-    if not asked.num_rows:
-        return pa.table({c: pa.array([], t) for c, t in (("block", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("size", pa.int64()), ("hits", pa.int64()))})
-    return _touched(asked, tree)
+    """Of a range of words (kind 0) or n-grams (kind 1), each block's totals; for words the range's tokens and types too.
+
+    An n-gram's total is 0 below LEAST; its lowest bit names the one block that speaks for the n-gram."""
+    kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
+    keys = [unpack_sorted(x) for x in table["a"].to_pylist()]
+    n = np.concatenate([unpack(x, np.uint64) for x in table["b"].to_pylist()]).astype(np.int64)
+    ends = np.cumsum([0, *map(len, keys)])
+    h = np.concatenate(keys)
+    order = np.argsort(h)
+    fresh = np.concatenate([[True], np.diff(h[order]) > 0])
+    starts = np.flatnonzero(fresh)
+    totals = np.add.reduceat(n[order], starts)
+    values = np.empty(len(h), np.int64)
+    values[order] = np.repeat(totals, np.diff([*starts, len(h)]))
+    none = [None] * len(keys)
+    if kind:
+        values[values < LEAST] = 0
+        values *= 2
+        speaker = np.minimum.reduceat(order, starts)
+        values[speaker] += values[speaker] > 0
+    rows = list(zip([kind] * len(keys), table["block"].to_pylist(), [bucket] * len(keys), [pack(values[a:b].astype(np.uint64)) for a, b in zip(ends, ends[1:], strict=False)], none, none, strict=True))
+    if not kind:
+        rows.append((kind, -1, bucket, None, int(totals.sum()), int((totals > 0).sum())))
+    return pa.Table.from_batches([_rows(rows, ["kind", "block", "bucket", "a", "tokens", "types"], [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()])])
+
+
+def _states(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of a range of contexts the retained ones: hashes, occurrences, entries' number and occurrences."""
+    own = [(unpack_sorted(r["a"]), *(unpack(r[c], np.uint64).astype(np.int64) for c in ("of", "entries", "n")), unpack(r["gain"], np.float32).astype(float)) for r in table.to_pylist() if r["kind"] == 2]
+    if not own:
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+    h, of, entries, n, gain = (np.concatenate(x) for x in zip(*own, strict=True))
+    keys, inverse = np.unique(h, return_inverse=True)
+    largest = np.zeros(len(keys), np.int64)
+    np.maximum.at(largest, inverse, of)
+    entries, n = (np.bincount(inverse, x, len(keys)).astype(np.int64) for x in (entries, n))
+    rest = np.maximum(largest - n, 0) * np.log(left(n, entries, largest))
+    good = np.bincount(inverse, gain, len(keys)) + rest >= GAIN
+    return keys[good], largest[good], entries[good], n[good]
+
+
+def _judged(table: pa.Table) -> pa.Table:
+    """Of a range of contexts, for each block the entries' number and occurrences of those of its contexts that are states."""
+    np.seterr(over="ignore")
+    keys, _, entries, n = _states(table)
+    rows = []
+    for r in table.select(["kind", "block", "bucket", "a"]).to_pylist():
+        if r["kind"] == 3:
+            asked = unpack_sorted(r["a"])
+            place = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+            hit = keys[place] == asked if len(keys) else np.zeros(len(asked), bool)
+            values = [np.where(hit, x[place] if len(keys) else 0, 0).astype(np.uint64) for x in (entries, n)]
+            rows.append((4, r["block"], r["bucket"], pack(np.concatenate(values)), None, None))
+    return pa.Table.from_batches([_rows(rows, ["kind", "block", "bucket", "a", "tokens", "types"], [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()])])
+
+
+# --- the whole ---
+
+
+class Model:
+    """The tree of the rows of docs (doc_id, text, held_out) that are not held out, spread over ranges of hashes."""
+
+    def __init__(self, docs: DataFrame):
+        spark = docs.sparkSession
+        ship(spark)
+        self.kind = dict(docs.dtypes)["doc_id"]
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        # Texts have about a token in four bytes, and DEPTH n-grams a token.
+        self.bits = min(63, SLACK + (DEPTH * size // 4).bit_length())
+        self.buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+        self.blocks = _blocks(docs.select("doc_id", "text", "held_out"), self.buckets)
+        counted = self._asked().groupBy("kind", "bucket").applyInArrow(_summed, _ANSWER)
+        self.counts = cut(counted, "lm-counts")
+        totals = self.counts.filter("block = -1").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
+        self.n, self.v = totals["tokens"] or 0, totals["types"] or 0
+        self.counts = self.counts.filter("block >= 0")
+
+    def _asked(self) -> DataFrame:
+        bits, buckets = self.bits, self.buckets
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            np.seterr(over="ignore")
+            for batch in batches:
+                for row in batch.to_pylist():
+                    rows = [(kind, row["block"], *x) for kind, *x in Block(row, bits).asked(buckets)]
+                    yield _rows(rows, ["kind", "block", "bucket", "a", "b"], [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])
+
+        return self.blocks.select("block", "words", "sizes", "tokens", "held_out").mapInArrow(run, "kind int, block bigint, bucket int, a binary, b binary")
+
+    def _contexts(self) -> DataFrame:
+        """By range of contexts, what blocks send of entries (kind 2), and which contexts they ask for (kind 3)."""
+        bits, buckets, n = self.bits, self.buckets, self.n
+        kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+        names = ["kind", "block", "bucket", "a", "of", "entries", "n", "gain"]
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            np.seterr(over="ignore")
+            rows = []
+            for row in left.to_pylist():
+                block = Block(row, bits)
+                block.learn(right.sort_by("bucket").to_pylist(), n)
+                own, *numbers, gain = block.owned()
+                rows += [(2, row["block"], k, pack_sorted(own[a:b]), *(pack(x[a:b].astype(np.uint64)) for x in numbers), pack(gain[a:b].astype(np.float32))) for k, a, b in ranges(own, bits, buckets)]
+                asked = block.contexts()
+                rows += [(3, row["block"], k, pack_sorted(asked[a:b]), None, None, None, None) for k, a, b in ranges(asked, bits, buckets)]
+            return pa.Table.from_batches([_rows(rows, names, kinds)])
+
+        blocks = self.blocks.select("block", "words", "sizes", "tokens", "held_out")
+        return blocks.groupBy("block").cogroup(self.counts.groupBy("block")).applyInArrow(run, "kind int, block bigint, bucket int, a binary, of binary, entries binary, n binary, gain binary")
+
+    def states(self) -> DataFrame:
+        """(context, occurrences, entries, entry_occurrences) of every retained context, by its hash."""
+
+        def run(table: pa.Table) -> pa.Table:
+            np.seterr(over="ignore")
+            keys, of, entries, n = _states(table)
+            return pa.table({"context": keys.view(np.int64), "occurrences": of, "entries": entries, "entry_occurrences": n})
+
+        return self._contexts().groupBy("bucket").applyInArrow(run, "context bigint, occurrences bigint, entries bigint, entry_occurrences bigint")
+
+    def score(self) -> DataFrame:
+        """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+        bits, n, v = self.bits, self.n, self.v
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            np.seterr(over="ignore")
+            parts = []
+            for own, row in enumerate(left.to_pylist()):
+                block, answers = Block(row, bits), right.sort_by("bucket").to_pylist()
+                block.learn(answers, n)
+                m = len(block.contexts())
+                states = [unpack(r["a"], np.uint64).astype(np.int64).reshape(2, -1) for r in answers if r["kind"] == 4]
+                entries, occurrences = np.concatenate(states, axis=1) if states else np.zeros((2, m), np.int64)
+                c, first, sizes = block.counts[block.index], block.at[:-1], np.diff(block.at)
+                base = np.add.reduceat(np.log10(c + 1), first) - sizes * np.log10(n + v + 1)
+                known = np.add.reduceat((c > 0).astype(np.int64), first)
+                model = np.add.reduceat(block.score(occurrences, entries, v), first)
+                columns = [left["doc_ids"].combine_chunks()[own].values, left["held_out"].combine_chunks()[own].values, sizes, known, np.full(len(sizes), n), base, model]
+                parts.append(pa.table({k: c if isinstance(c, pa.Array) else pa.array(c) for k, c in zip(names, columns, strict=True)}))
+            return pa.concat_tables(parts)
+
+        judged = self._contexts().groupBy("bucket").applyInArrow(_judged, _ANSWER)
+        answers = self.counts.unionByName(judged).select("kind", "block", "bucket", "a")
+        return self.blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {self.kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+
+def score(docs: DataFrame, keep_out: Column | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (doc_id, text).
+
+    The model learns from all rows but those that keep_out marks (default: held_out)."""
+    out = held_out(F.col("doc_id")) if keep_out is None else F.coalesce(keep_out, F.lit(False))
+    return Model(docs.select("doc_id", "text", out.alias("held_out"))).score()
