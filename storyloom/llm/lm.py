@@ -40,7 +40,7 @@ DEPTH = 2
 LEAST, RATIO, GAIN, DISCOUNT = 2, 1.5, 6.0, 0.75
 SLACK = 12
 END_WORD = np.uint64(0x5851F42D4C957F2D)
-BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
 
 _ANSWER = "kind int, block bigint, bucket int, a binary, tokens bigint, types bigint"
 
