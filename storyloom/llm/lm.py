@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from storyloom.llm.common import SPACED, cut, mix, passes, raw, shared_dir, ship, strings, words
 
 DEPTH = 2
-LEAST, RATIO, GAIN, DISCOUNT = 2, 1.5, 6.0, 0.75
+LEAST, RATIO, GAIN, DISCOUNT = 2, 1.5, 2.0, 0.75
 SLACK = 12
 END_WORD = np.uint64(0x5851F42D4C957F2D)
 BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
