@@ -100,9 +100,9 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT doc_id, i AS item_no, '• ' || trim(x, ' ' || chr(10) || chr(9)) AS item
 FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (
-    SELECT doc_id, list_filter(string_split(replace(substr(text, 1, 400), '. ', ' • '), '•'), lambda x: trim(x, ' ' || chr(10) || chr(9)) <> '') AS l, len(string_split(replace(substr(text, 1, 400), '. ', ' • '), '•')) - 1 AS n FROM documents) WHERE n >= 3)""")
+    SELECT doc_id, list_filter(string_split(replace(text, '. ', ' • '), '•'), lambda x: trim(x, ' ' || chr(10) || chr(9)) <> '') AS l, len(string_split(replace(text, '. ', ' • '), '•')) - 1 AS n FROM documents) WHERE n >= 3)""")
 def bullet_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = _docs(spark, sf_dir).select("doc_id", F.replace(F.substring("text", 1, 400), F.lit(". "), F.lit(" • ")).alias("t"))
+    marked = _docs(spark, sf_dir).select("doc_id", F.replace("text", F.lit(". "), F.lit(" • ")).alias("t"))
     return marked.select("doc_id", F.posexplode(T.bullet_items(F.col("t"))).alias("n", "item")).select("doc_id", (F.col("n") + 1).cast("long").alias("item_no"), "item")
 
 
@@ -119,16 +119,16 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT source, md5(string_agg(regexp_replace(regexp_replace(regexp_replace(text, '[^\\S\\n]+(\\n|$)', '\\1', 'g'), ' {2,}', ' ', 'g'), '\\s+$', ''), chr(10) || chr(10) ORDER BY doc_id) || chr(10)) AS text_md5, count(*) AS pages FROM documents GROUP BY source""")
+WITH p AS (SELECT source, doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[^\\S\\n]+(\\n|$)', '\\1', 'g'), ' {2,}', ' ', 'g'), '\\s+$', '') AS t FROM documents),
+o AS (SELECT *, coalesce(sum(length(t) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p)
+SELECT source, doc_id, start, start + length(t) AS "end", md5(t) AS text_md5 FROM o""")
 def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    pages = docs.groupBy("source").agg(F.count("*").alias("pages"))
-    return blocks.assemble_pages(docs, "source", "doc_id", "text").select("source", F.md5("text").alias("text_md5")).join(pages, "source")
+    return blocks.assemble_pages(_table(spark, sf_dir, "documents"), "source", "doc_id", "text").withColumn("text_md5", F.md5("text")).drop("text")
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", T.slug(F.substring("text", 1, 40)).alias("slug"))
+    return _docs(spark, sf_dir).select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("""
@@ -546,7 +546,7 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sections ---
 
 
-@query(f"SELECT book, index, regexp_extract(text, '^Chapter (\\d+)', 1)::INT AS ordinal, trim(regexp_extract(text, '^Chapter \\d+:\\s*(.*)$', 1)) AS title FROM {BOOKS} b JOIN (SELECT book AS bk, max(index) AS x FROM {BOOKS} GROUP BY book) m ON b.book = m.bk WHERE index >= 1 AND index <= (x - 1) / 3")
+@query(f"SELECT book, index, regexp_extract(text, '^Chapter (\\d+)', 1)::INT AS ordinal, trim(regexp_extract(text, '^Chapter \\d+:\\s*(.*)$', 1)) AS title FROM {BOOKS}, (SELECT max(doc_id) + 2 AS m FROM documents) WHERE index >= 1 AND index < m")
 def toc_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.toc(V.view(spark, sf_dir, V.BOOKS))
 
@@ -561,7 +561,7 @@ def toc_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RANGES = f"""
 SELECT book, row_number() OVER (PARTITION BY book ORDER BY index) - 1 AS chapter_index, trim(regexp_extract(text, '^Chapter \\d+:\\s*(.*)$', 1)) AS title, index AS start_block, coalesce(lead(index) OVER (PARTITION BY book ORDER BY index) - 1, x) AS end_block
-FROM {BOOKS} b JOIN (SELECT book AS bk, max(index) AS x FROM {BOOKS} GROUP BY book) m ON b.book = m.bk WHERE index > (x - 1) / 3 + 1 AND regexp_matches(text, '^Chapter \\d+:')"""
+FROM {BOOKS} b JOIN (SELECT book AS bk, max(index) AS x FROM {BOOKS} GROUP BY book) m ON b.book = m.bk, (SELECT max(doc_id) + 2 AS m FROM documents) WHERE index > m AND regexp_matches(text, '^Chapter \\d+:')"""
 
 
 @query(_RANGES)
@@ -583,7 +583,7 @@ def heading_fast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ordinal_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    entries = docs.select(F.col("source").alias("book"), F.col("doc_id").alias("index"), (F.col("doc_id") % 7).cast("int").alias("ordinal"), F.substring("text", 1, 12).alias("title"))
+    entries = docs.select(F.col("source").alias("book"), F.col("doc_id").alias("index"), (F.col("doc_id") % 7).cast("int").alias("ordinal"), F.md5("text").alias("title"))
     return sections.ordinal_conflicts(entries)
 
 

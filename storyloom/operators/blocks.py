@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
+from storyloom.storage import cut
 
 
 def lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,10 +42,21 @@ def document_meta(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def assemble_pages(df: DataFrame, key: str, page: str, text: str, separator: str = "\n\n") -> DataFrame:
-    """(key, text): a document's pages in order, each without trailing white space, a final line end."""
-    tidy = F.regexp_replace(T.single_spaces(T.strip_line_ends(T.unify_newlines(F.col(text)))), r"\s+\z", "")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), tidy.alias("t")))), lambda x: x["t"]), separator)
-    return df.groupBy(key).agg(F.concat(body, F.lit("\n")).alias("text"))
+    """(key, page, start, end, text): each page, tidied (a null one is empty), and its place in its document's text, in
+    which pages follow one another with a separator between them. Pages of one number are in order of their texts.
+
+    Pages are dealt out by ranges of (key, page), and only the ranges' lengths are summed over a key's ranges, so no
+    task holds a whole document."""
+    tidy = F.regexp_replace(T.single_spaces(T.strip_line_ends(T.unify_newlines(F.coalesce(F.col(text), F.lit(""))))), r"\s+\z", "")
+    rows = df.select(F.col(key).alias("key"), F.col(page).alias("page"), tidy.alias("text"))
+    dealt = cut(rows.repartitionByRange("key", "page").withColumn("part", F.spark_partition_id()).withColumn("n", F.length("text") + len(separator)), "pages")
+    sums = dealt.groupBy("key", "part").agg(F.sum("n").alias("sum"))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("key").alias("k"), F.col("part").alias("q"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("key", "part").orderBy("page", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("start", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    placed = placed.join(sums, F.col("key").eqNullSafe(F.col("k")) & (F.col("part") == F.col("q"))).withColumn("start", F.col("start") + F.col("first"))
+    return placed.select(F.col("key").alias(key), F.col("page").alias(page), "start", (F.col("start") + F.length("text")).alias("end"), F.col("text").alias(text))
 
 
 def blank_line_cleaner(df: DataFrame, key: str, text: str) -> DataFrame:

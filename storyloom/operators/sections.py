@@ -36,11 +36,12 @@ def toc(blocks: DataFrame) -> DataFrame:
     """(book, index, ordinal, title) of the entries of each book's table of contents.
 
     The first heading of one counts if two of the next five blocks are strict items; entries are the items after it
-    up to the first block that is none, one equal to the entry before left out."""
+    up to the first block that is none, one equal to the entry before left out. Blocks are judged one by one, and only
+    what was found of them is put in order."""
     order = Window.partitionBy("book").orderBy("index")
-    strict = F.rlike("text", F.lit(ITEM))
-    rows = blocks.withColumn("ahead", F.sum(strict.cast("int")).over(order.rowsBetween(1, 5))).withColumn("item", toc_item())
-    start = rows.filter(F.rlike("text", F.lit(TOC))).groupBy("book").agg(F.min_by(F.struct(F.col("index").alias("i"), F.col("ahead").alias("a")), "index").alias("s")).filter("s.a >= 2").select("book", F.col("s.i").alias("toc_start"))
+    judged = blocks.select("book", "index", F.rlike("text", F.lit(ITEM)).cast("int").alias("strict"), F.rlike("text", F.lit(TOC)).alias("begins"), toc_item().alias("item"))
+    rows = judged.withColumn("ahead", F.sum("strict").over(order.rowsBetween(1, 5)))
+    start = rows.filter("begins").groupBy("book").agg(F.min_by(F.struct(F.col("index").alias("i"), F.col("ahead").alias("a")), "index").alias("s")).filter("s.a >= 2").select("book", F.col("s.i").alias("toc_start"))
     after = rows.join(start, "book").filter(F.col("index") > F.col("toc_start"))
     ended = after.withColumn("ends", F.max(F.col("item").isNull().cast("int")).over(order)).filter("ends = 0")
     fresh = ended.withColumn("prev", F.lag("item.title").over(order)).filter(~F.col("item.title").eqNullSafe(F.col("prev")))
@@ -51,10 +52,13 @@ def body_headings(blocks: DataFrame) -> DataFrame:
     """(book, index, ordinal, title) of headings of the body: those after a block, past the table of contents' heading, that is neither a heading nor an item."""
     order = Window.partitionBy("book").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
     other = ~is_heading() & toc_item().isNull() & ~F.rlike("text", F.lit(TOC))
-    rows = blocks.withColumn("left_toc", F.coalesce(F.max(other.cast("int")).over(order), F.lit(0)))
+    ordinal = F.try_to_number(F.nullif(F.regexp_extract("text", HEADING, 1), F.lit("")), F.lit("999999999")).cast("int")
+    read = F.when(is_heading(), F.struct(ordinal.alias("ordinal"), F.trim(F.regexp_extract("text", HEADING, 4)).alias("title")))
+    rows = blocks.select("book", "index", other.cast("int").alias("other"), read.alias("head"))
+    rows = rows.withColumn("left_toc", F.coalesce(F.max("other").over(order), F.lit(0)))
     any_toc = blocks.groupBy("book").agg(F.max(F.rlike("text", F.lit(TOC)).cast("int")).alias("has_toc"))
-    rows = rows.join(any_toc, "book").filter(is_heading() & ((F.col("left_toc") == 1) | (F.col("has_toc") == 0)))
-    return rows.select("book", "index", F.try_to_number(F.nullif(F.regexp_extract("text", HEADING, 1), F.lit("")), F.lit("999999999")).cast("int").alias("ordinal"), F.trim(F.regexp_extract("text", HEADING, 4)).alias("title"))
+    rows = rows.join(any_toc, "book").filter(F.col("head").isNotNull() & ((F.col("left_toc") == 1) | (F.col("has_toc") == 0)))
+    return rows.select("book", "index", "head.ordinal", "head.title")
 
 
 def match_headings(entries: DataFrame, headings: DataFrame) -> DataFrame:

@@ -36,16 +36,17 @@ FROM ({_TURNS}) AS turns"""
 QUOTES = f"SELECT conv_id AS chapter_index, turn * 1000 + k % 90 - 20 AS q_start, turn * 1000 + k % 90 AS q_end, name AS quoted, CAST(k % 100 AS DOUBLE) / 100 AS prob FROM ({_TURNS}) AS turns WHERE k % 2 = 0"
 #: Votes: a user's events of a day by type.
 VOTES = "SELECT user_id, CAST(ts AS DATE) AS day, event_type AS candidate, count(*) AS votes FROM {events} GROUP BY user_id, CAST(ts AS DATE), event_type"
-#: Books: a source's documents as chapters after a table of contents and a separator.
+#: Books: a source's documents, whole, as chapters after a table of contents and a separator.
 BOOKS = """
-WITH d AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY source) AS m,
-                  'T' || CAST(doc_id AS STRING) || ' ' || trim(replace(substring(coalesce(text, ''), 1, 20), chr(10), ' ')) AS title, 'It says: ' || replace(substring(coalesce(text, ''), 1, 60), chr(10), ' ') || ' and so on it went to and fro.' AS body FROM {documents}),
+WITH d AS (SELECT source AS book, doc_id + 1 AS n, (SELECT max(doc_id) + 2 FROM {documents}) AS m,
+                  'T' || CAST(doc_id AS STRING) || ' in ' || coalesce(lang, '') AS title, coalesce(text, '') AS body FROM {documents}),
 b AS (SELECT DISTINCT book, 0 AS i, 'Table of Contents' AS text FROM d
       UNION ALL SELECT book, n AS i, 'Chapter ' || CAST(n AS STRING) || ': ' || title AS text FROM d
-      UNION ALL SELECT DISTINCT book, m + 1 AS i, 'It was a dark and stormy night and nobody was there to see it but the owl.' AS text FROM d
+      UNION ALL SELECT DISTINCT book, m AS i, 'It was a dark and stormy night and nobody was there to see it but the owl.' AS text FROM d
       UNION ALL SELECT book, m + 2 * n AS i, 'Chapter ' || CAST(n AS STRING) || ': ' || title AS text FROM d
       UNION ALL SELECT book, m + 2 * n + 1 AS i, body AS text FROM d)
-SELECT book, CAST(i AS BIGINT) AS index, text, 1 AS line_count, CAST(length(text) - length(replace(text, ' ', '')) + 1 AS INT) AS word_count, CAST(length(text) AS INT) AS char_count FROM b"""
+SELECT book, CAST(i AS BIGINT) AS index, text, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INT) AS line_count,
+       CAST(length(text) - length(replace(text, ' ', '')) + 1 AS INT) AS word_count, CAST(length(text) AS INT) AS char_count FROM b"""
 #: Chapters' quality: a month of orders each.
 CHAPTER_QC = """
 SELECT CAST(year(o_orderdate) AS STRING) AS book, CAST(month(o_orderdate) AS BIGINT) AS index, CAST(count(*) AS DOUBLE) / 7 AS duration_s,
