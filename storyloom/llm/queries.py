@@ -65,7 +65,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.planted(spark))
     path = tokenizer("byte_bpe_50k.tiktoken")
-    return chat.read_back(chat.format_turns(turns, path), path)
+    return chat.read_back(chat.format_turns(turns, path), path).drop("n_ids")
 
 
 def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,10 +93,12 @@ WITH t AS (
     SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
     UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 e AS (
-    SELECT *, replace(text, '\', '\\') AS x FROM t)
+    SELECT *, coalesce(role, '') AS r, coalesce(role, '') || text AS x,
+           '<(?:\|(?:turn|content|end|im_start|im_end|endoftext|system|user|assistant)\|>|/?s>|</?SYS>>)|\[/?INST\]' AS control FROM t)
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       sha256(string_agg(r || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(26 + length(x) + length(x) - length(replace(x, '\', '')) + len(regexp_extract_all(r, control)) + len(regexp_extract_all(text, control)))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
 }
