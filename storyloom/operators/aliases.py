@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
 
 MAX_EDITS, DIMENSIONS = 2, 256
+PACK, BLOCK = 1024, 4096
 
 
 def clusters(mentions: DataFrame) -> DataFrame:
@@ -15,48 +21,36 @@ def clusters(mentions: DataFrame) -> DataFrame:
     return mentions.select("mention").distinct().groupBy(T.name_key(F.col("mention")).alias("normalized")).agg(F.array_join(F.array_sort(F.collect_list("mention")), "|").alias("mentions"))
 
 
-def gram_vector(c: Column) -> Column:
-    """Hashed counts of 3- to 5-character grams, as (slots, norm)."""
-    padded = F.concat(F.lit("  "), c, F.lit("  "))
-    grams = F.flatten(F.transform(F.array(F.lit(3), F.lit(4), F.lit(5)), lambda n: F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.pmod(F.xxhash64(F.substring(padded, i, n)), F.lit(DIMENSIONS)))))
-    slots = F.transform(F.array_distinct(grams), lambda g: F.struct(g.alias("slot"), F.size(F.filter(grams, lambda x: x == g)).alias("n")))
-    return F.map_from_entries(slots)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x * x))
-    dot = F.aggregate(F.map_keys(a), F.lit(0.0), lambda s, k: s + F.element_at(a, k) * F.coalesce(F.try_element_at(b, k), F.lit(0)))
-    return dot / (norm(a) * norm(b))
-
-
 def edit_score(a: Column, b: Column) -> Column:
     """1 - distance / (length + 1) for at most two edits, else 0."""
-    d = F.levenshtein(a, b)
-    return F.when(d <= MAX_EDITS, 1 - d / (F.length(a) + 1)).otherwise(0.0)
+    d = F.levenshtein(a, b, MAX_EDITS)
+    return F.when(d >= 0, 1 - d / (F.length(a) + 1)).otherwise(0.0)
+
+
+def shortened(df: DataFrame, string: str, most: int, own: Column | None = None) -> DataFrame:
+    """Rows of df with variant: the hash of each string that deleting 0 to most characters of string gives, own at most."""
+    rows = df.withColumn("variant", F.col(string)).withColumn("at", F.lit(1))
+    out = rows
+    for done in range(most):
+        # Later characters only, so that no choice of places comes twice.
+        rows = rows.filter((F.col("at") <= F.length("variant")) & ((F.lit(most) if own is None else own) > done)).withColumn("at", F.explode(F.sequence("at", F.length("variant"))))
+        rows = rows.withColumn("variant", F.concat(F.substring(F.col("variant"), F.lit(1), F.col("at") - 1), F.substring(F.col("variant"), F.col("at") + 1, F.length("variant"))))
+        out = out.unionByName(rows)
+    # Both sides of a join on variant are dealt out alike, in as many parts as set: they are small before it and large after.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.withColumn("variant", F.xxhash64("variant")).drop("at").repartition(parts, "variant").distinct()
 
 
 def edit_candidates(mentions: DataFrame, canonical: DataFrame) -> DataFrame:
-    """(normalized, canonical, score) of pairs within MAX_EDITS edits, all of them, without a cross join.
+    """(normalized, canonical, edit, affix, exact) of pairs within MAX_EDITS edits, all of them, without a cross join.
 
-    Two such strings share one of MAX_EDITS + 1 pieces of the canonical name at a place that differs by at most
-    MAX_EDITS, so mentions offer their substrings of those lengths and places."""
-    k = MAX_EDITS + 1
-    size = lambda n: F.greatest(F.floor(n / k).cast("int"), F.lit(1))
+    What two such strings have in common is what deleting at most MAX_EDITS characters of each leaves, so they share a
+    variant. However many names begin alike, only close ones meet; a name of n characters has about n x n / 2 variants."""
     c = canonical.select("canonical", T.name_key(F.col("canonical")).alias("c"))
-    width = size(F.length("c"))
-    at = lambda i: i * width + 1
-    last = lambda i: F.when(i == k - 1, F.greatest(F.length("c") - at(i) + 1, F.lit(0))).otherwise(width)
-    pieces = c.select("canonical", "c", F.length("c").alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(i.alias("i"), F.substring(F.col("c"), at(i), last(i)).alias("s")))).alias("p")).select("canonical", "c", "n", "p.i", "p.s")
-    m = mentions.select("normalized").distinct()
-    lengths = F.sequence(F.greatest(F.length("normalized") - MAX_EDITS, F.lit(0)), F.length("normalized") + MAX_EDITS)
-    offered = m.select("normalized", F.explode(lengths).alias("n")).select("normalized", "n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))
-    w = size(F.col("n"))
-    start = F.col("i") * w + 1
-    length = F.when(F.col("i") == k - 1, F.greatest(F.col("n") - start + 1, F.lit(0))).otherwise(w)
-    offered = offered.select("normalized", "n", "i", start.alias("start"), length.alias("length")).select("normalized", "n", "i", "length", F.explode(F.sequence(F.greatest(F.col("start") - MAX_EDITS, F.lit(1)), F.greatest(F.col("start") + MAX_EDITS, F.lit(1)))).alias("start"))
-    offered = offered.select("normalized", "n", "i", F.substring(F.col("normalized"), F.col("start"), F.col("length")).alias("s")).distinct()
-    pairs = offered.join(pieces, ["n", "i", "s"]).select("normalized", "canonical", "c").distinct()
-    return pairs.filter(F.levenshtein("normalized", "c") <= MAX_EDITS).select("normalized", "canonical", edit_score(F.col("normalized"), F.col("c")).alias("edit"), (F.startswith("c", F.col("normalized")) | F.endswith("c", F.col("normalized"))).alias("affix"), (F.col("normalized") == F.col("c")).alias("exact"))
+    theirs = shortened(c.select("c").distinct(), "c", MAX_EDITS)
+    own = shortened(mentions.select("normalized").distinct(), "normalized", MAX_EDITS)
+    pairs = own.join(theirs, "variant").select("normalized", "c").filter(F.levenshtein("normalized", "c", MAX_EDITS) >= 0).distinct().join(c, "c")
+    return pairs.select("normalized", "canonical", edit_score(F.col("normalized"), F.col("c")).alias("edit"), (F.startswith("c", F.col("normalized")) | F.endswith("c", F.col("normalized"))).alias("affix"), (F.col("normalized") == F.col("c")).alias("exact"))
 
 
 def edit_scores(mentions: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -67,10 +61,42 @@ def edit_scores(mentions: DataFrame, canonical: DataFrame) -> DataFrame:
 
 
 def gram_scores(mentions: DataFrame, canonical: DataFrame) -> DataFrame:
-    """(normalized, canonical, cosine): the best canonical name of those that share the key's first three characters."""
-    m = mentions.select("normalized").distinct().withColumn("block", F.substring("normalized", 1, 3)).withColumn("v", gram_vector(F.col("normalized")))
-    c = canonical.select("canonical", T.name_key(F.col("canonical")).alias("c")).withColumn("block", F.substring("c", 1, 3)).withColumn("w", gram_vector(F.col("c"))).drop("c")
-    rows = m.join(c, "block").select("normalized", "canonical", cosine(F.col("v"), F.col("w")).alias("cosine"))
+    """(normalized, canonical, cosine): the best of all canonical names by hashed counts of 3- to 5-character grams; ties by name.
+
+    Every name is held against all of the roster, in packs of PACK mentions and BLOCK roster names at most in the mean,
+    of which one pair at a time is in memory."""
+    blocks = canonical.filter("canonical IS NOT NULL").select("canonical", T.name_key(F.col("canonical")).alias("c")).distinct()
+    names = mentions.filter("normalized IS NOT NULL").select("normalized").distinct()
+    parts = lambda df, size: -(-df.count() // size)
+    n, m = parts(names, PACK), parts(blocks, BLOCK)
+    if not n or not m:
+        return names.limit(0).select("normalized", F.lit("").alias("canonical"), F.lit(0.0).alias("cosine"))
+    of = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k))
+    blocks = blocks.groupBy(of("canonical", m).alias("block")).agg(F.array_sort(F.collect_list(F.struct("canonical", "c"))).alias("roster"))
+    packs = names.groupBy(of("normalized", n).alias("pack")).agg(F.collect_list("normalized").alias("names"))
+    pairs = packs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))).repartition(max(n * m, 1), "pack", "block").join(blocks, "block")
+    slots = DIMENSIONS
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def vectors(strings: list[str]) -> np.ndarray:
+            out = np.zeros((len(strings), slots))
+            for row, s in zip(out, strings, strict=True):
+                s = f"  {s}  "
+                for size in (3, 4, 5):
+                    for i in range(len(s) - size + 1):
+                        row[zlib.crc32(s[i : i + size].encode()) % slots] += 1
+            return out
+
+        for batch in batches:
+            for pair in batch.to_pylist():
+                a, b = vectors(pair["names"]), vectors([x["c"] for x in pair["roster"]])
+                # Products of counts are exact, so equal names score alike in every pack.
+                cosine = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1))
+                first = cosine.argmax(axis=1)
+                found = [pair["names"], [pair["roster"][j]["canonical"] for j in first], cosine[np.arange(len(first)), first].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["normalized", "canonical", "cosine"])
+
+    rows = pairs.select("names", "roster").mapInArrow(best, "normalized string, canonical string, cosine double")
     return rows.groupBy("normalized").agg(F.min_by("canonical", F.struct(-F.col("cosine"), F.col("canonical"))).alias("canonical"), F.max("cosine").alias("cosine"))
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import difflib
+import itertools
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
+from storyloom.operators.aliases import shortened
 
 # Cue patterns and titles.
 THOUGHT_CUE = r"\b([A-Z][a-z]+)\s+thought\b"
@@ -18,6 +21,8 @@ USER_TAG = r"(?i)<\s*User\s*:\s*([^>]+)>\s*\z"
 VOCATIVE = r'"[^"\n]*,\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})[!?]"'
 TITLED = r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Lady|Lord|Capt|Captain|Lt|Sgt|Sergeant|Gen|Colonel)\.??\s+([A-Z][a-z]+)\b"
 MAX_ALIAS = 64
+#: Edits up to which pairs of names are found by what deletions leave of them.
+MOST = 3
 
 
 def _said(speaker: Column | str, method: str, confidence: float) -> Column:
@@ -118,7 +123,7 @@ def similar_names(names: DataFrame, share: float = 0.90) -> DataFrame:
     from storyloom.operators.graph import components
 
     own = names.select("name").distinct().withColumn("k", T.name_key(F.col("name")))
-    near = piece_pairs(own.select(F.col("k").alias("a")), own.select(F.col("k").alias("b")), (1 - share) / 2)
+    near = near_pairs(own.select(F.col("k").alias("a")), own.select(F.col("k").alias("b")), (1 - share) / 2)
     close = near.toDF("normalized", "c").filter(2 * F.levenshtein("normalized", "c") <= (1 - share) * (F.length("normalized") + F.length("c")))
     tiles = close.select(F.struct("normalized", "c").alias("tile"), F.explode(F.array("normalized", "c")).alias("node"))
     grouped = own.join(components(tiles).withColumnRenamed("node", "k"), "k")
@@ -126,6 +131,22 @@ def similar_names(names: DataFrame, share: float = 0.90) -> DataFrame:
     return grouped.join(head, "root").select("name", "canonical")
 
 
+def near_pairs(left: DataFrame, right: DataFrame, rate: float) -> DataFrame:
+    """(a, b): of strings a of left and b of right, all pairs whose edits are at most rate x their total length, and others.
+
+    What such a pair has in common is what deleting at most those edits' number of characters of each leaves. Where the
+    shorter string allows MOST edits or fewer, pairs are found by these variants, so only close strings meet, however
+    many begin alike; longer strings are found by shared pieces."""
+    edits = lambda n: math.floor(2 * rate * n / (1 - rate) + 1e-9)
+    longest = next(n for n in itertools.count() if edits(n + 1) > MOST)
+    reach = math.floor(longest * (1 + rate) / (1 - rate) + 1e-9)
+    own = lambda c: F.floor(2 * rate * F.length(c) / (1 - rate) + 1e-9)
+    sides = [shortened(df.select(c).distinct().filter(F.length(c) <= reach), c, MOST, own(c)) for df, c in ((left, "a"), (right, "b"))]
+    short = sides[0].join(sides[1], "variant").select("a", "b").filter(F.least(F.length("a"), F.length("b")) <= longest)
+    near = short.filter(F.levenshtein("a", "b", math.floor(2 * rate * reach) + 1) >= 0)
+    return near.unionByName(piece_pairs(left.filter(F.length("a") > longest), right.filter(F.length("b") > longest), rate)).distinct()
+
+
 def piece_pairs(left: DataFrame, right: DataFrame, rate: float) -> DataFrame:
     """(a, b): of strings a of left and b of right, all pairs whose edits are at most rate x their total length, and others.
 
@@ -159,6 +180,6 @@ def closest_in_roster(names: DataFrame, roster: DataFrame, share: float = 0.92)
     left = names.select("name").distinct().withColumn("low", F.lower("name"))
     right = roster.select("rank", F.col("name").alias("canonical"), F.lower("name").alias("other"))
     lengths = 2 * F.least(F.length("low"), F.length("other")) >= share * (F.length("low") + F.length("other"))
-    near = piece_pairs(left.select(F.col("low").alias("a")), right.select(F.col("other").alias("b")), 1 - share).toDF("low", "other").filter(lengths)
+    near = near_pairs(left.select(F.col("low").alias("a")), right.select(F.col("other").alias("b")), 1 - share).toDF("low", "other").filter(lengths)
     pairs = left.join(near, "low").join(right, "other").withColumn("ratio", ratio(F.col("low"), F.col("other"))).filter(F.col("ratio") >= share)
     return left.select("name").join(pairs.groupBy("name").agg(F.min_by("canonical", "rank").alias("canonical")), "name", "left")

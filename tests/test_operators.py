@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from storyloom.operators import aliases, attribution, audit, casting, graph, planning, quality_control, refine, sections, spans
@@ -203,3 +204,63 @@ def test_similar_names_of_many_edits(spark):
     edited = long.replace("honourable", "honorable").replace("bartholomew", "bartolomeu").replace("winter", "wintre")
     names = spark.createDataFrame([(long,), (edited,), ("somebody else",)], "name string")
     assert {r["name"]: r["canonical"] for r in attribution.similar_names(names).collect()} == {long: long, edited: long, "somebody else": "somebody else"}
+
+
+def test_gram_scores_hold_every_name_against_the_whole_roster(spark):
+    import math
+    import random
+    import zlib
+    from collections import Counter
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abc d") for _ in range(r.randint(1, 9))).strip() or "a"
+    names, roster = sorted({word() for _ in range(60)}), sorted({word() for _ in range(40)} | {"the alice", "Alice"})
+    names += ["alice", ""]
+
+    def vector(s):
+        s = f"  {s}  "
+        return Counter(zlib.crc32(s[i : i + n].encode()) % aliases.DIMENSIONS for n in (3, 4, 5) for i in range(len(s) - n + 1))
+
+    def cosine(a, b):
+        return sum(n * b[k] for k, n in a.items()) / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+
+    key = lambda c: " ".join(c.lower().split())
+    frame = lambda rows, c: spark.createDataFrame([(x,) for x in rows], f"{c} string")
+    before = aliases.PACK, aliases.BLOCK
+    aliases.PACK, aliases.BLOCK = 10, 7
+    try:
+        got = {x["normalized"]: x for x in aliases.gram_scores(frame([*names, None], "normalized"), frame([*roster, None], "canonical")).collect()}
+    finally:
+        aliases.PACK, aliases.BLOCK = before
+    assert set(got) == set(names)
+    for name in names:
+        best = max(cosine(vector(name), vector(key(c))) for c in roster)
+        assert abs(got[name]["cosine"] - best) < 1e-9 and abs(cosine(vector(name), vector(key(got[name]["canonical"]))) - best) < 1e-9
+    assert aliases.gram_scores(frame([], "normalized"), frame(roster, "canonical")).count() == 0
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.08, 0.2])
+def test_near_pairs_are_all_found(spark, rate):
+    import random
+
+    r = random.Random(9)
+    base = ["customer 0000123", "customer 0000124", "x", "", "a much longer name than the others have, with many words in it, and more of them"]
+    words = set(base)
+    for s in base * 12:
+        for _ in range(r.randint(1, 4)):
+            k = r.randrange(len(s) + 1)
+            s = r.choice([s[:k] + "z" + s[k:], s[:k] + s[k + 1 :], s[:k] + "q" + s[k + 1 :]])
+        words.add(s)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {(a, b) for a in words for b in words if distance(a, b) <= rate * (len(a) + len(b))}
+    df = spark.createDataFrame([(w,) for w in words], "a string")
+    got = {tuple(x) for x in attribution.near_pairs(df, df.withColumnRenamed("a", "b"), rate).collect()}
+    assert want - {("", "")} <= got
