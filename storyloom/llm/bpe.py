@@ -27,8 +27,8 @@ from storyloom.llm.common import gather, passes, raw, runs, ship, strings
 
 #: Splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Cached strings of a worker, and distinct words of one recursive query.
-CACHE, BATCH = 200_000, 10_000
+#: Cached strings of a worker (of text and of ids each), and distinct words of one recursive query.
+CACHE, BATCH = 800_000, 10_000
 #: Longer words (in bytes) are contracted by a linked list and a heap, by the same rule: the rows of all steps
 #: of the recursive query grow with the square of a word's length.
 LONG = 128
@@ -39,13 +39,14 @@ STEP = 2 << 20
 class Codec:
     """Ids for texts and bytes for ids, by the ranks of a tiktoken file."""
 
-    def __init__(self, path: str, pattern: str = PATTERN):
+    def __init__(self, path: str, pattern: str = PATTERN, cache: int = CACHE):
         import duckdb
         import regex
 
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.find = regex.compile(pattern).findall
+        self.cache = cache
         size = max(self.ranks.values()) + 1
         self.vocabulary = [b""] * size
         for token, rank in self.ranks.items():
@@ -172,7 +173,7 @@ class Codec:
         self._learn(set().union(*cut.values(), *whole.values()), found)
         for k, ws in cut.items():
             ids[k] = b"".join([found[w] for w in ws])
-            if len(self.pieces) < CACHE:
+            if len(self.pieces) < self.cache:
                 self.pieces[pieces[k]] = ids[k]
         for k, ws in whole.items():
             own = np.flatnonzero(text == k)
@@ -204,7 +205,7 @@ class Codec:
             for run, text in got:
                 x = part[run]
                 texts[x] = text.encode("latin-1")
-                if len(self.runs) < CACHE:
+                if len(self.runs) < self.cache:
                     self.runs[keys[x]] = texts[x]
         flat, bounds = gather(texts, np.uint8, pick)
         return flat, bounds[np.searchsorted(starts, offsets)]
@@ -219,11 +220,11 @@ class Codec:
 _codecs: dict[tuple, Codec] = {}
 
 
-def codec(path: str, pattern: str = PATTERN) -> Codec:
+def codec(path: str, pattern: str = PATTERN, cache: int = CACHE) -> Codec:
     """This worker's codec for a file."""
-    key = (path, pattern, os.getpid())
+    key = (path, pattern, cache, os.getpid())
     if key not in _codecs:
-        _codecs[key] = Codec(path, pattern)
+        _codecs[key] = Codec(path, pattern, cache)
     return _codecs[key]
 
 
@@ -245,11 +246,11 @@ def _mapped(df: DataFrame, columns: list[str], schema: str, work: Callable[[pa.R
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", pattern: str = PATTERN) -> DataFrame:
-    """(key, n_tokens, ids) of every row."""
+def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", pattern: str = PATTERN, cache: int = CACHE) -> DataFrame:
+    """(key, n_tokens, ids) of every row; workers cache so many strings."""
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
-        ids, at = codec(path, pattern).encode(strings(batch.column(1)))
+        ids, at = codec(path, pattern, cache).encode(strings(batch.column(1)))
         return [batch.column(0), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))]
 
     kind = dict(df.dtypes)[key]
