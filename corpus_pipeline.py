@@ -15,6 +15,9 @@ from storyloom.llm import bpe, decontaminate, jaccard, quality
 from storyloom.llm.common import cut
 from storyloom.llm.queries import tokenizer
 
+#: Cached strings of a worker that encodes: fewer than bpe's own number, as earlier stages' buffers are still held.
+CACHE = 200_000
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the top grade reaches the classifier's limit."""
@@ -33,7 +36,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of every document."""
-    return bpe.encode(docs, tokenizer("byte_bpe_multi_50k.tiktoken"))
+    return bpe.encode(docs, tokenizer("byte_bpe_multi_50k.tiktoken"), cache=CACHE)
 
 
 STAGES = [("quality classifier", good_quality), ("n-gram Jaccard join", without_near_duplicates), ("benchmark decontamination", without_leaks), ("byte-level BPE", encoded)]
