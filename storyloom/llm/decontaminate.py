@@ -15,6 +15,7 @@ nothing; repeated documents are each judged. Further columns are kept by ``clean
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,12 +136,14 @@ class Index:
         return tuple(np.unique(np.concatenate(found, axis=1), axis=1)) if found else (np.zeros(0, np.int64),) * 3
 
 
-def _blocks(benchmark: DataFrame, key: str, text: str) -> list[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple[str, str]]]:
+    """Distinct items by blocks; the driver holds one at a time, as a block goes to a file once it is broadcast."""
     items = benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = -(-size // BLOCK_BYTES)
     part = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, n)))
-    return [[(r["id"], r["text"]) for r in items.filter(part == k).distinct().toLocalIterator()] for k in range(n)]
+    for k in range(max(1, n)):
+        yield [(r["id"], r["text"]) for r in items.filter(part == k).distinct().toLocalIterator()]
 
 
 def _judge(index: Index, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -159,7 +162,6 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     ship(spark)
     kind = dict(docs.dtypes)[key]
-    blocks = _blocks(benchmark, item, text) or [[]]
     schema = f"row bigint, {key} {kind}, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), key, text)
 
@@ -186,10 +188,9 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
         return rows.mapInArrow(run, schema)
 
-    out = over(blocks[0])
-    if len(blocks) > 1:
-        for block in blocks[1:]:
-            out = out.unionByName(over(block))
+    found = [over(block) for block in _blocks(benchmark, item, text)]
+    out = functools.reduce(DataFrame.unionByName, found)
+    if len(found) > 1:
         merged = F.aggregate(
             F.array_sort(F.flatten(F.collect_list("spans"))),
             F.array().cast("array<struct<start:int,end:int>>"),
