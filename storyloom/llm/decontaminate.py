@@ -2,8 +2,10 @@
 
 Of all k-grams of words, the least hash of every window of w neighbouring k-grams is kept, in benchmark items and
 documents alike, with k + w - 1 = ``SPAN``: every shared run of SPAN words holds a whole window, hence a common
-fingerprint. Fingerprints of both sides are joined, each hit is extended to both sides while words agree, and runs
-of SPAN words or more count. An item of fewer words is looked for as a whole, by the hash of all its words.
+fingerprint. Fingerprints of both sides are joined, and each hit is extended to the runs of SPAN words around it that
+an item has, compared word by word; together these make up the longer runs. Each run is looked up once however often
+items have it, so texts that repeat themselves cost no more than others. An item of fewer words is looked for as a
+whole, by the hash of all its words.
 
 The benchmark's index goes to the workers. It is built for blocks of at most ``BLOCK_BYTES`` of item text; a
 benchmark beyond that is worked off block by block, and hits are merged by document.
@@ -71,69 +73,106 @@ def _winnowed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at]
 
 
+def _hashes(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of size words that begin at these places; those of _grams."""
+    out = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        out = out * np.uint64(0xD6E8FEB86659FD93) + h[at + j]
+    return mix(out)
+
+
+def _sieve(g: np.ndarray) -> np.ndarray:
+    """Which low bits some hashes have."""
+    out = np.zeros(1 << FILTER_BITS, bool)
+    out[(g & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
+    return out
+
+
+def _sifted(sieve: np.ndarray, g: np.ndarray) -> np.ndarray:
+    return sieve[(g & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where equal values begin in ascending ones."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+
+
+class Windows:
+    """The distinct windows of size words among the words h of items, each at one place, and the items that hold them.
+
+    Windows that the same items hold share one list of items."""
+
+    def __init__(self, h: np.ndarray, at: np.ndarray, item: np.ndarray, size: int):
+        self.h, self.size = h, size
+        g = _hashes(h, at, size)
+        order = np.lexsort((item, g))
+        g, at, item = g[order], at[order], item[order]
+        once = np.append(True, (g[1:] != g[:-1]) | (item[1:] != item[:-1]))[: len(g)]
+        g, at, item = g[once], at[once], item[once]
+        first = _starts(g)
+        self.keys, self.at, self.sieve = g[first], at[first], _sieve(g)
+        counts = np.diff(np.append(first, len(g)))
+        sums = np.add.reduceat(mix(item.astype(np.uint64) + np.uint64(1)), first) if len(g) else g
+        _, lists, self.list_of = np.unique(sums, return_index=True, return_inverse=True)
+        self.items, self.low, self.counts = item, first[lists], counts[lists]
+
+    def found(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the places in a document's words where a window begins, and which window it is."""
+        at = at[at + self.size <= len(h)]
+        g = _hashes(h, at, self.size)
+        some = _sifted(self.sieve, g)
+        at, g = at[some], g[some]
+        k = np.searchsorted(self.keys, g)
+        hit = k < len(self.keys)
+        at, g, k = at[hit], g[hit], k[hit]
+        hit = self.keys[k] == g
+        for j in range(self.size):
+            hit &= h[at + j] == self.h[self.at[k] + j]
+        return at[hit], k[hit]
+
+    def items_of(self, text: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item) for the windows that texts hold."""
+        text, own = np.unique(np.stack([text, self.list_of[window]]), axis=1)
+        n = self.counts[own]
+        return np.repeat(text, n), self.items[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.low[own], n)]
+
+
 class Index:
-    """Fingerprints of benchmark items, with what a hit's extension needs."""
+    """Fingerprints of benchmark items and their windows, by which hits are extended."""
 
     def __init__(self, items: list[tuple[str, str]]):
-        self.ids = [i for i, _ in items]
+        self.ids = sorted({i for i, _ in items})
+        number = {i: k for k, i in enumerate(self.ids)}
         body, offsets = raw(pa.array([t for _, t in items], pa.large_string()))
         h, _, _, first = words(body, offsets, ALNUM)
-        self.h = _fenced(h, first, 1)
+        h = _fenced(h, first, 1)
         n = np.diff(first)
         begin = first[:-1] + np.arange(1, len(items) + 1)
-        self.item = np.repeat(np.arange(len(items) + 1), np.concatenate([n + 1, [1]]))[: len(self.h)] if len(items) else np.zeros(1, np.int64)
-        at, g = _winnowed(self.h)
-        long = n[self.item[at]] >= SPAN if len(at) else np.zeros(0, bool)
-        self.levels = {0: self._sorted(g[long], at[long])}
-        for m in sorted({int(x) for x in n if 0 < x < SPAN}):
-            at = begin[n == m]
-            self.levels[m] = self._sorted(_grams(self.h, m)[at], at)
-
-    @staticmethod
-    def _sorted(g: np.ndarray, at: np.ndarray) -> tuple:
-        order = np.argsort(g, kind="stable")
-        g, at = g[order], at[order]
-        sieve = np.zeros(1 << FILTER_BITS, bool)
-        sieve[(g & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
-        return g, at, sieve
-
-    def _joined(self, m: int, at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of hits in the documents and in the items."""
-        known, places, sieve = self.levels[m]
-        some = sieve[(g & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]
+        name = np.array([number[i] for i, _ in items], np.int64)
+        self.known = np.unique(_winnowed(h)[1])
+        self.sieve = _sieve(self.known)
+        held = np.maximum(n - SPAN + 1, 0)
+        place = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held) + np.repeat(begin, held)
+        self.long = Windows(h, place, np.repeat(name, held), SPAN)
+        self.short = [Windows(h, begin[n == m], name[n == m], m) for m in sorted({int(x) for x in n if 0 < x < SPAN})]
+
+    def hits(self, h: np.ndarray) -> Iterator[tuple[Windows, np.ndarray, np.ndarray]]:
+        """Of documents' fenced words, places where windows begin, and which: by each size of window.
+
+        A fingerprint that both sides have is extended to the windows around it. Each is looked up once, so a word
+        repeated without end costs no more than others."""
+        at, g = _winnowed(h)
+        some = _sifted(self.sieve, g)
         at, g = at[some], g[some]
-        low, high = np.searchsorted(known, g, "left"), np.searchsorted(known, g, "right")
-        n = high - low
-        p = np.repeat(at, n)
-        q = places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-        return p, q
-
-    def spans(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end (places in h, which is fenced) and item of every shared run that counts."""
-        found = []
-        for m in self.levels:
-            if m == 0:
-                at, g = _winnowed(h)
-            else:
-                g = _grams(h, m)
-                at = np.arange(len(g))
-            p, q = self._joined(m, at, g)
-            size = m or K
-            same = np.ones(len(p), bool)
-            for j in range(size):
-                same &= h[p + j] == self.h[q + j]
-            p, q = p[same], q[same]
-            a, b = p.copy(), p + size
-            if m == 0:
-                for edge, step in ((a, -1), (b, 1)):
-                    live = np.arange(len(p))
-                    while len(live):
-                        x = edge[live] + min(step, 0)
-                        live = live[h[x] == self.h[x - p[live] + q[live]]]
-                        edge[live] += step
-            counts = b - a >= (m or SPAN)
-            found.append(np.stack([a[counts], b[counts], self.item[q[counts]]]))
-        return tuple(np.unique(np.concatenate(found, axis=1), axis=1)) if found else (np.zeros(0, np.int64),) * 3
+        k = np.searchsorted(self.known, g)
+        at = at[k < len(self.known)][self.known[k[k < len(self.known)]] == g[k < len(self.known)]]
+        around = np.zeros(len(h), bool)
+        for j in range(W):
+            around[np.maximum(at - j, 0)] = True
+        yield self.long, *self.long.found(h, np.flatnonzero(around))
+        for level in self.short:
+            g = _grams(h, level.size)
+            yield level, *level.found(h, np.flatnonzero(_sifted(level.sieve, g)))
 
 
 def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple[str, str]]]:
@@ -146,15 +185,25 @@ def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple[st
         yield [(r["id"], r["text"]) for r in items.filter(part == k).distinct().toLocalIterator()]
 
 
-def _judge(index: Index, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each pass: its rows, their word counts, and text, start, end and item of each shared run."""
+def _judge(index: Index, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each pass: its rows, their word counts, text, start and end of each run of hit words in order, and text and
+    item of what was found, in order."""
     body, offsets = raw(column)
     for x, y in passes(offsets):
         h, _, _, first = words(body[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], ALNUM)
-        a, b, item = index.spans(_fenced(h, first, 0))
+        h = _fenced(h, first, 0)
         begin = first[:-1] + np.arange(1, y - x + 1)
+        edge, pairs = np.zeros(len(h) + 1, np.int64), []
+        for level, at, window in index.hits(h):
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + level.size, -1)
+            pairs.append(level.items_of(np.searchsorted(begin, at, "right") - 1, window))
+        hit = np.cumsum(edge) > 0
+        turns = np.flatnonzero(np.diff(hit, prepend=False, append=False))
+        a, b = turns[::2], turns[1::2]
         of = np.searchsorted(begin, a, "right") - 1
-        yield x, y, np.diff(first), of, a - begin[of], b - begin[of], item
+        text, item = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        yield x, y, np.diff(first), of, a - begin[of], b - begin[of], text, item
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
@@ -170,19 +219,14 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
+            ids = pa.array(index.ids, pa.string())
             for batch in batches:
-                for x, y, n, of, a, b, hit in _judge(index, strings(batch.column(2))):
-                    spans: list[list] = [[] for _ in range(y - x)]
-                    items: list[set] = [set() for _ in range(y - x)]
-                    for d, s, e, i in sorted(zip(of.tolist(), a.tolist(), b.tolist(), hit.tolist(), strict=True)):
-                        items[d].add(index.ids[i])
-                        if spans[d] and s <= spans[d][-1]["end"]:
-                            spans[d][-1]["end"] = max(e, spans[d][-1]["end"])
-                        else:
-                            spans[d].append({"start": s, "end": e})
+                for x, y, n, of, a, b, text_of, hit in _judge(index, strings(batch.column(2))):
+                    bounds = [pa.array(np.searchsorted(k, np.arange(y - x + 1)).astype(np.int32)) for k in (of, text_of)]
+                    spans = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["start", "end"])
                     own = batch.slice(x, y - x)
                     yield pa.RecordBatch.from_arrays(
-                        [own.column(0), own.column(1), pa.array(n.astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted(s) for s in items], pa.list_(pa.string()))],
+                        [own.column(0), own.column(1), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(bounds[0], spans), pa.ListArray.from_arrays(bounds[1], ids.take(pa.array(hit)))],
                         names=["row", key, "n_words", "spans", "items"],
                     )
 

@@ -146,8 +146,8 @@ def test_decontamination(spark):
     r = texts(5, 30)
     long = [t for _, t in r if t and len(spaced(t)) >= 30][:4]
     item = " ".join(long[0].split()[3:20])
-    bench = [(1, item), (2, item.upper().replace(" ", "-- ")), (10, "a b c d"), (11, "single"), (12, None), (13, "!?"), (1, item), (20, " ".join(long[1].split()[:9])), (21, " ".join(f"u{k}" for k in range(50)))]
-    docs = [*r, (900, "Start " + " ".join(f"u{k}" for k in range(20, 33)) + " end"), (901, "x a B, c D y"), (902, " ".join(f"u{k}" for k in range(9))), (903, "Single?"), (904, " ".join(f"u{k}" for k in range(50)) * 2)]
+    bench = [(1, item), (2, item.upper().replace(" ", "-- ")), (10, "a b c d"), (11, "single"), (12, None), (13, "!?"), (1, item), (20, " ".join(long[1].split()[:9])), (21, " ".join(f"u{k}" for k in range(50))), (22, "again " * 4000), (23, "and again " * 700 + "again " * 12), (24, "again " * 3)]
+    docs = [*r, (900, "Start " + " ".join(f"u{k}" for k in range(20, 33)) + " end"), (901, "x a B, c D y"), (902, " ".join(f"u{k}" for k in range(9))), (903, "Single?"), (904, " ".join(f"u{k}" for k in range(50)) * 2), (905, "again " * 3000), (906, "again and " * 900 + "again " * 9), (907, "again " * 9)]
     pattern = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     tokens = lambda t: pattern.findall((t or "").encode().translate(LOWER))
     windows: dict[tuple, set[str]] = {}
@@ -171,7 +171,7 @@ def test_decontamination(spark):
         return Counter((x["doc_id"], x["n_words"], tuple(k for s in x["spans"] for k in range(s["start"], s["end"])), tuple(x["items"])) for x in decontaminate.find(df, bf).collect())
 
     assert result() == want
-    old, decontaminate.BLOCK_BYTES = decontaminate.BLOCK_BYTES, 120
+    old, decontaminate.BLOCK_BYTES = decontaminate.BLOCK_BYTES, 8_000
     try:
         assert result() == want
         kept = decontaminate.clean(df, bf)
