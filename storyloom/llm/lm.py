@@ -136,7 +136,8 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
 
     found = docs.mapInArrow(run, f"block bigint, words binary, sizes binary, tokens binary, doc_ids array<{kind}>, held_out array<boolean>")
     name = f"lm_blocks_{uuid.uuid4().hex}"
-    found.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/storyloom/{name}").saveAsTable(name)
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    found.write.bucketBy(min(buckets, most), "block").option("path", f"{shared_dir(spark)}/storyloom/{name}").saveAsTable(name)
     return spark.table(name)
 
 
