@@ -141,11 +141,11 @@ def test_jaccard(spark, block):
 
 def test_jaccard_common_shingles(spark):
     rows = [(k, " ".join(f"w{(k * j) % 37}" for j in range(40))) for k in range(30)] + [(100 + k, " ".join(f"s{j}" for j in range(50)) + f" e{k}") for k in range(30)]
-    old, jaccard.HELD = jaccard.HELD, 50
+    old, (jaccard.HELD, jaccard.BUCKET) = (jaccard.HELD, jaccard.BUCKET), (50, 100)
     try:
         got = jaccard.join(frame(spark, rows)).collect()
     finally:
-        jaccard.HELD = old
+        jaccard.HELD, jaccard.BUCKET = old
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows)
 
 
