@@ -25,7 +25,6 @@ is unknown and the model is sure of that. Further columns are not read.
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Iterator
 
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import SPACED, cut, mix, passes, raw, shared_dir, ship, strings, words
+from storyloom.llm.common import SPACED, cut, mix, pack, pack_sorted, passes, raw, shared_dir, ship, strings, unpack, unpack_sorted, words
 
 DEPTH = 2
 LEAST, RATIO, GAIN, DISCOUNT = 2, 1.5, 2.0, 0.75
@@ -63,34 +62,7 @@ def tokens(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, at
 
 
-# --- numbers in few bytes ---
-
-
-@functools.cache
-def _zstd():
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-
-
-def pack(x: np.ndarray) -> bytes:
-    """Numbers, compressed byte plane by byte plane."""
-    x = np.ascontiguousarray(x)
-    return _zstd()[0].compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()) if len(x) else b""
-
-
-def unpack(blob: bytes, kind: type) -> np.ndarray:
-    data = np.frombuffer(_zstd()[1].decompress(blob) if blob else b"", np.uint8)
-    return np.ascontiguousarray(data.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
-
-
-def pack_sorted(x: np.ndarray) -> bytes:
-    """Ascending numbers by their differences."""
-    return pack(np.diff(x, prepend=np.uint64(0)))
-
-
-def unpack_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
+# --- ranges of the hash space ---
 
 
 def ranges(x: np.ndarray, bits: int, buckets: int) -> list[tuple[int, int, int]]:
