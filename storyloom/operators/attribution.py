@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
 from storyloom.operators.aliases import shortened
+from storyloom.storage import cut
 
 # Cue patterns and titles.
 THOUGHT_CUE = r"\b([A-Z][a-z]+)\s+thought\b"
@@ -110,6 +111,7 @@ def merge_rosters(rosters: DataFrame) -> DataFrame:
 
     rows = rosters.select("chapter_index", "canonical", "alias")
     both = rows.select("canonical", F.col("alias").alias("shared")).unionByName(rows.select("canonical", F.col("canonical").alias("shared"))).distinct()
+    both = cut(both, "roster-names")
     named = components(both.select(F.col("shared").alias("tile"), F.col("canonical").alias("node")))
     first = rows.groupBy("canonical").agg(F.min("chapter_index").alias("first"))
     of = named.withColumnRenamed("node", "canonical").join(first, "canonical")
@@ -124,9 +126,11 @@ def similar_names(names: DataFrame, share: float = 0.90) -> DataFrame:
 
     own = names.select("name").distinct().withColumn("k", T.name_key(F.col("name")))
     near = near_pairs(own.select(F.col("k").alias("a")), own.select(F.col("k").alias("b")), (1 - share) / 2)
-    close = near.toDF("normalized", "c").filter(2 * F.levenshtein("normalized", "c") <= (1 - share) * (F.length("normalized") + F.length("c")))
+    # Each pair once, and found once: components read them several times. Names without a pair are their own group.
+    close = near.toDF("normalized", "c").filter("normalized < c").filter(2 * F.levenshtein("normalized", "c") <= (1 - share) * (F.length("normalized") + F.length("c")))
+    close = cut(close, "similar-names")
     tiles = close.select(F.struct("normalized", "c").alias("tile"), F.explode(F.array("normalized", "c")).alias("node"))
-    grouped = own.join(components(tiles).withColumnRenamed("node", "k"), "k")
+    grouped = own.join(components(tiles).withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     head = grouped.groupBy("root").agg(F.min_by("name", F.struct(-F.length("name"), F.col("name"))).alias("canonical"))
     return grouped.join(head, "root").select("name", "canonical")
 
