@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, chat, decontaminate, jaccard, lm, neighbours, quality, sharding, sstable, urls
+from storyloom.llm import bpe, chat, codes, decontaminate, jaccard, langid, lm, neighbours, quality, sharding, sstable, urls
 
 #: The rules of op7.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -72,10 +72,44 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(sstable.write(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_suffix_tree, op4_neighbours, op5_jaccard, op6_quality, op7_url_filters, op8_decontamination, op9_chat, op10_sstable)
+    f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_suffix_tree, op4_neighbours, op5_jaccard, op6_quality, op7_url_filters, op8_decontamination, op9_chat, op10_sstable, op12_language_id, op13_vector_codes)
 }
 
+
+
+def _codes_sql(rounds: int = codes.ROUNDS) -> str:
+    """Vector codes in DuckDB: one pair of common tables a round."""
+    steps = [rf"""
+WITH k AS (SELECT row_number() OVER () AS row, vec_id, label, embedding FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT row, vec_id, label, p, list_transform(embedding[p * 8 + 1 : p * 8 + 8], lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x FROM k, range(8) AS r(p)),
+c0 AS (SELECT p, e - 1 AS e, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) AS e FROM q) WHERE e <= 16)"""]
+    for n in range(rounds + 1):
+        steps.append(rf"""
+d{n} AS (SELECT row, p, min(struct_pack(d := d, e := e)) AS best FROM (
+            SELECT row, q.p AS p, e, list_sum(list_transform(range(1, 9), lambda i: (q.x[i] - c.x[i]) * (q.x[i] - c.x[i])))::BIGINT AS d FROM q JOIN c{n} AS c ON c.p = q.p) GROUP BY row, p)""")
+        if n < rounds:
+            steps.append(rf"""
+m{n} AS (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM (
+            SELECT q.p AS p, best.e AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM q JOIN d{n} AS d ON d.row = q.row AND d.p = q.p, range(1, 9) AS r(i) GROUP BY q.p, best.e, i) GROUP BY p, e),
+c{n + 1} AS (SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c{n} AS c LEFT JOIN m{n} AS m ON m.p = c.p AND m.e = c.e)""")
+    last = rf"""
+coded AS (SELECT row, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM d{rounds} GROUP BY row)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256
+FROM k JOIN coded USING (row)"""
+    return ",".join([*steps, last])
+
+
 ORACLE_SQL: dict[str, str] = {
     "op7_url_filters": r"""
 WITH u AS (
@@ -101,4 +135,5 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(26 + length(x) + length(x) - length(replace(x, '\', '')) + len(regexp_extract_all(r, control)) + len(regexp_extract_all(text, control)))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op13_vector_codes": _codes_sql(),
 }
