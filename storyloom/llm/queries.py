@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, chat, codes, decontaminate, jaccard, langid, lm, neighbours, quality, sharding, sstable, urls
+from storyloom.llm import bpe, chat, codes, decontaminate, jaccard, langid, lm, neighbours, quality, sharding, sstable, tries, urls
 
 #: The rules of op7.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -72,6 +72,10 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(sstable.write(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -81,7 +85,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_suffix_tree, op4_neighbours, op5_jaccard, op6_quality, op7_url_filters, op8_decontamination, op9_chat, op10_sstable, op12_language_id, op13_vector_codes)
+    f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_suffix_tree, op4_neighbours, op5_jaccard, op6_quality, op7_url_filters, op8_decontamination, op9_chat, op10_sstable, op11_prefix_trie, op12_language_id, op13_vector_codes)
 }
 
 
@@ -135,5 +139,34 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(26 + length(x) + length(x) - length(replace(x, '\', '')) + len(regexp_extract_all(r, control)) + len(regexp_extract_all(text, control)))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op11_prefix_trie": r"""
+WITH t AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS i, digest, words
+    FROM (SELECT conv_id, turn, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS digest,
+                 len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS donor,
+           xor(list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x), 0, 0, 0, 0, 0, 0, 0]::BIGINT[])),
+               lambda crc, x: xor(xor(crc, x) >> 1, 3988292384 * (xor(crc, x) & 1)), 4294967295::BIGINT), 4294967295::BIGINT) % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM t)),
+k AS (SELECT c.conv_id, donor, h, least(h, count(t.i)) AS k FROM c LEFT JOIN t ON t.conv_id = donor GROUP BY c.conv_id, donor, h),
+r AS (
+    SELECT k.conv_id, i AS d, digest, words FROM k JOIN t ON t.conv_id = donor AND i <= h
+    UNION ALL SELECT k.conv_id, k.k + i - h AS d, digest, words FROM k JOIN t ON t.conv_id = k.conv_id AND i > h),
+p AS (
+    SELECT conv_id, d, words, md5(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY d)) AS key FROM r
+    UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+n AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY d, key),
+up AS (SELECT n.*, b.key AS parent, a.conv_id AS parent_conv_id FROM n LEFT JOIN p AS b ON b.conv_id = n.conv_id AND b.d = n.d - 1 LEFT JOIN n AS a ON a.d = b.d AND a.key = b.key),
+kids AS (SELECT parent, d - 1 AS d, count(*) AS n_children FROM up WHERE d > 0 GROUP BY parent, d),
+whole AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids ON kids.parent = up.key AND kids.d = up.d),
+below AS (
+    SELECT a.d, a.key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * w.words) AS saved_tokens
+    FROM whole AS w JOIN p AS a ON a.conv_id = w.conv_id AND a.d <= w.d GROUP BY a.d, a.key),
+ends AS (
+    SELECT key, d, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+    FROM (SELECT *, max(d) OVER (PARTITION BY conv_id) AS last FROM p) WHERE d = last GROUP BY key, d)
+SELECT w.conv_id, w.d::BIGINT AS depth, w.parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM whole AS w JOIN below AS b ON b.d = w.d AND b.key = w.key LEFT JOIN ends AS e ON e.d = w.d AND e.key = w.key""",
     "op13_vector_codes": _codes_sql(),
 }
