@@ -35,6 +35,8 @@ BITS, GRAMS = 15, 4
 #: Texts that each language is learned from, those of least hash: about so many, as a sketch counts a language's texts.
 SAMPLE = 1_000
 EPOCHS, COST = 12, 4.0
+#: Bytes of text whose n-grams are held at a time.
+HELD = 1 << 18
 #: The scale from a margin to a log odds.
 SLOPE = 4.0
 UNKNOWN = "und"
@@ -107,7 +109,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, lang, slots, shares) of (key, lang, text): a text's distinct slots and their shares."""
     for batch in batches:
         body, offsets = raw(_lowered(batch.column(2)))
-        for x, y in passes(offsets):
+        for x, y in passes(offsets, HELD):
             flat, at = slots(body[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
             where, share = [], []
             for a, b in zip(at, at[1:], strict=False):
@@ -191,7 +193,7 @@ def margins(model: Model, column: pa.Array) -> np.ndarray:
     """margins[pair, text]: positive where a pair's left side wins."""
     body, offsets = raw(_lowered(column))
     out = np.zeros((len(model.pairs), len(column)))
-    for x, y in passes(offsets):
+    for x, y in passes(offsets, HELD):
         flat, at = slots(body[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
         n = np.diff(at)
         full = np.flatnonzero(n)
