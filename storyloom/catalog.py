@@ -237,6 +237,11 @@ def attribution_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.annotate(_paras(spark, sf_dir)).select("chapter_index", "id", "type", "speaker", "method", "confidence")
 
 
+@query()
+def nearest_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.annotate(V.view(spark, sf_dir, V.PROSE)).select("chapter_index", "id", "type", "start", "end", "text", "speaker", "method", "confidence")
+
+
 @query(f"SELECT chapter_index, para_index, regexp_extract(para, '\\b([A-Z][a-z]+)\\s+thought\\b', 1) AS thinker FROM {PARAS} WHERE regexp_matches(para, '\\b([A-Z][a-z]+)\\s+thought\\b')")
 def thought_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     cue = F.regexp_extract("para", attribution.THOUGHT_CUE, 1)

@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
+from storyloom.operators import cues
 from storyloom.operators.aliases import shortened
+from storyloom.operators.blocks import paragraph_offsets
 from storyloom.storage import cut
 
 # Cue patterns and titles.
 THOUGHT_CUE = r"\b([A-Z][a-z]+)\s+thought\b"
 DESCRIPTOR = r"(?i)\b(?:a|the)\s+((?:female|male)\s+voice|young\s+man|confident\s+young\s+voice)\s+(?:said|asked|replied|called|cried)\b"
-SAID = r"(?:said|asked|replied|called|cried|shouted|whispered|answered|muttered|yelled)"
 USER_TAG = r"(?i)<\s*User\s*:\s*([^>]+)>\s*\z"
 VOCATIVE = r'"[^"\n]*,\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})[!?]"'
 TITLED = r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Lady|Lord|Capt|Captain|Lt|Sgt|Sergeant|Gen|Colonel)\.??\s+([A-Z][a-z]+)\b"
@@ -36,37 +37,86 @@ def constant_rule(kind: Column) -> Column:
     return F.when(kind == "System", _said("System", "rule:system_line", 1.0)).when(kind.isin("Meta", "SectionBreak", "Heading"), _said("Narrator", "rule:non_story", 1.0)).when(kind == "Narration", _said("Narrator", "rule:default_narration", 0.99))
 
 
-def attribute(spans: DataFrame, chapters: DataFrame, roster: DataFrame) -> DataFrame:
-    """(chapter_index, id, speaker, method, confidence) of spans; chapters has (chapter_index, text), roster (name).
+def surroundings(paras: DataFrame, reach: int = cues.AROUND) -> DataFrame:
+    """Adds before and after: up to reach characters of the chapter around each paragraph (with start and end)."""
+    by_end, by_start = (Window.partitionBy("chapter_index").orderBy(c) for c in ("end", "start"))
+    part = lambda c: F.array_join(F.collect_list("para").over(c.rangeBetween(-reach, 0) if c is by_end else c.rangeBetween(0, reach)), "\n\n")
+    rows = paras.withColumn("up_to", F.right(part(by_end), F.lit(reach - 2))).withColumn("from_here", F.left(part(by_start), F.lit(reach - 2)))
+    before, after = F.lag("up_to").over(by_end), F.lead("from_here").over(by_start)
+    rows = rows.withColumn("before", F.coalesce(F.concat(before, F.lit("\n\n")), F.lit(""))).withColumn("after", F.coalesce(F.concat(F.lit("\n\n"), after), F.lit("")))
+    return rows.drop("up_to", "from_here")
+
+
+def contexts(spans: DataFrame, paras: DataFrame) -> DataFrame:
+    """(chapter_index, id, type, left, mid, right, wide_left, wide_right) of dialogue and thoughts, nulls for other spans.
+
+    left and right are the text before and after a span in its paragraph, 600 characters at most and none beyond the
+    neighbouring speech; the wide ones are 220 characters of the chapter. paras: (chapter_index, para_index, para).
+    A paragraph's spans travel as one array, so its text is shipped once."""
+    widest = cues.SIZES[-1]
+    speech = F.col("type").isin("Dialogue", "Thought")
+    order = Window.partitionBy("chapter_index").orderBy("start", "end", "id")
+    placed = spans.withColumn("floor", F.max(F.when(speech, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    placed = placed.withColumn("ceiling", F.first(F.when(speech, F.col("start")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    kept = placed.filter(speech).groupBy("chapter_index", "para_index").agg(F.collect_list(F.struct("id", "type", "start", "end", "floor", "ceiling")).alias("own"))
+    # Paragraphs are placed among their neighbours before those without speech go.
+    rows = surroundings(paragraph_offsets(paras)).join(kept, ["chapter_index", "para_index"]).withColumn("parts", cues.pieces(F.col("para")))
+    s, e, n = F.col("o.start") - F.col("start"), F.col("o.end") - F.col("start"), F.length("para")
+    low, high = F.greatest(s - widest, F.lit(0)), F.least(e + widest, n)
+    rows = rows.select("*", F.explode("own").alias("o"))
+    rows = rows.select(
+        "chapter_index", F.col("o.id").alias("id"), F.col("o.type").alias("type"), "before", "after",
+        cues.within(F.col("parts"), low, s).alias("left"), cues.within(F.col("parts"), s, e).alias("mid"), cues.within(F.col("parts"), e, high).alias("right"),
+        F.greatest(s - F.greatest(F.coalesce(F.col("o.floor") - F.col("start"), F.lit(0)), F.lit(0)), F.lit(0)).cast("int").alias("free_left"),
+        F.greatest(F.least(F.coalesce(F.col("o.ceiling") - F.col("start"), n), n) - e, F.lit(0)).cast("int").alias("free_right"),
+    )
+    return rows.select(
+        "chapter_index", "id", "type", F.right("left", "free_left").alias("left"), "mid", F.left("right", "free_right").alias("right"),
+        F.right(F.concat("before", "left"), F.lit(cues.AROUND)).alias("wide_left"), F.left(F.concat("right", "after"), F.lit(cues.AROUND)).alias("wide_right"),
+    )
+
+
+def attribute(spans: DataFrame, paras: DataFrame, roster: DataFrame) -> DataFrame:
+    """(chapter_index, id, type, speaker, method, confidence) of spans; paras has (chapter_index, para_index, para), roster (name).
 
     In order, the first that fits: constant rules; a thought cue after or before within 140 characters (0.90 if the
-    name is in the roster, else 0.88); a described voice within 160; a name by a speaking verb within 240
-    (``rule:surface_subj``, 0.86 or 0.84); unknown."""
-    near = spans.join(chapters, "chapter_index").select(
-        "chapter_index", "id", "type",
-        *[T.context(F.col("text_"), F.col("start"), F.col("end"), n).alias(f"near{n}") for n in (140, 160, 240)],
-    ) if "text_" in chapters.columns else None
-    if near is None:
-        return attribute(spans, chapters.select("chapter_index", F.col("text").alias("text_")), roster)
-    pick = lambda p, n: F.coalesce(F.nullif(F.regexp_extract(f"near{n}.right", p, 1), F.lit("")), F.nullif(F.regexp_extract(f"near{n}.left", p, 1), F.lit("")))
-    subject = F.coalesce(pick(rf"\b{SAID}\s+([A-Z][a-z]+)\b", 240), pick(rf"\b([A-Z][a-z]+)\s+{SAID}\b", 240))
-    cues = near.select("chapter_index", "id", "type", F.when(F.col("type") == "Thought", pick(THOUGHT_CUE, 140)).alias("thinker"), pick(DESCRIPTOR, 160).alias("voice"), subject.alias("subject"))
+    name is in the roster, else 0.88); a described voice within 160; the nearest reporting verb in the windows after,
+    then before, then within 220 characters of the chapter, the span included, by its subject (``rule:surface_subj``, 0.95
+    or 0.92), a pronoun by the last name before it (``rule:surface_coref``, 0.86 or 0.84), or by a phrase
+    (``rule:surface_phrasal``, 0.90 or 0.88, a pronoun 0.84 or 0.82); unknown."""
+    story = F.col("type").isin("Dialogue", "Thought")
+    pick = lambda p, n: F.coalesce(*[F.nullif(F.regexp_extract(side, p, 1), F.lit("")) for side in (F.left("wide_right", F.lit(n)), F.right("wide_left", F.lit(n)))])
+    near = contexts(spans, paras)
+    windows = near.withColumn("right", cues.clip_after(F.col("right"))).withColumn("left", cues.clip_before(F.col("left"))).withColumn("all", F.concat("wide_left", "mid", "wide_right"))
+    found = windows.select(
+        "chapter_index", "id", F.when(F.col("type") == "Thought", pick(THOUGHT_CUE, 140)).alias("thinker"), pick(DESCRIPTOR, 160).alias("voice"),
+        F.coalesce(
+            cues.nearest(F.col("right"), F.lit(0), True), cues.nearest(F.col("left"), F.length("left"), False),
+            cues.nearest(F.col("all"), F.length("wide_left") + F.length("mid"), None),
+        ).alias("cue"),
+    ).select("*", F.col("cue.name").alias("subject"))
     # Rosters are long tables; which names they hold comes from joins, not from a broadcast list.
     names = roster.select("name").distinct()
     for c in ("thinker", "subject"):
-        cues = cues.join(names.select(F.col("name").alias(c), F.lit(True).alias(f"{c}_known")), c, "left")
+        found = found.join(names.select(F.col("name").alias(c), F.lit(True).alias(f"{c}_known")), c, "left")
     words = F.initcap(F.regexp_replace(F.lower("voice"), r"\s+", " "))
     unnamed = F.concat(F.lit("Unknown-"), F.regexp_replace(words, " ", ""))
-    story = F.col("type").isin("Dialogue", "Thought")
     known = lambda c, m, a, b: F.when(F.col(f"{c}_known"), _said(F.col(c), m, a)).otherwise(_said(F.col(c), m, b))
+    by_cue = (
+        F.when(~F.col("cue.pronoun") & ~F.col("cue.phrase"), known("subject", "rule:surface_subj", 0.95, 0.92))
+        .when(~F.col("cue.phrase"), known("subject", "rule:surface_coref", 0.86, 0.84))
+        .when(~F.col("cue.pronoun"), known("subject", "rule:surface_phrasal", 0.90, 0.88))
+        .otherwise(known("subject", "rule:surface_coref", 0.84, 0.82))
+    )
     result = F.coalesce(
         constant_rule(F.col("type")),
         F.when(F.col("thinker").isNotNull(), known("thinker", "rule:thought_cue", 0.90, 0.88)),
         F.when(story & F.col("voice").isNotNull(), _said(unnamed, "rule:descriptor", 0.75)),
-        F.when(story & F.col("subject").isNotNull(), known("subject", "rule:surface_subj", 0.86, 0.84)),
-        _said("Unknown", "rule:unknown", 0.50),
+        F.when(story & F.col("subject").isNotNull(), by_cue),
+        F.when(story, _said("Unknown", "rule:unknown", 0.50)).otherwise(_said("Unknown", "rule:unknown", 0.99)),
     )
-    return cues.withColumn("r", result).select("chapter_index", "id", "type", "r.speaker", "r.method", "r.confidence")
+    rows = spans.select("chapter_index", "id", "type").join(found, ["chapter_index", "id"], "left")
+    return rows.withColumn("r", result).select("chapter_index", "id", "type", "r.speaker", "r.method", "r.confidence")
 
 
 def continuity(attributed: DataFrame) -> DataFrame:

@@ -33,9 +33,8 @@ def chapter_text(paras: DataFrame, joiner: str = "\n\n") -> DataFrame:
 def annotate(paras: DataFrame) -> DataFrame:
     """Attributed spans of paragraphs (chapter_index, para_index, para)."""
     tagged = cut(spans.normalize(paras), "tagged")
-    chapters = chapter_text(tagged)
-    found = spans.spans(tagged)
-    said = attribution.attribute(found, chapters, attribution.roster_names(chapters))
+    found = cut(spans.spans(tagged), "spans")
+    said = attribution.attribute(found, tagged, attribution.roster_names(chapter_text(tagged)))
     return found.join(said.drop("type"), ["chapter_index", "id"])
 
 

@@ -18,6 +18,21 @@ SELECT conv_id AS chapter_index, turn AS para_index, name, text AS said,
             ELSE chr(34) || text || ',' || chr(34) || ' said ' || name || '.' END AS para
 FROM ({_TURNS}) AS turns"""
 
+_OTHER = _NAME.replace("conv_id + CASE", "conv_id + 2 + CASE")
+#: Paragraphs with several cues, pronouns, phrases, names far off and open quotes, one per turn.
+PROSE = f"""
+SELECT conv_id AS chapter_index, turn AS para_index,
+       CASE k % 9 WHEN 0 THEN other || ' said hello to the crowd and left. Then ' || name || ' said, ' || chr(34) || text || chr(34)
+            WHEN 1 THEN chr(34) || text || ',' || chr(34) || ' ' || name || ' replied. He nodded. ' || chr(34) || 'Stop it!' || chr(34) || ' shouted ' || other || ' loudly.'
+            WHEN 2 THEN name || ' came in. ' || chr(34) || text || chr(34) || ' he grumbled, and ' || other || ' laughed.'
+            WHEN 3 THEN name || ' would, after all this, go on and on. ' || text || ' ' || chr(34) || 'Yes.' || chr(34)
+            WHEN 4 THEN chr(34) || text || chr(34) || ' Nobody spoke. ' || text || ' Then Captain ' || other || ' quickly answered.'
+            WHEN 5 THEN chr(39) || text || chr(39) || ' ' || name || ' had whispered. ' || chr(34) || 'No' || chr(34) || ' ' || chr(34) || 'Why?'
+            WHEN 6 THEN text || ' ' || other || ' sighed! ' || chr(34) || text || chr(34) || ' and I said nothing.'
+            WHEN 7 THEN chr(34) || 'Well.' || chr(34)
+            ELSE 'They stood by ' || name || '. ' || chr(34) || text || chr(34) || ' She was saying it, asked ' || other || ' Holt? ' || chr(34) || 'Ha' || chr(34) END AS para
+FROM (SELECT *, {_OTHER} AS other FROM ({_TURNS}) AS inner_turns) AS turns"""
+
 _TYPE = "CASE k % 8 WHEN 0 THEN 'Narration' WHEN 1 THEN 'System' WHEN 5 THEN 'Thought' WHEN 7 THEN 'Heading' ELSE 'Dialogue' END"
 #: Attributed spans, one per turn.
 BASE = f"""
