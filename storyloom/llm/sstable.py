@@ -15,13 +15,14 @@ A key is the doc_id as 8 big-endian bytes with the sign bit turned, after a byte
 bytes sort as ids do. Lookup asks the filter, then searches the index, then reads one block.
 
 Defined results: a null or empty text has the end id alone; a null doc_id comes first; rows with equal doc_id are
-entries of their own, in the order of their texts; an empty table gives no shards. Further columns are not read.
+entries of their own, in the order of the crc32 of their texts; an empty table gives no shards. Further columns are not read.
 """
 
 from __future__ import annotations
 
 import bisect
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -194,14 +195,14 @@ class Encoder:
     """Ids by the tokenizers library, which meets each distinct piece of a worker's texts once.
 
     Texts are cut before every single space or line end between two other characters, where the byte-level
-    pre-tokenizer always cuts too; texts with other white space go to the library whole."""
+    pre-tokenizer always cuts too; texts with other white space or with an added token's string go to the library whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.pieces: dict[bytes, bytes] = {}
 
@@ -231,8 +232,9 @@ class Encoder:
             ids[k] = x
             if len(self.pieces) < CACHE:
                 self.pieces[pieces[k]] = x
-        if odd:
-            whole = np.unique(text[np.isin(pick, odd)])
+        named = [m.start() for token in self.added for m in re.finditer(re.escape(token), data)]
+        if odd or named:
+            whole = np.unique(np.concatenate([text[np.isin(pick, odd)], np.searchsorted(offsets, named, "right") - 1]).astype(np.int64))
             for k, x in zip(whole.tolist(), self._library(texts.take(pa.array(whole)).to_pylist()), strict=True):
                 own = np.flatnonzero(text == k)
                 pick[own] = len(ids)
@@ -267,7 +269,9 @@ def write(docs: DataFrame, path: str, folder: str | None = None, key: str = "doc
     store.create_dir(root, recursive=True)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange(shards, "key", F.crc32(F.col("text").cast("binary"))).sortWithinPartitions("key", "text")
+    # Cut and sorted by the same columns; the last parts even equal rows, if they are many.
+    order = ["key", F.crc32(F.col("text").cast("binary")), "salt"]
+    ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("salt")).repartitionByRange(shards, *order).sortWithinPartitions(*order).select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
