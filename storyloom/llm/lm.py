@@ -15,8 +15,7 @@ counts, and get back the totals. From these a block judges its entries; one bloc
 its context's range, where entries are summed and states retained; blocks get back the states among their contexts and
 score their texts. The blocks themselves are a table bucketed by block, so they don't move.
 
-Words are told apart by 64-bit hashes, n-grams by hashes of ``SLACK`` bits more than count their occurrences, so that
-at every size less than one n-gram in 2^SLACK shares its total with another.
+Words and n-grams are told apart by 64-bit hashes at every size.
 
 Defined results: a null or empty text has one token, its end; a null doc_id counts as an empty text for the
 split; repeated rows each count and are each scored; an empty table gives no rows; without training texts every word
@@ -37,7 +36,7 @@ from storyloom.llm.common import SPACED, cut, mix, pack, pack_sorted, passes, ra
 
 DEPTH = 2
 LEAST, RATIO, GAIN, DISCOUNT = 2, 1.5, 2.0, 0.75
-SLACK = 12
+BITS = 64
 END_WORD = np.uint64(0x5851F42D4C957F2D)
 BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
 
@@ -295,8 +294,7 @@ class Model:
         ship(spark)
         self.kind = dict(docs.dtypes)["doc_id"]
         size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-        # Texts have about a token in four bytes, and DEPTH n-grams a token.
-        self.bits = min(63, SLACK + (DEPTH * size // 4).bit_length())
+        self.bits = BITS
         self.buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
         self.blocks = _blocks(docs.select("doc_id", "text", "held_out"), self.buckets)
         counted = self._asked().groupBy("kind", "bucket").applyInArrow(_summed, _ANSWER)

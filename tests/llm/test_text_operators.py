@@ -101,7 +101,7 @@ def plain_tree(train: list[list[bytes | None]]):
     return p, tree, [w for w, in counts[0]]
 
 
-def test_tree_is_the_plain_one_sums_to_one_and_beats_the_base(spark, sf_dir, monkeypatch):
+def test_tree_is_the_plain_one_sums_to_one_and_beats_the_base(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = {r["doc_id"]: [*spaced(r["text"]), None] for r in docs.collect()}
     held = {d for d in rows if zlib.crc32(str(d).encode()) % 7 == 2}
@@ -111,10 +111,6 @@ def test_tree_is_the_plain_one_sums_to_one_and_beats_the_base(spark, sf_dir, mon
     want = {d: sum(math.log10(p(w, tuple(ws[max(0, i - lm.DEPTH) : i]))) for i, w in enumerate(ws)) for d, ws in rows.items()}
     got = lm.score(docs).collect()
     assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
-    # Short hashes let one n-gram in thousands share its total with another; long ones none.
-    assert sum(r["score"] for r in got) == pytest.approx(sum(want.values()), rel=1e-3)
-    monkeypatch.setattr(lm, "SLACK", 36)
-    got = lm.score(docs).collect()
     assert len(got) == len(want)
     for r in got:
         assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9)
@@ -202,13 +198,12 @@ def test_quality(spark):
     quality.fit(docs, odd)
 
 
-def test_sstable(spark):
+def test_sstable(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     path = tokenizer("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    rows = [*texts(), (7000, "a <|endoftext|> b"), (-5, "before all"), (2**62, "large")]
+    rows = [*texts(), (7000, "a <|endoftext|> b"), (7001, "x<|endoftext|>"), (7002, "two  <|endoftext|>\n<|endoftext|> <|endoftext|"), (-5, "before all"), (2**62, "large")]
     old = sstable.SHARD_BYTES, sstable.BLOCK_BYTES
     sstable.SHARD_BYTES, sstable.BLOCK_BYTES = 20_000, 500
     try:
@@ -226,6 +221,11 @@ def test_sstable(spark):
     crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
     assert Counter((d, n, c) for d, _, n, c in got) == Counter((d, len(ids(t)), crc(ids(t))) for d, t in rows)
     found = sstable.lookup(spark, table, [7000, -5, 123456])
+    assert ids("a <|endoftext|> b") == [64, 220, 50256, 275, 0]
     assert found == {7000: [ids("a <|endoftext|> b")], -5: [ids("before all")], 123456: []}
     assert sstable.lookup(spark, table, [0])[0] == [ids(t) for d, t in rows if d == 0]
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 200)
+    many = [(5, f"text {k % 40}") for k in range(400)]  # one id over several shards, in the order of its texts' crc32
+    back = sorted(map(tuple, sstable.read(sstable.write(frame(spark, many), path)).collect()), key=lambda r: r[1])
+    assert [c for _, _, _, c in back] == [crc(ids(t)) for _, t in sorted(many, key=lambda r: zlib.crc32(r[1].encode()))]
     assert sstable.read(sstable.write(frame(spark).limit(0), path)).count() == 0
