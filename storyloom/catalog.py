@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from storyloom import views as V
 from storyloom.functions import text as T
-from storyloom.operators import aliases, attribution, audit, blocks, casting, planning, quality_control, refine, sections, spans
+from storyloom.operators import aliases, attribution, audit, blocks, casting, planning, quality_control, refine, sections, similarity, spans
+from storyloom.operators import roster_fold as roster_fold_
 from storyloom.plans import lifecycle
 from storyloom.sources import readers, writers
 from storyloom.streaming import metrics
@@ -339,6 +340,21 @@ def roster_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.closest_in_roster(names, _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("rank"), F.concat(F.lit("Customer#"), F.lpad(F.col("n_nationkey").cast("string"), 9, "0")).alias("name")))
 
 
+@query()
+def roster_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = _table(spark, sf_dir, "customer")
+    spelt = F.when(F.col("c_custkey") % 4 == 1, F.concat(F.col("c_mktsegment"), F.lit(" "), F.substring("c_phone", 1, 6))).when(F.col("c_custkey") % 4 == 2, F.concat("c_name", F.lit("x"))).otherwise(F.col("c_name"))
+    rosters = customers.select(F.col("c_nationkey").alias("book"), (F.col("c_custkey") % 7).alias("chapter_index"), F.col("c_custkey").alias("place"), spelt.alias("canonical"), F.array(F.lower("c_name"), F.col("c_phone")).alias("aliases"))
+    return roster_fold_.fold(rosters).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@query()
+def name_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = V.view(spark, sf_dir, V.MENTIONS).select(F.lower("mention").alias("a"))
+    suppliers = _table(spark, sf_dir, "supplier").select(F.lower(F.replace("s_name", F.lit("Supplier"), F.lit("Customer"))).alias("b"))
+    return _rounded(similarity.indel_pairs(names, suppliers, 90))
+
+
 # --- aliases ---
 
 _KEY = "trim(regexp_replace(CASE WHEN starts_with(lower(trim({0})), 'i ') THEN substr(lower(trim({0})), 3) ELSE lower(trim({0})) END, '[^a-z0-9]+', ' ', 'g'))"

@@ -28,7 +28,8 @@ def edit_score(a: Column, b: Column) -> Column:
 
 
 def shortened(df: DataFrame, string: str, most: int, own: Column | None = None) -> DataFrame:
-    """Rows of df with variant: the hash of each string that deleting 0 to most characters of string gives, own at most."""
+    """Rows of df with variant: the hash of each string that deleting 0 to most characters of string gives, own at most;
+    kept: that string's length."""
     rows = df.withColumn("variant", F.col(string)).withColumn("at", F.lit(1))
     out = rows
     for done in range(most):
@@ -38,7 +39,7 @@ def shortened(df: DataFrame, string: str, most: int, own: Column | None = None)
         out = out.unionByName(rows)
     # Both sides of a join on variant are dealt out alike, in as many parts as set: they are small before it and large after.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.withColumn("variant", F.xxhash64("variant")).drop("at").repartition(parts, "variant").distinct()
+    return out.withColumn("kept", F.length("variant")).withColumn("variant", F.xxhash64("variant")).drop("at").repartition(parts, "variant").distinct()
 
 
 def edit_candidates(mentions: DataFrame, canonical: DataFrame) -> DataFrame:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import itertools
-import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +10,8 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
 from storyloom.operators import cues
-from storyloom.operators.aliases import shortened
 from storyloom.operators.blocks import paragraph_offsets
+from storyloom.operators.similarity import indel_pairs
 from storyloom.storage import cut
 
 # Cue patterns and titles.
@@ -23,8 +21,6 @@ USER_TAG = r"(?i)<\s*User\s*:\s*([^>]+)>\s*\z"
 VOCATIVE = r'"[^"\n]*,\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})[!?]"'
 TITLED = r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Lady|Lord|Capt|Captain|Lt|Sgt|Sergeant|Gen|Colonel)\.??\s+([A-Z][a-z]+)\b"
 MAX_ALIAS = 64
-#: Edits up to which pairs of names are found by what deletions leave of them.
-MOST = 3
 
 
 def _said(speaker: Column | str, method: str, confidence: float) -> Column:
@@ -169,71 +165,34 @@ def merge_rosters(rosters: DataFrame) -> DataFrame:
     return of.join(head, "root").join(both, "canonical").groupBy("name").agg(F.array_sort(F.collect_set("shared")).alias("aliases")).select(F.col("name").alias("canonical"), F.array_join("aliases", "|").alias("aliases"))
 
 
-def similar_names(names: DataFrame, share: float = 0.90) -> DataFrame:
-    """(name, canonical): names joined, directly or by others, whose edits are few for their length: 2 x distance is at
-    most (1 - share) x their total length. The longest of a group, then the first, is canonical."""
+def similar_names(names: DataFrame, percent: int = 90) -> DataFrame:
+    """(name, canonical): names joined, directly or by others, whose indel ratio in lower case reaches percent. The
+    longest of a group, then the first, is canonical."""
     from storyloom.operators.graph import components
 
-    own = names.select("name").distinct().withColumn("k", T.name_key(F.col("name")))
-    near = near_pairs(own.select(F.col("k").alias("a")), own.select(F.col("k").alias("b")), (1 - share) / 2)
+    own = names.select("name").distinct().withColumn("k", F.lower("name"))
+    near = indel_pairs(own.select(F.col("k").alias("a")), own.select(F.col("k").alias("b")), percent)
     # Each pair once, and found once: components read them several times. Names without a pair are their own group.
-    close = near.toDF("normalized", "c").filter("normalized < c").filter(2 * F.levenshtein("normalized", "c") <= (1 - share) * (F.length("normalized") + F.length("c")))
-    close = cut(close, "similar-names")
-    tiles = close.select(F.struct("normalized", "c").alias("tile"), F.explode(F.array("normalized", "c")).alias("node"))
+    close = cut(near.select("a", "b").filter("a < b"), "similar-names")
+    tiles = close.select(F.struct("a", "b").alias("tile"), F.explode(F.array("a", "b")).alias("node"))
     grouped = own.join(components(tiles).withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     head = grouped.groupBy("root").agg(F.min_by("name", F.struct(-F.length("name"), F.col("name"))).alias("canonical"))
     return grouped.join(head, "root").select("name", "canonical")
 
 
-def near_pairs(left: DataFrame, right: DataFrame, rate: float) -> DataFrame:
-    """(a, b): of strings a of left and b of right, all pairs whose edits are at most rate x their total length, and others.
+def closest_in_roster(names: DataFrame, roster: DataFrame, percent: int = 92) -> DataFrame:
+    """(name, canonical): the roster entry (rank, name) of least rank whose matching-blocks ratio with a name reaches percent.
 
-    What such a pair has in common is what deleting at most those edits' number of characters of each leaves. Where the
-    shorter string allows MOST edits or fewer, pairs are found by these variants, so only close strings meet, however
-    many begin alike; longer strings are found by shared pieces."""
-    edits = lambda n: math.floor(2 * rate * n / (1 - rate) + 1e-9)
-    longest = next(n for n in itertools.count() if edits(n + 1) > MOST)
-    reach = math.floor(longest * (1 + rate) / (1 - rate) + 1e-9)
-    own = lambda c: F.floor(2 * rate * F.length(c) / (1 - rate) + 1e-9)
-    sides = [shortened(df.select(c).distinct().filter(F.length(c) <= reach), c, MOST, own(c)) for df, c in ((left, "a"), (right, "b"))]
-    short = sides[0].join(sides[1], "variant").select("a", "b").filter(F.least(F.length("a"), F.length("b")) <= longest)
-    near = short.filter(F.levenshtein("a", "b", math.floor(2 * rate * reach) + 1) >= 0)
-    return near.unionByName(piece_pairs(left.filter(F.length("a") > longest), right.filter(F.length("b") > longest), rate)).distinct()
-
-
-def piece_pairs(left: DataFrame, right: DataFrame, rate: float) -> DataFrame:
-    """(a, b): of strings a of left and b of right, all pairs whose edits are at most rate x their total length, and others.
-
-    Such a pair's b, cut into one piece more than its length allows edits, has a piece that a holds too, at a place that
-    differs by at most those edits; so strings a offer their substrings of those lengths and places."""
-    edits = lambda n: F.floor(2 * rate * n / (1 - rate) + 1e-9).cast("int")
-
-    def cut_at(n: Column, i: Column) -> tuple[Column, Column]:
-        width = F.greatest(F.floor(n / (edits(n) + 1)).cast("int"), F.lit(1))
-        return i * width + 1, F.when(i == edits(n), F.greatest(n - i * width, F.lit(0))).otherwise(width)
-
-    n, i = F.col("n"), F.col("i")
-    first, size = cut_at(n, i)
-    pieces = right.select("b").distinct().withColumn("n", F.length("b")).withColumn("i", F.explode(F.sequence(F.lit(0), edits(n)))).withColumn("s", F.substring(F.col("b"), first, size))
-    lengths = F.sequence(F.ceil(F.length("a") * (1 - rate) / (1 + rate) - 1e-9).cast("int"), F.floor(F.length("a") * (1 + rate) / (1 - rate) + 1e-9).cast("int"))
-    places = F.sequence(F.greatest(first - edits(n), F.lit(1)), first + edits(n))
-    offered = left.select("a").distinct().select("a", F.explode(lengths).alias("n")).select("a", "n", F.explode(F.sequence(F.lit(0), edits(n))).alias("i")).select("a", "n", "i", size.alias("size"), F.explode(places).alias("at"))
-    offered = offered.select("a", "n", "i", F.substring(F.col("a"), F.col("at"), F.col("size")).alias("s")).distinct()
-    return offered.join(pieces, ["n", "i", "s"]).select("a", "b").distinct()
-
-
-def closest_in_roster(names: DataFrame, roster: DataFrame, share: float = 0.92) -> DataFrame:
-    """(name, canonical): the roster entry (rank, name) of least rank whose matching-blocks ratio with a name reaches share.
-
-    A ratio of share leaves at most (1 - share) x the total length to insert and delete; pairs within that are found
-    by shared pieces, whatever their first letters, and compared in Arrow batches."""
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+    Matching blocks are a common subsequence, so only pairs whose indel ratio reaches percent are compared by blocks."""
+    @F.pandas_udf("boolean")
+    def reaches(a: pd.Series, b: pd.Series) -> pd.Series:
+        blocks = (sum(m.size for m in difflib.SequenceMatcher(None, x, y).get_matching_blocks()) for x, y in zip(a, b, strict=True))
+        return pd.Series([200 * n >= percent * (len(x) + len(y)) for n, x, y in zip(blocks, a, b, strict=True)])
 
     left = names.select("name").distinct().withColumn("low", F.lower("name"))
     right = roster.select("rank", F.col("name").alias("canonical"), F.lower("name").alias("other"))
-    lengths = 2 * F.least(F.length("low"), F.length("other")) >= share * (F.length("low") + F.length("other"))
-    near = near_pairs(left.select(F.col("low").alias("a")), right.select(F.col("other").alias("b")), 1 - share).toDF("low", "other").filter(lengths)
-    pairs = left.join(near, "low").join(right, "other").withColumn("ratio", ratio(F.col("low"), F.col("other"))).filter(F.col("ratio") >= share)
+    near = indel_pairs(left.select(F.col("low").alias("a")), right.select(F.col("other").alias("b")), percent).select(F.col("a").alias("low"), F.col("b").alias("other"))
+    # Equal strings need no comparison, and the others are compared once, however many names spell them.
+    close = near.filter("low = other").unionByName(near.filter("low <> other").filter(reaches(F.col("low"), F.col("other"))))
+    pairs = left.join(close, "low").join(right, "other")
     return left.select("name").join(pairs.groupBy("name").agg(F.min_by("canonical", "rank").alias("canonical")), "name", "left")

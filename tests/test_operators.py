@@ -237,30 +237,3 @@ def test_gram_scores_hold_every_name_against_the_whole_roster(spark):
         best = max(cosine(vector(name), vector(key(c))) for c in roster)
         assert abs(got[name]["cosine"] - best) < 1e-9 and abs(cosine(vector(name), vector(key(got[name]["canonical"]))) - best) < 1e-9
     assert aliases.gram_scores(frame([], "normalized"), frame(roster, "canonical")).count() == 0
-
-
-@pytest.mark.parametrize("rate", [0.05, 0.08, 0.2])
-def test_near_pairs_are_all_found(spark, rate):
-    import random
-
-    r = random.Random(9)
-    base = ["customer 0000123", "customer 0000124", "x", "", "a much longer name than the others have, with many words in it, and more of them"]
-    words = set(base)
-    for s in base * 12:
-        for _ in range(r.randint(1, 4)):
-            k = r.randrange(len(s) + 1)
-            s = r.choice([s[:k] + "z" + s[k:], s[:k] + s[k + 1 :], s[:k] + "q" + s[k + 1 :]])
-        words.add(s)
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row = row, [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
-
-    want = {(a, b) for a in words for b in words if distance(a, b) <= rate * (len(a) + len(b))}
-    df = spark.createDataFrame([(w,) for w in words], "a string")
-    got = {tuple(x) for x in attribution.near_pairs(df, df.withColumnRenamed("a", "b"), rate).collect()}
-    assert want - {("", "")} <= got

@@ -140,4 +140,4 @@ def test_closest_in_roster(spark):
     names = spark.createDataFrame([("Alexanders",), ("zed",), ("alexander",)], "name string")
     roster = spark.createDataFrame([(2, "Alexandar"), (1, "Alexander")], "rank int, name string")
     assert {r["name"]: r["canonical"] for r in closest_in_roster(names, roster).collect()} == {"Alexanders": "Alexander", "alexander": "Alexander", "zed": None}
-    assert {r["name"]: r["canonical"] for r in similar_names(names, 0.85).collect()} == {"Alexanders": "Alexanders", "alexander": "Alexanders", "zed": "zed"}
+    assert {r["name"]: r["canonical"] for r in similar_names(names, 85).collect()} == {"Alexanders": "Alexanders", "alexander": "Alexanders", "zed": "zed"}
