@@ -1,7 +1,7 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Symbols are the training words, one end, and one unknown symbol for all other words. Contexts are the last one to
-``DEPTH`` words. An n-gram counts if it occurs ``LEAST`` times, whatever the size of the corpus. After a context, a word
+``DEPTH`` words, or as many as the caller asks for. An n-gram counts if it occurs ``LEAST`` times, whatever the size of the corpus. After a context, a word
 is kept as an entry if it is ``RATIO`` times as likely there as after the context's suffix; the context is retained as
 a state if its entries' divergence from the suffix's distribution, summed over their occurrences, comes to ``GAIN``
 nats, each occurrence left out of its own estimate. Distributions are smoothed by absolute discounting: what a
@@ -10,9 +10,9 @@ every state's distribution sums to 1. A word is scored by the longest retained s
 text.
 
 Nothing of the tree is broadcast or collected; it is spread over ranges of the hash space, as many as the text's size
-asks for. Two exchanges build and apply it. In the first, blocks of texts send their distinct n-grams with training
-counts, and get back the totals. From these a block judges its entries; one block for each n-gram sends the entry to
-its context's range, where entries are summed and states retained; blocks get back the states among their contexts and
+asks for. First blocks of texts send their distinct words with training counts and get back the totals, then their
+n-grams of two words, and so on; an n-gram is sent only if both its shorter ones occur ``LEAST`` times, as it cannot
+otherwise. From the totals a block judges its entries; one block for each n-gram sends the entry to its context's range, where entries are summed and states retained; blocks get back the states among their contexts and
 score their texts. The blocks themselves are a table bucketed by block, so they don't move.
 
 Words and n-grams are told apart by 64-bit hashes at every size.
@@ -40,6 +40,8 @@ BITS = 64
 END_WORD = np.uint64(0x5851F42D4C957F2D)
 BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
 
+#: Kinds of rows besides those of words (0) and of n-grams (their words less one).
+OWN, ASKED, STATE = 101, 102, 103
 _ANSWER = "kind int, block bigint, bucket int, a binary, tokens bigint, types bigint"
 
 
@@ -113,50 +115,68 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 class Block:
-    """A block's texts: tokens as places (index) among distinct words, and at each token's place the n-grams ending there."""
+    """A block's texts: tokens as places (index) among distinct words, and at each token's place the n-grams ending there.
 
-    def __init__(self, row: dict, bits: int):
-        self.shift = np.uint64(64 - bits)
+    n-grams of k words (k >= 2) are known once the totals of those of k - 1 words are: keys[k - 2] has, ascending, the
+    distinct ones whose both shorter n-grams occur LEAST times, as no other can, and which[k - 2] the place in keys of the
+    one that ends at each token (-1: none)."""
+
+    def __init__(self, row: dict, depth: int = DEPTH):
+        self.depth = depth
         self.words, self.index = unpack_sorted(row["words"]), unpack(row["tokens"], np.uint32).astype(np.int64)
         sizes = unpack(row["sizes"], np.uint32).astype(np.int64)
         self.at = np.concatenate([[0], np.cumsum(sizes)])
         self.trained = np.repeat(~np.array(row["held_out"], bool), sizes)
         self.place = np.arange(len(self.index)) - np.repeat(self.at[:-1], sizes)
-        h = mix(self.words[self.index])
-        gram, own = h, []
-        for k in range(1, DEPTH + 1):
-            gram = np.concatenate([gram[:1], mix(gram[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:] + np.uint64(k))])
-            own.append(gram[self.place >= k] >> self.shift)
-        #: Distinct n-grams of two words and more, ascending, and of every length and token which it is (-1: none).
-        self.keys, inverse = np.unique(np.concatenate(own), return_inverse=True)
-        ends = np.cumsum([0, *map(len, own)])
-        self.which = []
-        for k in range(1, DEPTH + 1):
-            ids = np.full(len(h), -1)
-            ids[self.place >= k] = inverse[ends[k - 1] : ends[k]]
-            self.which.append(ids)
-
-    def asked(self, buckets: int) -> list[tuple]:
-        """(kind, bucket, hashes, training counts) of its words (kind 0) and n-grams (kind 1)."""
-        n0 = np.bincount(self.index[self.trained], minlength=len(self.words))
-        n1 = sum((np.bincount(ids[self.trained & (ids >= 0)], minlength=len(self.keys)) for ids in self.which), np.zeros(len(self.keys), np.int64))
-        sides = ((0, self.words, n0, 64), (1, self.keys, n1, 64 - int(self.shift)))
-        return [(kind, k, pack_sorted(x[a:b]), pack(n[a:b].astype(np.uint64))) for kind, x, n, bits in sides for k, a, b in ranges(x, bits, buckets)]
-
-    def learn(self, answers: list[dict], n: int) -> None:
-        """Takes the totals of its words and n-grams (0 below LEAST); n: all training tokens."""
-        found = [[unpack(r["a"], np.uint64) for r in answers if r["kind"] == kind] for kind in (0, 1)]
+        self.keys: list[np.ndarray] = []
+        self.which: list[np.ndarray] = []
+        self.totals: list[np.ndarray] = []
+        self.owner: list[np.ndarray] = []
+
+    def _grow(self, k: int, repeated: np.ndarray) -> None:
+        """Finds the n-grams of k words, of which those of k - 1 words that end at repeated tokens occur LEAST times."""
+        if k == 2:
+            self.mixed = self.gram = mix(self.words[self.index])
+        self.gram = np.concatenate([self.gram[:1], mix(self.gram[:-1] * np.uint64(0xD6E8FEB86659FD93) + self.mixed[1:] + np.uint64(k - 1))])
+        fits = self.place >= k - 1
+        fits[1:] &= repeated[1:] & repeated[:-1]
+        keys, inverse = np.unique(self.gram[fits], return_inverse=True)
+        which = np.full(len(self.index), -1)
+        which[fits] = inverse
+        self.keys.append(keys)
+        self.which.append(which)
+
+    def asked(self, k: int, buckets: int) -> list[tuple]:
+        """(kind, bucket, hashes, training counts) of its words (k = 1, kind 0) or its n-grams of k words (kind k - 1)."""
+        x, ids = (self.words, self.index) if k == 1 else (self.keys[k - 2], self.which[k - 2])
+        n = np.bincount(ids[self.trained & (ids >= 0)], minlength=len(x))
+        return [(k - 1, bucket, pack_sorted(x[a:b]), pack(n[a:b].astype(np.uint64))) for bucket, a, b in ranges(x, BITS, buckets)]
+
+    def learn(self, answers: list[dict], n: int, longest: int | None = None) -> None:
+        """Takes the totals of its words and n-grams of up to longest words (0 below LEAST); n: all training tokens."""
+        found = [[unpack(r["a"], np.uint64) for r in answers if r["kind"] == kind] for kind in range(longest or self.depth + 1)]
         none = np.zeros(0, np.uint64)
-        counts, coded = (np.concatenate(x) if x else none for x in found)
-        self.counts = counts.astype(np.int64)
-        self.totals, self.owner = (coded >> np.uint64(1)).astype(np.int64), (coded & np.uint64(1)).astype(bool)
-        self.n = n
+        first, *others = (np.concatenate(x) if x else none for x in found)
+        self.counts, self.n = first.astype(np.int64), n
+        repeated = self.counts[self.index] >= LEAST
+        for k, coded in enumerate(others, 2):
+            self._grow(k, repeated)
+            self.totals.append((coded >> np.uint64(1)).astype(np.int64))
+            self.owner.append((coded & np.uint64(1)).astype(bool))
+            repeated = self.total(k, np.arange(len(self.index))) >= LEAST
+        self.repeated = repeated
+
+    def grow(self, k: int) -> None:
+        """Finds the n-grams of k words, after it has learned the totals of those of k - 1."""
+        self._grow(k, self.repeated)
 
     def total(self, k: int, p: np.ndarray) -> np.ndarray:
-        """Total of the k words that end at tokens p."""
+        """Total of the k words that end at tokens p, 0 below LEAST (but not for words)."""
         if k == 0:
             return np.full(len(p), self.n)
-        return self.counts[self.index[p]] if k == 1 else self.totals[self.which[k - 2][p]]
+        if k == 1:
+            return self.counts[self.index[p]]
+        return np.append(self.totals[k - 2], 0)[self.which[k - 2][p]]
 
     def entries(self, k: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of tokens p after k words: whether each is an entry there, its count, its context's, and its share by the suffix."""
@@ -167,35 +187,35 @@ class Block:
         return fits & ((count - DISCOUNT) >= RATIO * share * of), count, of, share
 
     def contexts(self) -> np.ndarray:
-        """Its contexts that occur LEAST times, ascending; then place() finds them."""
-        shorter = np.zeros(len(self.keys), bool)
-        for ids in self.which[:-1]:
-            shorter[ids[ids >= 0]] = True
-        of_word, of_key = self.counts >= LEAST, shorter & (self.totals >= LEAST)
-        hashes, inverse = np.unique(np.concatenate([self.words[of_word] >> self.shift, self.keys[of_key]]), return_inverse=True)
-        m = int(of_word.sum())
-        self.word_place, self.key_place = np.full(len(self.words), -1), np.full(len(self.keys), -1)
-        self.word_place[of_word], self.key_place[of_key] = inverse[:m], inverse[m:]
+        """Its contexts that occur LEAST times, ascending; then context_place() finds them."""
+        kept = [self.counts >= LEAST, *[t >= LEAST for t in self.totals[: self.depth - 1]]]
+        hashes, inverse = np.unique(np.concatenate([x[k] for x, k in zip([self.words, *self.keys], kept, strict=False)]), return_inverse=True)
+        ends = np.cumsum([0, *[int(k.sum()) for k in kept]])
+        self.places = []
+        for k, a, b in zip(kept, ends, ends[1:], strict=False):
+            place = np.full(len(k) + 1, -1)
+            place[:-1][k] = inverse[a:b]
+            self.places.append(place)
         return hashes
 
     def context_place(self, k: int, p: np.ndarray) -> np.ndarray:
         """Which of contexts() the k words are that end at tokens p (-1: none)."""
-        return self.word_place[self.index[p]] if k == 1 else self.key_place[self.which[k - 2][p]]
+        return self.places[k - 1][self.index[p] if k == 1 else self.which[k - 2][p]]
 
     def owned(self) -> tuple[np.ndarray, ...]:
         """Contexts, ascending, with entries of n-grams that this block speaks for: how many, occurrences, divergence."""
         parts = []
-        at = np.full(len(self.keys), -1)
-        for k in range(1, DEPTH + 1):
-            at[:] = -1
-            p = np.flatnonzero(self.which[k - 1] >= 0)
-            at[self.which[k - 1][p]] = p
-            p = at[self.owner & (at >= 0)]
+        for k in range(1, self.depth + 1):
+            ids = self.which[k - 1]
+            at = np.full(len(self.keys[k - 1]), -1)
+            p = np.flatnonzero(ids >= 0)
+            at[ids[p]] = p
+            p = at[self.owner[k - 1] & (at >= 0)]
             kept, count, of, share = self.entries(k, p)
             p, count, of, share = p[kept], count[kept], of[kept], share[kept]
             left_out = (count - 1 - DISCOUNT) / np.maximum(of - 1, 1)
             gain = count * np.log(left_out / share)
-            hashes = self.words[self.index[p - 1]] >> self.shift if k == 1 else self.keys[self.which[k - 2][p - 1]]
+            hashes = self.words[self.index[p - 1]] if k == 1 else self.keys[k - 2][self.which[k - 2][p - 1]]
             parts.append((hashes, of, count, gain))
         hashes, of, count, gain = (np.concatenate(x) for x in zip(*parts, strict=True))
         own, inverse = np.unique(hashes, return_inverse=True)
@@ -207,7 +227,7 @@ class Block:
         """Log10 probability of every token, from the states among contexts(): their entries' occurrences and number."""
         c, n = self.counts[self.index], self.n
         p = np.where(c > 0, c - DISCOUNT, DISCOUNT * v) / n if n else np.ones(len(c))
-        for k in range(1, DEPTH + 1):
+        for k in range(1, self.depth + 1):
             at = np.flatnonzero(self.place >= k)
             state = self.context_place(k, at - 1)
             at, state = at[state >= 0], state[state >= 0]
@@ -255,7 +275,7 @@ def _summed(table: pa.Table) -> pa.Table:
 
 def _states(table: pa.Table) -> tuple[np.ndarray, ...]:
     """Of a range of contexts the retained ones: hashes, occurrences, entries' number and occurrences."""
-    own = [(unpack_sorted(r["a"]), *(unpack(r[c], np.uint64).astype(np.int64) for c in ("of", "entries", "n")), unpack(r["gain"], np.float32).astype(float)) for r in table.to_pylist() if r["kind"] == 2]
+    own = [(unpack_sorted(r["a"]), *(unpack(r[c], np.uint64).astype(np.int64) for c in ("of", "entries", "n")), unpack(r["gain"], np.float32).astype(float)) for r in table.to_pylist() if r["kind"] == OWN]
     if not own:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     h, of, entries, n, gain = (np.concatenate(x) for x in zip(*own, strict=True))
@@ -274,12 +294,12 @@ def _judged(table: pa.Table) -> pa.Table:
     keys, _, entries, n = _states(table)
     rows = []
     for r in table.select(["kind", "block", "bucket", "a"]).to_pylist():
-        if r["kind"] == 3:
+        if r["kind"] == ASKED:
             asked = unpack_sorted(r["a"])
             place = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
             hit = keys[place] == asked if len(keys) else np.zeros(len(asked), bool)
             values = [np.where(hit, x[place] if len(keys) else 0, 0).astype(np.uint64) for x in (entries, n)]
-            rows.append((4, r["block"], r["bucket"], pack(np.concatenate(values)), None, None))
+            rows.append((STATE, r["block"], r["bucket"], pack(np.concatenate(values)), None, None))
     return pa.Table.from_batches([_rows(rows, ["kind", "block", "bucket", "a", "tokens", "types"], [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()])])
 
 
@@ -289,35 +309,50 @@ def _judged(table: pa.Table) -> pa.Table:
 class Model:
     """The tree of the rows of docs (doc_id, text, held_out) that are not held out, spread over ranges of hashes."""
 
-    def __init__(self, docs: DataFrame):
-        spark = docs.sparkSession
+    def __init__(self, docs: DataFrame, depth: int = DEPTH):
+        spark, self.depth = docs.sparkSession, depth
         ship(spark)
         self.kind = dict(docs.dtypes)["doc_id"]
         size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-        self.bits = BITS
         self.buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
         self.blocks = _blocks(docs.select("doc_id", "text", "held_out"), self.buckets)
-        counted = self._asked().groupBy("kind", "bucket").applyInArrow(_summed, _ANSWER)
-        self.counts = cut(counted, "lm-counts")
-        totals = self.counts.filter("block = -1").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
-        self.n, self.v = totals["tokens"] or 0, totals["types"] or 0
-        self.counts = self.counts.filter("block >= 0")
-
-    def _asked(self) -> DataFrame:
-        bits, buckets = self.bits, self.buckets
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            np.seterr(over="ignore")
+        self.n, self.v, self.counts = 0, 0, None
+        for k in range(1, depth + 2):
+            counted = cut(self._asked(k).groupBy("kind", "bucket").applyInArrow(_summed, _ANSWER), "lm-counts")
+            if k == 1:
+                totals = counted.filter("block = -1").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
+                self.n, self.v = totals["tokens"] or 0, totals["types"] or 0
+            counted = counted.filter("block >= 0")
+            self.counts = counted if self.counts is None else self.counts.unionByName(counted)
+
+    def _asked(self, k: int) -> DataFrame:
+        """What blocks send of their words (k = 1) or n-grams of k words, after they learned the totals of shorter ones."""
+        buckets, n, depth = self.buckets, self.n, self.depth
+        names, kinds = ["kind", "block", "bucket", "a", "b"], [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        schema = "kind int, block bigint, bucket int, a binary, b binary"
+        rows = lambda block, own: [(kind, block, *x) for kind, *x in own.asked(k, buckets)]
+
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    rows = [(kind, row["block"], *x) for kind, *x in Block(row, bits).asked(buckets)]
-                    yield _rows(rows, ["kind", "block", "bucket", "a", "b"], [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])
+                    yield _rows(rows(row["block"], Block(row, depth)), names, kinds)
 
-        return self.blocks.select("block", "words", "sizes", "tokens", "held_out").mapInArrow(run, "kind int, block bigint, bucket int, a binary, b binary")
+        def later(left: pa.Table, right: pa.Table) -> pa.Table:
+            np.seterr(over="ignore")
+            out, answers = [], right.sort_by("bucket").to_pylist()
+            for row in left.to_pylist():
+                block = Block(row, depth)
+                block.learn(answers, n, k - 1)
+                block.grow(k)
+                out += rows(row["block"], block)
+            return pa.Table.from_batches([_rows(out, names, kinds)])
+
+        blocks = self.blocks.select("block", "words", "sizes", "tokens", "held_out")
+        return blocks.mapInArrow(first, schema) if k == 1 else blocks.groupBy("block").cogroup(self.counts.groupBy("block")).applyInArrow(later, schema)
 
     def _contexts(self) -> DataFrame:
         """By range of contexts, what blocks send of entries (kind 2), and which contexts they ask for (kind 3)."""
-        bits, buckets, n = self.bits, self.buckets, self.n
+        buckets, n, depth = self.buckets, self.n, self.depth
         kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
         names = ["kind", "block", "bucket", "a", "of", "entries", "n", "gain"]
 
@@ -325,12 +360,12 @@ class Model:
             np.seterr(over="ignore")
             rows = []
             for row in left.to_pylist():
-                block = Block(row, bits)
+                block = Block(row, depth)
                 block.learn(right.sort_by("bucket").to_pylist(), n)
                 own, *numbers, gain = block.owned()
-                rows += [(2, row["block"], k, pack_sorted(own[a:b]), *(pack(x[a:b].astype(np.uint64)) for x in numbers), pack(gain[a:b].astype(np.float32))) for k, a, b in ranges(own, bits, buckets)]
+                rows += [(OWN, row["block"], k, pack_sorted(own[a:b]), *(pack(x[a:b].astype(np.uint64)) for x in numbers), pack(gain[a:b].astype(np.float32))) for k, a, b in ranges(own, BITS, buckets)]
                 asked = block.contexts()
-                rows += [(3, row["block"], k, pack_sorted(asked[a:b]), None, None, None, None) for k, a, b in ranges(asked, bits, buckets)]
+                rows += [(ASKED, row["block"], k, pack_sorted(asked[a:b]), None, None, None, None) for k, a, b in ranges(asked, BITS, buckets)]
             return pa.Table.from_batches([_rows(rows, names, kinds)])
 
         blocks = self.blocks.select("block", "words", "sizes", "tokens", "held_out")
@@ -348,17 +383,17 @@ class Model:
 
     def score(self) -> DataFrame:
         """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-        bits, n, v = self.bits, self.n, self.v
+        n, v, depth = self.n, self.v, self.depth
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             np.seterr(over="ignore")
             parts = []
             for own, row in enumerate(left.to_pylist()):
-                block, answers = Block(row, bits), right.sort_by("bucket").to_pylist()
+                block, answers = Block(row, depth), right.sort_by("bucket").to_pylist()
                 block.learn(answers, n)
                 m = len(block.contexts())
-                states = [unpack(r["a"], np.uint64).astype(np.int64).reshape(2, -1) for r in answers if r["kind"] == 4]
+                states = [unpack(r["a"], np.uint64).astype(np.int64).reshape(2, -1) for r in answers if r["kind"] == STATE]
                 entries, occurrences = np.concatenate(states, axis=1) if states else np.zeros((2, m), np.int64)
                 c, first, sizes = block.counts[block.index], block.at[:-1], np.diff(block.at)
                 base = np.add.reduceat(np.log10(c + 1), first) - sizes * np.log10(n + v + 1)
@@ -373,9 +408,10 @@ class Model:
         return self.blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {self.kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def score(docs: DataFrame, keep_out: Column | None = None) -> DataFrame:
+def score(docs: DataFrame, keep_out: Column | None = None, depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (doc_id, text).
 
-    The model learns from all rows but those that keep_out marks (default: held_out)."""
+    The model learns from all rows but those that keep_out marks (default: held_out). Contexts have up to depth words;
+    each more costs one more pass and exchange, of the n-grams whose both shorter ones occur LEAST times."""
     out = held_out(F.col("doc_id")) if keep_out is None else F.coalesce(keep_out, F.lit(False))
-    return Model(docs.select("doc_id", "text", out.alias("held_out"))).score()
+    return Model(docs.select("doc_id", "text", out.alias("held_out")), depth).score()

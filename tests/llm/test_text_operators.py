@@ -70,14 +70,14 @@ def test_base_score_and_split(spark):
     assert lm.score(frame(spark).limit(0)).count() == 0
 
 
-def plain_tree(train: list[list[bytes | None]]):
+def plain_tree(train: list[list[bytes | None]], depth: int = lm.DEPTH):
     """The suffix tree by counting: p(word, context) in every state."""
     d = lm.DISCOUNT
-    counts = [Counter(tuple(ws[i : i + k]) for ws in train for i in range(len(ws) - k + 1)) for k in range(1, lm.DEPTH + 2)]
+    counts = [Counter(tuple(ws[i : i + k]) for ws in train for i in range(len(ws) - k + 1)) for k in range(1, depth + 2)]
     n, v = sum(counts[0].values()), len(counts[0])
     of = lambda g: n if not g else counts[len(g) - 1][g]
     states = {}
-    for k in range(1, lm.DEPTH + 1):
+    for k in range(1, depth + 1):
         for g, c in counts[k].items():
             share = of(g[1:]) / of(g[1:-1])
             if c >= lm.LEAST and c - d >= lm.RATIO * share * of(g[:-1]):
@@ -101,21 +101,23 @@ def plain_tree(train: list[list[bytes | None]]):
     return p, tree, [w for w, in counts[0]]
 
 
-def test_tree_is_the_plain_one_sums_to_one_and_beats_the_base(spark, sf_dir):
+@pytest.mark.parametrize("depth", [lm.DEPTH, 5])
+def test_tree_is_the_plain_one_sums_to_one_and_beats_the_base(spark, sf_dir, depth):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = {r["doc_id"]: [*spaced(r["text"]), None] for r in docs.collect()}
     held = {d for d in rows if zlib.crc32(str(d).encode()) % 7 == 2}
-    p, tree, known = plain_tree([ws for d, ws in rows.items() if d not in held])
+    p, tree, known = plain_tree([ws for d, ws in rows.items() if d not in held], depth)
     for context in [*list(tree)[:2], *[c for c in tree if len(c) == 2][:2], (b"neverseenword",)]:
         assert abs(sum(p(w, context) for w in known) + p(b"neverseenword", context) - 1) < 1e-9
-    want = {d: sum(math.log10(p(w, tuple(ws[max(0, i - lm.DEPTH) : i]))) for i, w in enumerate(ws)) for d, ws in rows.items()}
-    got = lm.score(docs).collect()
+    want = {d: sum(math.log10(p(w, tuple(ws[max(0, i - depth) : i]))) for i, w in enumerate(ws)) for d, ws in rows.items()}
+    got = lm.score(docs, depth=depth).collect()
     assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
     assert len(got) == len(want)
     for r in got:
         assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9)
-    model = lm.Model(docs.select("doc_id", "text", lm.held_out(F.col("doc_id")).alias("held_out")))
+    model = lm.Model(docs.select("doc_id", "text", lm.held_out(F.col("doc_id")).alias("held_out")), depth)
     assert model.states().count() == len(tree)
+    assert max(map(len, tree)) == depth
 
 
 def test_context_counts(spark):
