@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom import views as V
+from storyloom.functions import canonical
 from storyloom.functions import text as T
-from storyloom.operators import aliases, attribution, audit, blocks, casting, planning, quality_control, refine, sections, similarity, spans
+from storyloom.operators import aliases, attribution, audit, blocks, casting, nested, planning, quality_control, refine, sections, similarity, spans
 from storyloom.operators import roster_fold as roster_fold_
 from storyloom.plans import lifecycle
 from storyloom.sources import readers, writers
@@ -772,10 +773,42 @@ def header_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_control.filled_headers(rows, F.col("line_no") % 4 == 1).select("log", "line_no", "header")
 
 
-@query("SELECT vec_id AS key, round(list_max(list_transform(embedding, lambda x: abs(x))), 6)::DOUBLE AS peak, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), 6) AS rms, round(20 * log10(list_max(list_transform(embedding, lambda x: abs(x)))::DOUBLE), 4) AS peak_dbfs FROM embeddings")
+@query("SELECT vec_id AS key, round(list_max(list_transform(embedding, lambda x: abs(x))), 6)::DOUBLE AS peak, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), 6) AS rms, round(20 * log10(list_max(list_transform(embedding, lambda x: abs(x)))::DOUBLE), 4) AS peak_dbfs, round(list_aggregate(list_transform(embedding, lambda x: abs(x)::DOUBLE), 'quantile_cont', 0.1), 6) AS noise_floor FROM embeddings")
 def signal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_control.signal_stats(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("samples")))
-    return out.select("key", F.round(F.col("peak").cast("float"), 6).cast("double").alias("peak"), F.round("rms", 6).alias("rms"), F.round("peak_dbfs", 4).alias("peak_dbfs"))
+    return out.select("key", F.round(F.col("peak").cast("float"), 6).cast("double").alias("peak"), F.round("rms", 6).alias("rms"), F.round("peak_dbfs", 4).alias("peak_dbfs"), F.round("noise_floor", 6).alias("noise_floor"))
+
+
+@query("""
+WITH x AS (SELECT label AS key, floor(least(abs(x::DOUBLE), 1) * 65536) AS level FROM (SELECT label, unnest(embedding) AS x FROM embeddings) WHERE x IS NOT NULL),
+n AS (SELECT key, level, count(*) AS n, sum(count(*)) OVER (PARTITION BY key ORDER BY level) - count(*) AS before, sum(count(*)) OVER (PARTITION BY key) AS total FROM x GROUP BY key, level),
+p AS (SELECT *, 0.1::DOUBLE * (total - 1)::DOUBLE AS place FROM n),
+v AS (SELECT key, max(total)::BIGINT AS samples, max(place - floor(place)) AS share,
+             max((level + (floor(place) - before::DOUBLE + 0.5) / n) / 65536) FILTER (before <= floor(place) AND floor(place) < before + n) AS low,
+             max((level + (ceil(place) - before::DOUBLE + 0.5) / n) / 65536) FILTER (before <= ceil(place) AND ceil(place) < before + n) AS high FROM p GROUP BY key)
+SELECT key, samples, round(low + (high - low) * share, 6) AS noise_floor FROM v""")
+def noise_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "embeddings").select(F.col("label").alias("key"), F.col("embedding").alias("samples"))
+    return quality_control.noise_floor(parts).select("key", "samples", F.round("noise_floor", 6).alias("noise_floor"))
+
+
+@query("""SELECT p_partkey, sha256('{"on":' || (p_size % 2 = 0)::VARCHAR || ',"p_name":"' || p_name || '","p_partkey":' || p_partkey::VARCHAR || ',"p_retailprice":' || p_retailprice::DOUBLE::VARCHAR || ',"p_size":[' || p_size::VARCHAR || ',null]}') AS key FROM part""")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_retailprice").cast("double").alias("p_retailprice"), (F.col("p_size") % 2 == 0).alias("on"), F.array("p_size", F.lit(None)).alias("p_size"))
+    return canonical.with_key(parts, ["p_size", "p_partkey", "p_name", "p_retailprice", "on"]).select("p_partkey", "key")
+
+
+@query(f"SELECT DISTINCT conv_id AS key, name AS value FROM ({V.duck(V._TURNS)}) UNION SELECT DISTINCT conv_id AS key, role AS value FROM conversations")
+def nested_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = V.view(spark, sf_dir, V._TURNS)
+    deep = F.struct(F.col("name").alias("speaker"), F.array(F.struct(F.struct(F.col("role").alias("speaker"), "text").alias("speaker"))).alias("spans"))
+    documents = turns.groupBy(F.col("conv_id").alias("key")).agg(F.parse_json(F.to_json(F.struct(F.collect_list(deep).alias("chapters"), F.lit(1).alias("speaker")))).alias("document"))
+    return nested.named_strings(documents)
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^\\p{L}\\p{N}_]', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM documents")
+def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", T.title_key(F.col("text")).alias("key"))
 
 
 @query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM orders")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from storyloom.functions.unicode import casefold, title_key  # noqa: F401
+
 # Number words.
 SMALL = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty"]
 TENS = {30: "thirty", 40: "forty", 50: "fifty", 60: "sixty", 70: "seventy", 80: "eighty", 90: "ninety", 100: "one hundred", 1000: "one thousand"}
@@ -80,14 +82,8 @@ def name_key(c: Column) -> Column:
 
 
 def speaker_key(c: Column) -> Column:
-    """Trimmed, single spaces, lower case."""
-    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-
-
-def title_key(c: Column) -> Column:
-    """Lower case letters and digits between single spaces. Marks of Latin letters are dropped by a table."""
-    plain = F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
+    """Trimmed, single spaces, case folded."""
+    return casefold(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
 def slug(c: Column) -> Column:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
 
+#: The share of samples below a signal's noise floor, and the levels that long signals are counted in.
+FLOOR, LEVELS = 0.1, 65_536
+
 
 def flags(qc: DataFrame) -> DataFrame:
     """Adds lufs_ok, peak_ok, noise_ok and acx_ok; infinite or missing loudness fails."""
@@ -74,10 +77,36 @@ def filled_headers(lines: DataFrame, header: Column) -> DataFrame:
 
 
 def signal_stats(signals: DataFrame) -> DataFrame:
-    """(key, peak, rms, peak_dbfs) of sample arrays (key, samples)."""
+    """(key, peak, rms, peak_dbfs, noise_floor, noise_dbfs) of sample arrays (key, samples); the noise floor is the tenth
+    percentile of the samples' sizes, between two of them in proportion."""
     peak = F.coalesce(F.array_max(F.transform("samples", lambda x: F.abs(x))), F.lit(0.0))
     rms = F.sqrt(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x.cast("double") * x) / F.greatest(F.size("samples"), F.lit(1)))
-    return signals.select("key", peak.cast("double").alias("peak"), rms.alias("rms"), T.decibels(peak.cast("double")).alias("peak_dbfs"))
+    sizes = F.array_sort(F.transform("samples", lambda x: F.abs(x).cast("double")))
+    at = FLOOR * (F.size("sizes") - 1)
+    low, high = F.try_element_at("sizes", F.floor(at).cast("int") + 1), F.try_element_at("sizes", F.ceil(at).cast("int") + 1)
+    floor = F.coalesce(low + (high - low) * (at - F.floor(at)), F.lit(0.0))
+    rows = signals.select("key", peak.cast("double").alias("peak"), rms.alias("rms"), sizes.alias("sizes")).withColumn("noise_floor", floor)
+    return rows.select("key", "peak", "rms", T.decibels(F.col("peak")).alias("peak_dbfs"), "noise_floor", T.decibels(F.col("noise_floor")).alias("noise_dbfs"))
+
+
+def noise_floor(parts: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(key, samples, noise_floor, noise_dbfs) of signals in many rows (key, samples), to one level.
+
+    Tasks count a signal's samples by level of their size, so a signal of any length comes down to at most levels + 1
+    rows; the tenth percentile lies in the level that holds its place, in proportion to it."""
+    size = F.least(F.abs(F.col("x")), F.lit(1.0))
+    counted = parts.select("key", F.explode("samples").alias("x")).filter(F.col("x").isNotNull()).groupBy("key", F.floor(size * levels).alias("level")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("key").orderBy("level")
+    rows = counted.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy("key")))
+    place = FLOOR * (F.col("total") - 1)
+
+    def at(rank: Column) -> Column:
+        here = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
+        return F.max(F.when(here, (F.col("level") + (rank - F.col("before") + 0.5) / F.col("n")) / levels))
+
+    found = rows.groupBy("key").agg(F.max("total").alias("samples"), F.max(place - F.floor(place)).alias("share"), at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"))
+    out = found.select("key", "samples", (F.col("low") + (F.col("high") - F.col("low")) * F.col("share")).alias("noise_floor"))
+    return out.withColumn("noise_dbfs", T.decibels(F.col("noise_floor")))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

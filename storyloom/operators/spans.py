@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
+from storyloom.functions.unicode import normal_form
 from storyloom.operators.blocks import paragraph_offsets
 
 # Patterns of tagged lines.
@@ -36,12 +37,22 @@ def line_tag(c: Column) -> Column:
     return F.when(fits(SCENE), "SectionBreak").when(fits(META), "Meta").when(fits(ANGLE), "SystemAngle").when(fits(SQUARE), "SystemSquare").when(fits(HEADING), "Heading").otherwise("None")
 
 
-def normalize(paras: DataFrame) -> DataFrame:
-    """Paragraphs without control characters, system lines with tidy tokens, and their line_tag."""
+def normalize(paras: DataFrame, unicode_form: str | None = None) -> DataFrame:
+    """Paragraphs without control characters, in a Unicode form if one is named, system lines with tidy tokens, and their line_tag."""
+    if unicode_form:
+        paras = paras.withColumn("para", normal_form(F.col("para"), unicode_form))
     plain = paras.withColumn("para", T.strip_control(F.col("para"))).withColumn("line_tag", line_tag(F.col("para")))
     return plain.withColumn("para", F.when(F.col("line_tag") == "SystemAngle", T.trim_angles(F.col("para"))).otherwise(F.col("para")))
 
 
+def normalize_report(paras: DataFrame) -> DataFrame:
+    """(chapter_index, control_characters, tidied_tokens): what normalize takes out of a chapter, and how many tokens of
+    its system lines it tidies."""
+    plain = paras.select("chapter_index", (F.length("para") - F.length(T.strip_control(F.col("para")))).alias("gone"), T.strip_control(F.col("para")).alias("para"))
+    tokens = F.when(line_tag(F.col("para")) == "SystemAngle", F.regexp_count("para", F.lit(r"<\s+[^>]*>|<[^>]*\s>")))
+    return plain.groupBy("chapter_index").agg(F.sum("gone").alias("control_characters"), F.coalesce(F.sum(tokens), F.lit(0)).cast("long").alias("tidied_tokens"))
+
+
 def tag_counts(tagged: DataFrame) -> DataFrame:
     """Per chapter, how many paragraphs bear each tag."""
     tags = ["SystemAngle", "SystemSquare", "SectionBreak", "Meta", "Heading"]
