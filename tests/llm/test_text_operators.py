@@ -117,7 +117,22 @@ def test_tree_is_the_plain_one_sums_to_one_and_beats_the_base(spark, sf_dir, dep
         assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9)
     model = lm.Model(docs.select("doc_id", "text", lm.held_out(F.col("doc_id")).alias("held_out")), depth)
     assert model.states().count() == len(tree)
-    assert max(map(len, tree)) == depth
+    assert max(map(len, tree)) == min(depth, 3)  # longer contexts don't pay in these texts
+
+
+def test_context_of_four_words_is_kept_and_scored(spark):
+    train = [(k, w) for k in range(400) if zlib.crc32(str(k).encode()) % 7 != 2 for w in [f"{'red' if k % 2 else 'blue'} one two three {'apple' if k % 2 else 'pear'}"]]
+    asked = [(1000 + k, "red one two three apple") for k in range(40) if zlib.crc32(str(1000 + k).encode()) % 7 == 2]
+    rows = {d: [*spaced(t), None] for d, t in [*train, *asked]}
+    scores = {}
+    for depth in (3, 4):
+        p, tree, _ = plain_tree([rows[d] for d, _ in train], depth)
+        assert ((b"red", b"one", b"two", b"three") in tree) == (depth == 4)
+        got = {r["doc_id"]: r["score"] for r in lm.score(frame(spark, [*train, *asked]), depth=depth).collect()}
+        for d, ws in rows.items():
+            assert got[d] == pytest.approx(sum(math.log10(p(w, tuple(ws[max(0, i - depth) : i]))) for i, w in enumerate(ws)), rel=1e-9)
+        scores[depth] = got[asked[0][0]]
+    assert scores[4] > scores[3] + 0.25
 
 
 def test_context_counts(spark):
