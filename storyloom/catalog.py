@@ -267,7 +267,7 @@ def continuity_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH c AS (SELECT chapter_index, string_agg(para, chr(10) || chr(10) ORDER BY para_index) AS text FROM {PARAS} GROUP BY chapter_index),
 n AS (SELECT chapter_index, trim(regexp_extract(text, '(?i)<\\s*User\\s*:\\s*([^>]+)>\\s*$', 1)) AS name, 3 AS weight FROM c
-      UNION ALL SELECT chapter_index, unnest(regexp_extract_all(text, '"[^"\\n]*,\\s*([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)' || chr(123) || '0,2' || chr(125) || ')[!?]"', 1)), 1 FROM c
+      UNION ALL SELECT chapter_index, unnest(regexp_extract_all(text, '"[^"\\n]*,\\s*([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){{0,2}})[!?]"', 1)), 1 FROM c
       UNION ALL SELECT chapter_index, unnest(regexp_extract_all(text, '\\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Lady|Lord|Capt|Captain|Lt|Sgt|Sergeant|Gen|Colonel)\\.??\\s+([A-Z][a-z]+)\\b', 1)), 1 FROM c)
 SELECT chapter_index, name, sum(weight)::BIGINT AS weight FROM n WHERE name <> '' GROUP BY chapter_index, name""")
 def roster_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -638,10 +638,17 @@ def voice_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return casting.pick_voice(*_cast_tables(spark, sf_dir), "piper")
 
 
-@query("SELECT * FROM (VALUES ('missing_voice', 'Griff'), ('alias_is_profile', 'layla'), ('alias_shared', 'vorden')) AS t(issue, subject)")
+_FOLDED = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
+
+
+@query(f"""
+WITH p AS (SELECT * FROM {V.duck(V.SUPPLIER_PROFILES)}), v AS (SELECT * FROM {V.duck(V.SUPPLIER_VOICES)}),
+a AS (SELECT DISTINCT {_FOLDED.format('alias')} AS k, profile FROM {V.duck(V.CUSTOMER_ALIASES)}), n AS (SELECT {_FOLDED.format('profile')} AS k, profile AS named FROM p)
+SELECT 'missing_voice' AS issue, profile AS subject FROM p WHERE (engine, voice) NOT IN (SELECT engine, voice FROM v)
+UNION SELECT 'alias_is_profile', k FROM a JOIN n USING (k) WHERE named <> profile
+UNION SELECT 'alias_shared', k FROM a GROUP BY k HAVING count(DISTINCT profile) > 1""")
 def profile_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, profiles, names, voices, _ = _cast_tables(spark, sf_dir)
-    return casting.profile_issues(profiles, names, voices)
+    return casting.profile_issues(*(V.view(spark, sf_dir, x) for x in (V.SUPPLIER_PROFILES, V.CUSTOMER_ALIASES, V.SUPPLIER_VOICES)))
 
 
 @query(f"SELECT reason, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM ({_RESOLVED}) GROUP BY reason")

@@ -75,6 +75,12 @@ PROFILES = "SELECT * FROM (VALUES (1, 'Quinn', 'piper', 'v1'), (2, 'Layla', 'pip
 ALIASES = "SELECT * FROM (VALUES ('the  Ghoul', 'Quinn'), ('vorden', 'Layla'), ('LAYLA', 'Quinn'), ('vorden', 'Griff')) AS t(alias, profile)"
 VOICES = "SELECT * FROM (VALUES ('piper', 'v1'), ('piper', 'v2'), ('xtts', 'x1')) AS t(engine, voice)"
 FALLBACK = "SELECT * FROM (VALUES ('piper', 'v1'), ('xtts', 'x1')) AS t(engine, voice)"
+#: Voice profiles of suppliers, aliases that customers' names give, and registered voices.
+SUPPLIER_PROFILES = "SELECT s_suppkey AS rank, s_name AS profile, 'engine' || CAST(s_nationkey % 5 AS STRING) AS engine, 'v' || CAST(s_suppkey % 7 AS STRING) AS voice FROM {supplier}"
+CUSTOMER_ALIASES = """
+SELECT CASE c_custkey % 3 WHEN 0 THEN replace(c_name, 'Customer', ' SUPPLIER ') WHEN 1 THEN replace(c_name, 'Customer', 'Supplier') ELSE c_mktsegment || ' ' || CAST(c_custkey % 50 AS STRING) END AS alias, s_name AS profile
+FROM {customer} JOIN {supplier} ON s_nationkey = c_nationkey AND s_suppkey % 4 = c_custkey % 4"""
+SUPPLIER_VOICES = "SELECT DISTINCT 'engine' || CAST(s_nationkey % 4 AS STRING) AS engine, 'v' || CAST(s_suppkey % 6 AS STRING) AS voice FROM {supplier} WHERE s_suppkey % 3 > 0"
 
 TABLES = ("conversations", "events", "documents", "orders", "customer", "supplier")
 

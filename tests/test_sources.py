@@ -96,19 +96,44 @@ def test_profiles(spark, tmp_path):
     from storyloom.operators import casting
     from storyloom.sources import profiles
 
-    config = {"defaults": {"engine": "piper", "narrator_voice": "n1", "style": {"pace": 0.9}}, "voices": {"piper": ["n1", "q1"]}, "speakers": {"Quinn": {"voice": "q1", "aliases": ["the  Ghoul"], "style": {"energy": 0.5}}, "Narrator": None}}
-    p = tmp_path / "p.json"
-    p.write_text(json.dumps(config))
-    t = profiles.profile_tables(spark, profiles.mapping(str(p)))
-    assert [tuple(r)[1:6] for r in t["profiles"].orderBy("rank").collect()] == [("Quinn", "piper", "q1", 0.9, 0.5), ("Narrator", "piper", "n1", 0.9, 1.0)]
+    config = {"version": 1, "defaults": {"engine": "piper", "narrator_voice": "n1", "style": {"pace": 0.9}}, "voices": {"piper": ["n1", "q1"]}, "speakers": {"Quinn": {"voice": "q1", "aliases": ["the  Ghoul"], "style": {"energy": 0.5}}, "Narrator": None}}
+    broken = {
+        "version": 2, "defaults": {}, "voices": {"piper": ["a"], "xtts": ["x"]},
+        "speakers": {"A": {"engine": "piper", "voice": "b", "aliases": ["B", "both"], "fallback": {"none": "v", "xtts": "y"}}, "b": {"engine": "gone", "voice": "v", "aliases": ["BOTH"]}, "C": {"engine": "piper"}, "D": {"voice": "v"}},
+    }
+    (tmp_path / "good.json").write_text(json.dumps(config, indent=1))
+    (tmp_path / "broken.json").write_text(json.dumps(broken))
+    configs = profiles.read(spark, str(tmp_path))
+    every = profiles.tables(configs)
+    t = {k: df.filter("config = 'good.json'") for k, df in every.items()}
+    assert [tuple(r)[1:] for r in t["profiles"].orderBy("rank").collect()] == [(0, "Quinn", "piper", "q1", 0.9, 0.5, 0.0, "neutral", None, None), (1, "Narrator", "piper", "n1", 0.9, 0.9, 0.0, "neutral", None, None)]
     who = spark.createDataFrame([("THE ghoul",), ("system",), ("Zed",)], "speaker string")
     got = {r["speaker"]: (r["voice"], r["reason"]) for r in casting.pick_voice(who, t["profiles"], t["aliases"], t["voices"], t["fallback"], "piper").collect()}
     assert got == {"THE ghoul": ("q1", "alias"), "system": ("n1", "narrator-fallback"), "Zed": ("n1", "default")}
-    profiles.save_profiles(t, str(tmp_path / "out.json"))
-    assert json.loads((tmp_path / "out.json").read_text())["speakers"]["Quinn"]["aliases"] == ["the Ghoul"]
-    assert profiles.chapters_in("1, 5-3,x,7-") == [1, 3, 4, 5] and profiles.chapters_in(None) == []
-    with pytest.raises(ValueError, match="author, cover"):
-        profiles.book({"title": "T"})
+    assert {tuple(r) for r in every["fallback"].collect()} == {("good.json", "piper", "n1"), ("broken.json", "piper", "a"), ("broken.json", "xtts", "x"), ("broken.json", "none", "v")}
+    written = {r["config"]: json.loads(r["json"]) for r in profiles.as_json(every).collect()}
+    assert written["good.json"]["speakers"] == {"Quinn": {"engine": "piper", "voice": "q1", "aliases": ["the Ghoul"]}, "Narrator": {"engine": "piper", "voice": "n1", "aliases": []}}
+    assert {tuple(r)[1:] for r in profiles.issues(configs).collect() if r["config"] == "broken.json"} == {
+        ("version", "2"), ("default_engine", None), ("default_voice", None), ("no_narrator", None), ("no_engine", "D"), ("no_voice", "C"), ("unknown_engine", "b"), ("unknown_voice", "A"),
+        ("alias_is_profile", "b"), ("alias_shared", "both"), ("unknown_spare_engine", "A"), ("unknown_spare_voice", "A"),
+    }
+    assert profiles.issues(configs).filter("config = 'good.json'").count() == 0
+
+
+def test_books_and_chapter_ranges(spark, tmp_path):
+    from storyloom.sources import profiles
+
+    (tmp_path / "a.json").write_text(json.dumps({"title": "T", "year": 12345}))
+    (tmp_path / "b.json").write_text(json.dumps({"title": "T", "author": "A", "cover": "c.png", "year": 1999}))
+    books = profiles.read(spark, str(tmp_path), profiles.BOOK)
+    assert {tuple(r) for r in profiles.book_issues(books).collect()} == {("a.json", "missing", "author"), ("a.json", "missing", "cover"), ("a.json", "year", "12345")}
+    specs = ["1, 5-3,x,7-", None, "", "2,2", "10-12,11"]
+    got = spark.createDataFrame([(s,) for s in specs], "s string").select(profiles.chapters_in(F.col("s"))).collect()
+    assert [r[0] for r in got] == [[1, 3, 4, 5], [], [], [2], [10, 11, 12]]
+    rows = spark.range(9).withColumnRenamed("id", "chapter_index")
+    assert [r[0] for r in profiles.only(rows, "2,5-4").orderBy("chapter_index").collect()] == [2, 4, 5] and profiles.only(rows, " ").count() == 9
+    inside, outside = profiles.parted(rows, "1-3")
+    assert (inside.count(), outside.count()) == (3, 6)
 
 
 def test_waves(spark, tmp_path):
