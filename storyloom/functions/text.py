@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,7 +53,28 @@ def bullet_items(c: Column) -> Column:
 def clean_paragraph(c: Column) -> Column:
     """One paragraph: line ends stripped, hyphens joined, bullets parted or lines joined, spaces single."""
     joined = join_hyphens(strip_line_ends(F.regexp_replace(c, r"\n\z", "")))
-    return single_spaces(F.coalesce(F.array_join(bullet_items(joined), "\n\n"), reflow(joined)))
+    # Bound once, as what follows names it several times.
+    either = F.transform(F.array(joined), lambda j: single_spaces(F.coalesce(F.array_join(bullet_items(j), "\n\n"), reflow(j))))
+    return F.element_at(either, 1)
+
+
+def before_each(values: Column, merge: Callable[[Column, Column], Column], zero: Column, lot: int = 256) -> Column:
+    """For each of an array's values, all before it merged.
+
+    Values of a long array are merged by lots first, so an element looks at its lot and the lots before, not at all
+    elements before it."""
+
+    def plainly(a: Column, start: Column) -> Column:
+        return F.transform(a, lambda x, i: F.aggregate(F.slice(a, 1, i), start, merge))
+
+    def by_lots(a: Column) -> Column:
+        lots = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / lot).cast("int")), lambda k: F.slice(a, k * lot + 1, lot))
+        merged = F.transform(F.array(lots), lambda own: F.struct(own.alias("lots"), F.transform(own, lambda x: F.aggregate(x, zero, merge)).alias("merged")))
+        earlier = lambda bound, k: F.aggregate(F.slice(bound["merged"], 1, k), zero, merge)
+        spread = lambda bound: F.flatten(F.transform(bound["lots"], lambda own, k: F.element_at(F.transform(F.array(earlier(bound, k)), lambda e: plainly(own, e)), 1)))
+        return F.element_at(F.transform(merged, spread), 1)
+
+    return F.element_at(F.transform(F.array(values), lambda a: F.when(F.size(a) <= lot, plainly(a, zero)).otherwise(by_lots(a))), 1)
 
 
 def clean_text(c: Column) -> Column:

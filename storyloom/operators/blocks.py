@@ -24,9 +24,8 @@ def blocks(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     framed = df.select(key, F.concat(F.lit("\n"), T.unify_newlines(F.col(text)), F.lit("\n")).alias("t"))
     cut = framed.select(key, F.split("t", gap, -1).alias("parts"), F.regexp_extract_all("t", F.lit(gap), F.lit(0)).alias("gaps"))
     sizes = F.zip_with("parts", "gaps", lambda p, g: F.coalesce(count(p), F.lit(0)) + F.coalesce(count(g), F.lit(0)))
-    cut = cut.withColumn("sizes", sizes)
-    before = lambda i: F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda n, x: n + x)
-    placed = F.transform("parts", lambda p, i: F.struct(F.btrim(p, F.lit("\n")).alias("text"), (before(i) + F.startswith(p, F.lit("\n")).cast("int")).alias("first")))
+    cut = cut.withColumn("sizes", sizes).withColumn("before", T.before_each(F.col("sizes"), lambda n, x: n + x, F.lit(0)))
+    placed = F.zip_with("parts", "before", lambda p, n: F.struct(F.btrim(p, F.lit("\n")).alias("text"), (n + F.startswith(p, F.lit("\n")).cast("int")).alias("first")))
     out = cut.select(key, F.posexplode(F.filter(placed, lambda x: F.rlike(x["text"], F.lit(r"\S")))).alias("index", "b"))
     n = count(F.col("b.text"))
     return out.select(

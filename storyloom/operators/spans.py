@@ -63,8 +63,9 @@ def matches(c: Column, pattern: str) -> Column:
     """All matches of a pattern with places: array of (start, end, text), offsets from 0, half open."""
     found, gaps = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
     lengths = F.zip_with(gaps, found, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0)))
-    before = lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda n, x: n + x) + F.length(F.element_at(gaps, i + 1))
-    return F.transform(found, lambda m, i: F.struct(before(i).alias("start"), (before(i) + F.length(m)).alias("end"), m.alias("text")))
+    starts = F.zip_with(T.before_each(lengths, lambda n, x: n + x, F.lit(0)), gaps, lambda n, g: n + F.length(g))
+    placed = F.zip_with(F.slice(starts, 1, F.size(found)), found, lambda n, m: F.struct(n.alias("start"), (n + F.length(m)).alias("end"), m.alias("text")))
+    return placed
 
 
 def inline_tokens(paras: DataFrame) -> DataFrame:
@@ -101,8 +102,10 @@ def spans(tagged: DataFrame, options: SpanOptions = SpanOptions()) -> DataFrame:
         rows = rows.withColumn("quotes", F.filter("quotes", lambda q: F.size(touched(q)) > 0))
     # Marks may overlap; those seen so far reach to the greatest end.
     rows = rows.withColumn("marks", F.array_sort(F.concat("tokens", "quotes")))
-    reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice("marks", 1, i), lambda m: m["e"])), F.lit(0))
-    gaps = F.transform(F.sequence(F.lit(0), F.size("marks")), lambda i: F.struct(reach(i).alias("s"), F.when(i == F.size("marks"), F.length("para")).otherwise(F.try_element_at(F.col("marks"), i + 1)["s"]).alias("e")))
+    ends = F.concat(F.transform("marks", lambda m: m["e"]), F.array(F.length("para")))
+    starts = F.concat(F.transform("marks", lambda m: m["s"]), F.array(F.length("para")))
+    rows = rows.withColumn("starts", starts).withColumn("reach", T.before_each(ends, lambda n, x: F.greatest(n, x), F.lit(0)))
+    gaps = F.zip_with("reach", "starts", lambda r, s: F.struct(r.alias("s"), s.alias("e")))
     told = F.transform(F.filter(gaps, lambda g: g["s"] < g["e"]), lambda g: piece(g["s"], g["e"], F.lit("Narration"), none, F.substring(F.col("para"), g["s"] + 1, g["e"] - g["s"]), none))
     parts = F.when(F.col("line_tag") == "None", F.array_sort(F.concat("marks", told))).otherwise(whole)
     flat = rows.select("chapter_index", "para_index", F.col("start").alias("from"), F.posexplode(parts).alias("at", "p"))
