@@ -9,6 +9,8 @@ short strings, so a paragraph is never shipped for each of its spans."""
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,7 +54,9 @@ def forms(verb: str) -> list[str]:
 
 
 def _any(words: list[str]) -> str:
-    return "|".join(sorted(set(words), key=lambda w: (-len(w), w)))
+    """Any of some words, the longest first, by first letters, so that a matcher tries few of them."""
+    own = sorted(set(words), key=lambda w: (w[0], -len(w), w))
+    return "|".join(f"{k}(?:{'|'.join(w[1:] for w in group)})" for k, group in itertools.groupby(own, key=lambda w: w[0]))
 
 
 _END = r"(?!\p{L})"
@@ -113,8 +117,8 @@ def _found(c: Column, pattern: str, groups: int) -> Column:
     step = lambda acc, x: F.struct((acc["at"] + F.length(x["gap"]) + F.length(x["own"])).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + F.length(x["gap"]))).alias("starts"))
     both = F.zip_with(F.slice(gaps, 1, F.size(whole)), whole, lambda g, w: F.struct(g.alias("gap"), w.alias("own")))
     starts = F.aggregate(both, none, step, lambda acc: acc["starts"])
-    parts = F.arrays_zip(starts.alias("start"), *[F.regexp_extract_all(c, F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in range(groups + 1)])
-    return F.transform(parts, lambda m: F.struct(m["start"].alias("start"), *[m[f"g{k}"].alias(f"g{k}") for k in range(groups + 1)]))
+    # A match's groups are read from the match alone, which is short.
+    return F.zip_with(starts, whole, lambda n, w: F.struct(n.alias("start"), w.alias("g0"), *[F.regexp_extract(w, pattern, k).alias(f"g{k}") for k in range(1, groups + 1)]))
 
 
 def _resolved(c: Column, subject: Column, at: Column) -> Column:
