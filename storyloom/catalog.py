@@ -383,7 +383,17 @@ def alias_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aliases.decide(m.join(scores, "normalized", "left")).groupBy("decision").agg(F.count("*").alias("n"))
 
 
-@query()
+_CRC = "xor(list_reduce(flatten(list_transform(string_split(g, ''), lambda x: [ascii(x), 0, 0, 0, 0, 0, 0, 0]::BIGINT[])), lambda crc, x: xor(xor(crc, x) >> 1, 3988292384 * (xor(crc, x) & 1)), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+@query(f"""
+WITH a AS (SELECT DISTINCT {_KEY.format('mention')} AS k FROM {MENTIONS}), b AS (SELECT DISTINCT canonical, {_KEY.format('canonical')} AS k FROM {CANONICAL}),
+g AS (SELECT k, substr('  ' || k || '  ', i, n) AS g FROM (SELECT k FROM a UNION SELECT k FROM b), range(3, 6) AS s(n), range(1, 200) AS r(i) WHERE i <= length(k) + 5 - n),
+h AS (SELECT g, ({_CRC}) % 256 AS slot FROM (SELECT DISTINCT g FROM g)),
+v AS (SELECT k, slot, count(*) AS n FROM g JOIN h USING (g) GROUP BY k, slot), l AS (SELECT k, sqrt(sum(n * n)::DOUBLE) AS norm FROM v GROUP BY k),
+d AS (SELECT x.k AS k, y.k AS other, sum(x.n * y.n)::DOUBLE AS dot FROM v x JOIN v y USING (slot) WHERE x.k IN (SELECT k FROM a) AND y.k IN (SELECT k FROM b) GROUP BY x.k, y.k),
+c AS (SELECT d.k, b.canonical, dot / (p.norm * q.norm) AS cosine FROM d JOIN l p ON p.k = d.k JOIN l q ON q.k = d.other JOIN b ON b.k = d.other)
+SELECT k AS normalized, canonical, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY cosine DESC, canonical) AS n FROM c) WHERE n = 1""")
 def alias_scores_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(aliases.gram_scores(aliases.clusters(V.view(spark, sf_dir, V.MENTIONS)), V.view(spark, sf_dir, V.CANONICAL)))
 
@@ -602,7 +612,10 @@ def heading_fast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.match_distinct_headings(sections.toc(found), sections.body_headings(found))
 
 
-@query()
+@query("""
+SELECT book, ordinal, title, first_title FROM (
+    SELECT source AS book, (doc_id % 7)::INT AS ordinal, md5(text) AS title, first_value(md5(text)) OVER (PARTITION BY source, doc_id % 7 ORDER BY doc_id) AS first_title FROM documents)
+WHERE title <> first_title""")
 def ordinal_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     entries = docs.select(F.col("source").alias("book"), F.col("doc_id").alias("index"), (F.col("doc_id") % 7).cast("int").alias("ordinal"), F.md5("text").alias("title"))
@@ -833,8 +846,8 @@ def insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT book, index, duration_s, upper(book) AS file FROM (SELECT book, index, round(duration_s, 6) AS duration_s FROM {QC}) WHERE index <= 6")
 def manifest_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
     qc = V.view(spark, sf_dir, V.CHAPTER_QC).select("book", "index", "duration_s")
-    manifest = qc.select(F.col("book").alias("b"), "index", F.upper("book").alias("file")).filter("index <= 6")
-    return _rounded(quality_control.with_manifest(manifest, qc).filter("b = book").select("book", "index", "duration_s", "file"))
+    manifest = qc.select("book", "index", F.upper("book").alias("file")).filter("index <= 6")
+    return _rounded(quality_control.with_manifest(manifest, qc).select("book", "index", "duration_s", "file"))
 
 
 # --- streaming forms, as batch ---

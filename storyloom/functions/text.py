@@ -25,6 +25,11 @@ def join_hyphens(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)(\w)-\n(?=\w)", "$1")
 
 
+def join_short_wraps(c: Column) -> Column:
+    """Words cut by a hyphen at a line end become one; so do one or two letters before a line end and what goes on in lower case."""
+    return F.regexp_replace(join_hyphens(c), r"(?<=\b[A-Za-z]|\b[A-Za-z]{2})\n(?=[a-z])", "")
+
+
 def reflow(c: Column) -> Column:
     """A line end between two characters that are not white space becomes a space."""
     return F.regexp_replace(c, r"(?<=\S)\n(?=\S)", " ")
@@ -175,11 +180,6 @@ def dialogue_pattern(c: Column) -> Column:
     return F.when(F.rlike(c, F.lit('"[^"]+"')), kind("dialogue", 0.9)).when(F.rlike(c, F.lit("[“][^”]+[”]")), kind("dialogue", 0.9)).when(F.rlike(c, F.lit(r"(?<!\p{L})'[^']+'")), kind("dialogue", 0.7)).otherwise(kind("narration", 0.6))
 
 
-def display_title(c: Column) -> Column:
-    """Words with a capital first letter."""
-    return F.initcap(c)
-
-
 def speaker_prompt(names: Column, kind: Column, left: Column, mid: Column, right: Column) -> Column:
     """What a model is asked about a span: the roster in order, the kind, and the text around."""
     roster = F.when(F.size(names) > 0, F.array_join(F.array_sort(names), ", ")).otherwise(F.lit("[]"))

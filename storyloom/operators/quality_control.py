@@ -41,7 +41,8 @@ def album_offset(qc: DataFrame, target: float = -18.0, trim: float = 0.0) -> Dat
 
 
 def with_manifest(manifest: DataFrame, qc: DataFrame) -> DataFrame:
-    return manifest.join(qc, "index")
+    """Chapters' quality with what their book's manifest says of them."""
+    return manifest.join(qc, ["book", "index"])
 
 
 def cues(chapters: DataFrame) -> DataFrame:
