@@ -344,8 +344,8 @@ def roster_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def roster_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = _table(spark, sf_dir, "customer")
-    spelt = F.when(F.col("c_custkey") % 4 == 1, F.concat(F.col("c_mktsegment"), F.lit(" "), F.substring("c_phone", 1, 6))).when(F.col("c_custkey") % 4 == 2, F.concat("c_name", F.lit("x"))).otherwise(F.col("c_name"))
-    rosters = customers.select(F.col("c_nationkey").alias("book"), (F.col("c_custkey") % 7).alias("chapter_index"), F.col("c_custkey").alias("place"), spelt.alias("canonical"), F.array(F.lower("c_name"), F.col("c_phone")).alias("aliases"))
+    spelt = F.when(F.col("c_custkey") % 4 == 1, F.concat_ws(" ", F.col("c_mktsegment"), (F.col("c_custkey") % 50).cast("string"))).when(F.col("c_custkey") % 4 == 2, F.concat("c_name", F.lit("x"))).otherwise(F.col("c_name"))
+    rosters = customers.select(F.col("c_nationkey").alias("book"), (F.col("c_custkey") % 7).alias("chapter_index"), F.col("c_custkey").alias("place"), spelt.alias("canonical"), F.array(F.lower("c_name"), F.concat_ws(" ", F.col("c_mktsegment"), (F.col("c_custkey") % 60).cast("string"))).alias("aliases"))
     return roster_fold_.fold(rosters).withColumn("aliases", F.array_join("aliases", "|"))
 
 
