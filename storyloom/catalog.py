@@ -398,6 +398,11 @@ def alias_scores_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(aliases.gram_scores(aliases.clusters(V.view(spark, sf_dir, V.MENTIONS)), V.view(spark, sf_dir, V.CANONICAL)))
 
 
+@query()
+def alias_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(aliases.proposals(aliases.clusters(V.view(spark, sf_dir, V.MENTIONS)), V.view(spark, sf_dir, V.CANONICAL)))
+
+
 @query(f"SELECT DISTINCT mention FROM {MENTIONS} WHERE mention NOT IN (SELECT canonical FROM {CANONICAL})")
 def anti_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     proposals = V.view(spark, sf_dir, V.MENTIONS).distinct().withColumn("decision", F.lit("auto"))

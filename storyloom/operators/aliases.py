@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
+from storyloom.functions.phonetic import codes, double_metaphone
+from storyloom.storage import ship
 
 MAX_EDITS, DIMENSIONS = 2, 256
+# What an entry that begins or ends with a mention, or sounds like it, scores more.
+AFFIX, PHONETIC = 0.05, 0.1
 PACK, BLOCK = 1024, 4096
 
 
@@ -61,9 +66,11 @@ def edit_scores(mentions: DataFrame, canonical: DataFrame) -> DataFrame:
     return rows.groupBy("normalized").agg(F.min_by("canonical", F.struct(-F.col("score"), F.col("canonical"))).alias("canonical"), F.max("score").alias("score"))
 
 
-def gram_scores(mentions: DataFrame, canonical: DataFrame) -> DataFrame:
+def gram_scores(mentions: DataFrame, canonical: DataFrame, bonus: bool = False) -> DataFrame:
     """(normalized, canonical, cosine): the best of all canonical names by hashed counts of 3- to 5-character grams; ties by name.
 
+    With bonus, names that begin or end with a mention count AFFIX more, and those that sound like it PHONETIC more.
+
     Every name is held against all of the roster, in packs of PACK mentions and BLOCK roster names at most in the mean,
     of which one pair at a time is in memory."""
     blocks = canonical.filter("canonical IS NOT NULL").select("canonical", T.name_key(F.col("canonical")).alias("c")).distinct()
@@ -93,6 +100,8 @@ def gram_scores(mentions: DataFrame, canonical: DataFrame) -> DataFrame:
                 a, b = vectors(pair["names"]), vectors([x["c"] for x in pair["roster"]])
                 # Products of counts are exact, so equal names score alike in every pack.
                 cosine = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1))
+                if bonus:
+                    cosine += bonuses(pair["names"], [x["c"] for x in pair["roster"]])
                 first = cosine.argmax(axis=1)
                 found = [pair["names"], [pair["roster"][j]["canonical"] for j in first], cosine[np.arange(len(first)), first].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["normalized", "canonical", "cosine"])
@@ -101,6 +110,39 @@ def gram_scores(mentions: DataFrame, canonical: DataFrame) -> DataFrame:
     return rows.groupBy("normalized").agg(F.min_by("canonical", F.struct(-F.col("cosine"), F.col("canonical"))).alias("canonical"), F.max("cosine").alias("cosine"))
 
 
+def bonuses(names: list[str], roster: list[str]) -> np.ndarray:
+    """bonus[name, entry]: AFFIX where an entry begins or ends with a name, PHONETIC where both have one first code."""
+    out = np.zeros((len(names), len(roster)))
+    ends: dict[str, set[int]] = defaultdict(set)
+    for k, c in enumerate(roster):
+        for n in range(len(c) + 1):
+            ends[c[:n]].add(k)
+            ends[c[len(c) - n :]].add(k)
+    for row, name in zip(out, names, strict=True):
+        row[list(ends.get(name, ()))] += AFFIX
+    numbers: dict[str, int] = {}
+    own, theirs = (np.array([numbers.setdefault(codes(x)[0], len(numbers)) for x in side]) for side in (names, roster))
+    silent = numbers.get("", -1)
+    out += PHONETIC * ((own[:, None] == theirs) & (own != silent)[:, None])
+    return out
+
+
+def proposals(mentions: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(normalized, canonical, score, decision): for every mention the best of all canonical names, ties by name.
+
+    A pair's score is the larger of its edit score and its gram cosine, and its bonuses, 1 at most and for equal keys. The
+    best by grams and bonus and the best by edits and bonus are found apart; the better one is the best of all."""
+    ship(mentions.sparkSession)
+    by_grams = gram_scores(mentions, canonical, bonus=True).select("normalized", "canonical", F.col("cosine").alias("score"))
+    near = edit_candidates(mentions, canonical).withColumn("c", T.name_key(F.col("canonical")))
+    sounds = (double_metaphone(F.col("normalized")) == double_metaphone(F.col("c"))) & (double_metaphone(F.col("normalized")) != "")
+    edited = F.col("edit") + F.when(F.col("affix"), AFFIX).otherwise(0.0) + F.when(sounds, PHONETIC).otherwise(0.0)
+    by_edits = near.select("normalized", "canonical", F.when(F.col("exact"), 2.0).otherwise(edited).alias("score"))  # 2 wins, whatever bonuses come to
+    both = by_grams.unionByName(by_edits)
+    best = both.groupBy("normalized").agg(F.min_by("canonical", F.struct(-F.col("score"), F.col("canonical"))).alias("canonical"), F.least(F.max("score"), F.lit(1.0)).alias("score"))
+    return decide(best)
+
+
 def decision(score: Column, auto: float = 0.85, review: float = 0.65) -> Column:
     return F.when(score >= auto, "auto").when(score >= review, "review").otherwise("reject")
 
