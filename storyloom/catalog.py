@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from storyloom.functions import canonical
 from storyloom.functions import text as T
 from storyloom.operators import aliases, attribution, audit, blocks, casting, nested, planning, quality_control, refine, sections, similarity, spans
 from storyloom.operators import roster_fold as roster_fold_
-from storyloom.plans import lifecycle
+from storyloom.plans import lifecycle, refinement
 from storyloom.sources import readers, writers
 from storyloom.streaming import metrics
 
@@ -409,6 +411,23 @@ def anti_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aliases.new_aliases(proposals, V.view(spark, sf_dir, V.CANONICAL).select(F.col("canonical").alias("mention"))).select("mention")
 
 
+def _nearby_name(prompt: str) -> str:
+    """Stands for a model: the first roster name right of a span, else the last one left of it."""
+    part = dict(re.findall(r"(?s)\n?(ROSTER|LEFT|SPAN|RIGHT): (.*?)(?=\n(?:SPAN_TYPE|SPAN|RIGHT): |\n\nChoose)", prompt))
+    names = [x for x in part.get("ROSTER", "").split(", ") if x]
+    seen = lambda side: [w for w in re.findall(r"[A-Z][a-z]+", part.get(side, "")) if w in names]
+    right, left = seen("RIGHT"), seen("LEFT")
+    return json.dumps({"speaker": right[0] if right else left[-1] if left else "Unknown", "confidence": 0.9 if right else 0.75})
+
+
+@query()
+def refined_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paras = V.view(spark, sf_dir, V.PROSE)
+    names = V.view(spark, sf_dir, V._TURNS).select("name").distinct().withColumn("rank", F.crc32(F.col("name").cast("binary")))
+    refined, _ = refinement.refine_document(lifecycle.annotate(paras), lifecycle.chapter_text(spans.normalize(paras)), names, _nearby_name)
+    return refined.select("chapter_index", "id", "type", "speaker", "method", "confidence", "accepted")
+
+
 # --- audit ---
 
 _COUNTS = ", ".join(f"count(*) FILTER (type = '{t}') AS n_{t.lower()}" for t in audit.TYPES)
