@@ -411,6 +411,18 @@ def anti_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aliases.new_aliases(proposals, V.view(spark, sf_dir, V.CANONICAL).select(F.col("canonical").alias("mention"))).select("mention")
 
 
+@query("""
+WITH m AS (SELECT s_name AS speaker, s_suppkey AS profile FROM supplier),
+a AS (SELECT lower(min(x)) AS low, min(x) AS mention, min(s_suppkey) AS profile FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN upper(replace(c_name, 'Customer', 'Supplier')) WHEN 1 THEN c_mktsegment || ' ' || c_custkey::VARCHAR ELSE lower(c_mktsegment) || ' ' || (c_custkey % 100)::VARCHAR END AS x, c_custkey FROM customer) JOIN supplier ON s_suppkey = c_custkey GROUP BY lower(x)),
+e AS (SELECT * FROM m UNION ALL SELECT mention, profile FROM a WHERE low NOT IN (SELECT lower(speaker) FROM m))
+SELECT row_number() OVER (ORDER BY lower(speaker), speaker, profile) - 1 AS place, speaker, profile FROM e""")
+def speaker_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = _table(spark, sf_dir, "supplier").select(F.col("s_name").alias("speaker"), F.col("s_suppkey").alias("profile"))
+    spelt = F.when(F.col("c_custkey") % 3 == 0, F.upper(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")))).when(F.col("c_custkey") % 3 == 1, F.concat_ws(" ", "c_mktsegment", F.col("c_custkey").cast("string"))).otherwise(F.concat_ws(" ", F.lower("c_mktsegment"), (F.col("c_custkey") % 100).cast("string")))
+    mentions = _table(spark, sf_dir, "customer").join(suppliers, F.col("profile") == F.col("c_custkey")).select(spelt.alias("mention"), F.col("speaker").alias("canonical"), F.lit("auto").alias("decision"))
+    return aliases.applied(suppliers, mentions)
+
+
 def _nearby_name(prompt: str) -> str:
     """Stands for a model: the first roster name right of a span, else the last one left of it."""
     part = dict(re.findall(r"(?s)\n?(ROSTER|LEFT|SPAN|RIGHT): (.*?)(?=\n(?:SPAN_TYPE|SPAN|RIGHT): |\n\nChoose)", prompt))

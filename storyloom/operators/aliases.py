@@ -8,12 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
 from storyloom.functions.phonetic import codes, double_metaphone
-from storyloom.storage import ship
+from storyloom.storage import cut, ship
 
 MAX_EDITS, DIMENSIONS = 2, 256
 # What an entry that begins or ends with a mention, or sounds like it, scores more.
@@ -154,3 +154,27 @@ def decide(scores: DataFrame) -> DataFrame:
 def new_aliases(proposals: DataFrame, known: DataFrame) -> DataFrame:
     """Proposals (mention, ...) decided auto, but those whose mention is known already (known: mention)."""
     return proposals.filter("decision = 'auto'").join(known.select("mention").distinct(), "mention", "left_anti")
+
+
+def applied(speaker_map: DataFrame, proposals: DataFrame) -> DataFrame:
+    """(place, speaker, profile): a map of speakers with the mentions added that proposals (mention, canonical, decision)
+    decide by themselves, in the order of their names without case.
+
+    A mention goes to its candidate's profile, if that has one and no speaker is called like it, whatever the case; of
+    several mentions that differ by case alone the first stays."""
+    known = speaker_map.select("speaker", "profile")
+    target = known.select(F.col("speaker").alias("canonical"), "profile")
+    new = proposals.filter("decision = 'auto'").select("mention", "canonical").join(target, "canonical").select(F.lower("mention").alias("low"), "mention", "profile")
+    new = new.groupBy("low").agg(F.min(F.struct("mention", "profile")).alias("m")).join(known.select(F.lower("speaker").alias("low")).distinct(), "low", "left_anti")
+    every = known.unionByName(new.select(F.col("m.mention").alias("speaker"), F.col("m.profile").alias("profile")))
+    # Places come from sums over sorted ranges, so no task orders the whole map.
+    return placed(every, [F.lower("speaker"), F.col("speaker"), F.col("profile")])
+
+
+def placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with place, from 0, in an order of rows."""
+    dealt = cut(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "placed")
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return dealt.withColumn("own", own).join(before, "part").select((F.col("first") + F.col("own") - 1).alias("place"), *df.columns)

@@ -78,3 +78,30 @@ def test_refined_speakers_of_the_tables(spark, sf_dir):
     assert all((r["speaker"], r["confidence"]) == (before[r["chapter_index"], r["id"]]["speaker"], before[r["chapter_index"], r["id"]]["confidence"]) for r in kept)
     unknown = lambda rs: sum(r["speaker"] == "Unknown" for r in rs)
     assert unknown(rows) < unknown(before.values())
+
+
+def test_stages_and_chapters(spark, sf_dir):
+    from storyloom import views
+    from storyloom.plans import lifecycle
+
+    paras = views.view(spark, sf_dir, views.PARAS).select("chapter_index", "para_index", "para")
+    some = lifecycle.annotate_stages(paras, ["segment", "normalize"], "1,3-2,x")
+    assert set(some) == {"segment", "normalize"} and {r[0] for r in some["segment"].select("chapter_index").distinct().collect()} == {1, 2, 3}
+    every = lifecycle.annotate_stages(paras)
+    assert sorted(map(str, every["attribute"].collect())) == sorted(map(str, lifecycle.annotate(paras).collect()))
+    with pytest.raises(ValueError, match="nothing"):
+        lifecycle.annotate_stages(paras, ["nothing"])
+    assert lifecycle.annotate_stages(paras, []) == {}
+    redone = some["segment"].withColumn("type", F.lit("Redone"))
+    both = lifecycle.recombined(every["segment"], redone, "1-3").groupBy("chapter_index").agg(F.collect_set("type").alias("t"), F.count("*").alias("n")).collect()
+    before = {r["chapter_index"]: r["count"] for r in every["segment"].groupBy("chapter_index").count().collect()}
+    assert {r["chapter_index"]: r["n"] for r in both} == before and all((r["t"] == ["Redone"]) == (r["chapter_index"] in (1, 2, 3)) for r in both)
+
+
+def test_speaker_map_keeps_its_order(spark):
+    from storyloom.operators import aliases
+
+    known = spark.createDataFrame([("beta", "p1"), ("Alpha", "p2"), ("ALPHA2", "p3")], "speaker string, profile string")
+    rows = [("alpha1", "beta", "auto"), ("Alpha1", "beta", "auto"), ("ALPHA", "beta", "auto"), ("gamma", "nobody", "auto"), ("delta", "beta", "review")]
+    got = aliases.applied(known, spark.createDataFrame(rows, "mention string, canonical string, decision string")).orderBy("place").collect()
+    assert [tuple(r) for r in got] == [(0, "Alpha", "p2"), (1, "Alpha1", "p1"), (2, "ALPHA2", "p3"), (3, "beta", "p1")]
