@@ -14,8 +14,8 @@ from storyloom.functions import canonical
 from storyloom.functions import text as T
 from storyloom.operators import aliases, attribution, audit, blocks, casting, nested, planning, quality_control, refine, sections, similarity, spans
 from storyloom.operators import roster_fold as roster_fold_
-from storyloom.plans import lifecycle, refinement
-from storyloom.sources import readers, writers
+from storyloom.plans import fusion, lifecycle, refinement
+from storyloom.sources import monitors, readers, writers
 from storyloom.streaming import metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -581,6 +581,39 @@ def fuse_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(matched.withColumn("f", fused).select("chapter_index", "id", "f.speaker", "f.confidence"))
 
 
+def _changes(quotes: str, chapters: str) -> str:
+    """What quotes change in spoken spans of some chapters."""
+    return f"""
+SELECT chapter_index, id, quoted, CASE WHEN {UNKNOWN} AND prob >= 0.7 THEN 'neural:booknlp' ELSE 'fuse:rule+booknlp' END AS method, CASE WHEN {UNKNOWN} AND prob >= 0.7 THEN greatest(confidence, least(0.9, prob)) ELSE 0.97 END AS confidence
+FROM (SELECT s.chapter_index, s.id, s.speaker, s.confidence, q.quoted, q.prob, row_number() OVER (PARTITION BY s.chapter_index, s.id ORDER BY -greatest(least(s.finish, q.q_end) - greatest(s.start, q.q_start), 0), abs(s.start - q.q_start), q.q_start) AS rn
+      FROM {BASE} s JOIN {V.duck(quotes)} q ON s.chapter_index = q.chapter_index AND (least(s.finish, q.q_end) > greatest(s.start, q.q_start) OR abs(s.start - q.q_start) <= 40)
+      WHERE {SPOKEN} AND s.chapter_index IN ({chapters}))
+WHERE rn = 1 AND ({UNKNOWN} AND prob >= 0.7 OR speaker = quoted AND confidence < 0.97)"""
+
+
+_FUSED = f"""
+WITH hard AS (SELECT chapter_index FROM {BASE} WHERE {SPOKEN} GROUP BY chapter_index HAVING 5 * count(*) FILTER ({UNKNOWN}) >= count(*)),
+first AS ({_changes(V.QUOTES, "SELECT chapter_index FROM hard")}),
+second AS ({_changes(V.QUOTES_AGAIN, "SELECT chapter_index FROM hard EXCEPT SELECT chapter_index FROM first")}),
+fused AS (SELECT *, 1 AS attempt FROM first UNION ALL SELECT *, 2 AS attempt FROM second)"""
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    base = _base(spark, sf_dir)
+    given = lambda view: lambda chapters: V.view(spark, sf_dir, view).join(chapters, "chapter_index", "left_semi")
+    return fusion.fuse_document(base, base.select("chapter_index").distinct(), given(V.QUOTES), given(V.QUOTES_AGAIN))
+
+
+@query(f"{_FUSED} SELECT chapter_index, b.id, coalesce(quoted, speaker) AS speaker, coalesce(f.method, b.method) AS method, round(coalesce(f.confidence, b.confidence), 6) AS confidence FROM {BASE} b LEFT JOIN fused f USING (chapter_index, id)")
+def fuse_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_fused(spark, sf_dir)[0].select("chapter_index", "id", "speaker", "method", "confidence"))
+
+
+@query(f"{_FUSED} SELECT chapter_index, (SELECT count(*) FROM {BASE} b WHERE b.chapter_index = hard.chapter_index AND {SPOKEN}) AS spoken, count(id) AS changed, coalesce(max(attempt), 1) AS attempt FROM hard LEFT JOIN fused USING (chapter_index) GROUP BY chapter_index")
+def fusion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir)[1]
+
+
 @query(f"""
 SELECT b.chapter_index, b.id, t AS accepted, CASE WHEN t THEN r.speaker ELSE b.speaker END AS speaker, round(CASE WHEN t THEN greatest(r.confidence, b.confidence) ELSE b.confidence END, 6) AS confidence
 FROM (SELECT b.chapter_index, b.id, coalesce(r.confidence >= CASE WHEN coalesce(b.speaker, 'Unknown') = 'Unknown' THEN 0.5 ELSE 0.7 END AND (r.speaker IS DISTINCT FROM b.speaker OR r.confidence > b.confidence), false) AS t FROM {BASE} b LEFT JOIN {REFINED} r USING (chapter_index, id)) x
@@ -741,6 +774,25 @@ def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return casting.importance(_base(spark, sf_dir), 5)
 
 
+_ENGINE_VOICES = f"(SELECT min(voice) FROM {V.duck(V.SUPPLIER_VOICES)} WHERE engine = 'engine1')"
+
+
+@query(f"""
+WITH top AS (SELECT speaker, count(*) AS n, min((chapter_index, id)) AS first FROM {BASE} WHERE type IN ('Dialogue', 'Thought', 'Narration') AND speaker <> '' GROUP BY speaker ORDER BY n DESC, first LIMIT 4)
+SELECT 0 AS rank, 'Narrator' AS profile, 'engine1' AS engine, {_ENGINE_VOICES} AS voice
+UNION ALL SELECT row_number() OVER (ORDER BY n DESC, first), speaker, 'engine1', '' FROM top""")
+def starter_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return casting.starter(_base(spark, sf_dir), V.view(spark, sf_dir, V.SUPPLIER_VOICES), "engine1", 4)
+
+
+@query(f"""
+WITH b AS (SELECT chapter_index, id, speaker, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM {BASE} WHERE {SPOKEN} AND speaker <> ''),
+top AS (SELECT speaker, count(*) AS lines, arg_min(text, (CASE WHEN length(text) BETWEEN 20 AND 140 THEN 0 ELSE 1 END, chapter_index, id)) AS text FROM b GROUP BY speaker ORDER BY lines DESC, speaker LIMIT 5)
+SELECT row_number() OVER (ORDER BY lines DESC, speaker) AS rank, speaker, lines, 'piper' AS engine, coalesce(p.voice, '') AS voice, text FROM top LEFT JOIN {PROFILES} p ON p.profile = speaker AND p.engine = 'piper'""")
+def casting_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return casting.proposal(_base(spark, sf_dir), V.view(spark, sf_dir, V.PROFILES), "piper", 5)
+
+
 # --- plans ---
 
 _PIECES = f"""
@@ -770,6 +822,16 @@ def synthesis_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.tasks(_base(spark, sf_dir))
 
 
+@query(f"""
+SELECT chapter_index, id, t.speaker, type, text, CASE WHEN ends_with(rtrim(text), ',') THEN 80 ELSE 120 END::BIGINT AS pause_ms, coalesce(p.engine, 'piper') AS engine, CASE WHEN v.voice IS NOT NULL THEN p.voice ELSE f.voice END AS voice,
+       CASE WHEN v.voice IS NOT NULL THEN reason WHEN r.profile IS NOT NULL THEN 'fallback-voice' ELSE 'default' END AS reason
+FROM {BASE} t LEFT JOIN ({_RESOLVED}) r ON r.speaker = t.speaker LEFT JOIN {PROFILES} p ON p.profile = r.profile LEFT JOIN {VOICES} v ON v.engine = p.engine AND v.voice = p.voice
+LEFT JOIN {FALLBACK} f ON f.engine = coalesce(p.engine, 'piper') WHERE type IN ('Dialogue', 'Thought', 'Narration')""")
+def voiced_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, *tables = _cast_tables(spark, sf_dir)
+    return planning.voiced_tasks(_base(spark, sf_dir), *tables, "piper")
+
+
 @query()
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations")
@@ -789,6 +851,29 @@ def qc_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(quality_control.summary(V.view(spark, sf_dir, V.CHAPTER_QC), "lufs"))
 
 
+_FLAGGED = f"(SELECT *, lufs BETWEEN -23 AND -18 AS lufs_ok, peak <= -3 AS peak_ok, noise <= -60 AS noise_ok FROM {QC})"
+
+
+@query(f"SELECT count(*) AS chapters, count(*) FILTER (NOT (lufs_ok AND peak_ok AND noise_ok)) AS failed, min(lufs) AS lufs_least, list_sort(list(lufs))[len(list(lufs)) // 2 + 1] AS lufs_middle, max(lufs) AS lufs_most, max(peak) AS peak_most FROM {_FLAGGED}")
+def qc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_control.grade(V.view(spark, sf_dir, V.CHAPTER_QC))[0]
+
+
+@query(f"SELECT book, index, concat_ws(',', CASE WHEN NOT lufs_ok THEN 'lufs' END, CASE WHEN NOT peak_ok THEN 'peak' END, CASE WHEN NOT noise_ok THEN 'noise' END) AS fails FROM {_FLAGGED} WHERE NOT (lufs_ok AND peak_ok AND noise_ok)")
+def qc_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_control.grade(V.view(spark, sf_dir, V.CHAPTER_QC))[1].select("book", "index", F.array_join("fails", ",").alias("fails"))
+
+
+@query(f"""
+WITH l AS (SELECT *, last_value(CASE WHEN line = '' THEN [] WHEN starts_with(line, 'Device') THEN string_split_regex(line, '\\s+') END IGNORE NULLS) OVER (PARTITION BY log ORDER BY line_no) AS heads FROM {V.duck(V.MONITOR_LINES)}),
+f AS (SELECT log, heads, string_split_regex(trim(line), '\\s+') AS fields FROM l WHERE line <> '' AND NOT starts_with(line, 'Device') AND len(heads) > 0),
+m AS (SELECT log, fields[1] AS device, metric, try_cast(regexp_extract(fields[list_position(heads, metric)], '^[0-9.]+') AS DOUBLE) AS value
+      FROM f, (VALUES ('rMB/s'), ('wMB/s'), ('%util'), ('r/s'), ('w/s')) AS t(metric) WHERE len(fields) >= len(heads) AND list_contains(heads, metric))
+SELECT log, device, metric, count(*) AS n, round(avg(value), 6) AS avg_value, max(value) AS max_value, min(value) AS min_value FROM m WHERE value IS NOT NULL GROUP BY ALL""")
+def monitor_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(monitors.report(monitors.samples(V.view(spark, sf_dir, V.MONITOR_LINES), "iostat")))
+
+
 @query(f"SELECT round(-18 - median(lufs), 6) AS offset_db FROM (SELECT lufs, row_number() OVER (ORDER BY lufs) AS rn, count(*) OVER () AS n FROM {QC}) WHERE rn > floor(n * 0.2) AND rn <= n - floor(n * 0.2)")
 def album_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(quality_control.album_offset(V.view(spark, sf_dir, V.CHAPTER_QC), trim=0.2))

@@ -13,6 +13,9 @@ MALE = ["mr", "sir", "lord", "king", "prince", "duke", "father", "mister", "sir.
 FEMALE = ["mrs", "ms", "miss", "lady", "queen", "princess", "duchess", "mother", "madam"]
 RANKS = ["sergeant", "captain", "major", "general", "lieutenant", "commander", "private", "agent", "professor"]
 TOP, POOL = 16, 6
+# Voices where none are found, and names that the narrator speaks for.
+SPARE_VOICES = ["en_US/ryan-high", "en_US/lessac-medium", "en_GB/callan-medium"]
+NARRATED = ["narrator", "system", "ui"]
 
 
 def resolve(speakers: DataFrame, profiles: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -106,3 +109,30 @@ def audition_lines(spans: DataFrame, low: int = 20, high: int = 140) -> DataFram
 def importance(spans: DataFrame, n: int) -> DataFrame:
     """The n speakers with most spoken spans, then by name."""
     return spans.filter(spoken() & F.col("speaker").isNotNull()).groupBy("speaker").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "speaker").limit(n)
+
+
+def starter(spans: DataFrame, voices: DataFrame, engine: str, n: int = 16) -> DataFrame:
+    """(rank, profile, engine, voice) to start a book's casting from: the narrator with the engine's first voice, then the n
+    speakers with most spans of dialogue, thought and narration, then the earliest, with voices left blank.
+
+    Names that the narrator speaks for take a place among the n and are left out. Without voices of the engine the narrator
+    has the first of SPARE_VOICES."""
+    rows = spans.filter(F.col("type").isin("Dialogue", "Thought", "Narration") & (F.coalesce("speaker", F.lit("")) != ""))
+    first = F.min(F.struct("chapter_index", "id")).alias("first")
+    top = rows.groupBy("speaker").agg(F.count("*").alias("n"), first).orderBy(F.desc("n"), "first").limit(n)
+    ranked = top.select("speaker", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "first")).alias("rank"))  # n rows
+    named = ranked.filter(~T.speaker_key(F.col("speaker")).isin(NARRATED)).select("rank", F.col("speaker").alias("profile"), F.lit(engine).alias("engine"), F.lit("").alias("voice"))
+    narrator = voices.filter(F.col("engine") == engine).agg(F.coalesce(F.min("voice"), F.lit(SPARE_VOICES[0])).alias("voice"))
+    return narrator.select(F.lit(0).alias("rank"), F.lit("Narrator").alias("profile"), F.lit(engine).alias("engine"), "voice").unionByName(named)
+
+
+def proposal(spans: DataFrame, profiles: DataFrame, engine: str, n: int = 12, low: int = 20, high: int = 140) -> DataFrame:
+    """(rank, speaker, lines, engine, voice, text) of the n speakers with most spoken spans, then by name: the voice that
+    profiles have for one with the same engine, else a blank, and the trimmed line to hear it with."""
+    rows = spans.filter(F.coalesce("speaker", F.lit("")) != "").withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", ""))
+    top = importance(rows, n).withColumnRenamed("n", "lines")
+    ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("lines"), "speaker")))  # n rows
+    heard = audition_lines(rows.join(F.broadcast(ranked.select("speaker")), "speaker", "left_semi"), low, high)
+    held = profiles.filter(F.col("engine") == engine).groupBy(T.speaker_key(F.col("profile")).alias("k")).agg(F.min_by("voice", "rank").alias("held"))
+    out = ranked.join(heard, "speaker").withColumn("k", T.speaker_key(F.col("speaker"))).join(held, "k", "left")
+    return out.select("rank", "speaker", "lines", F.lit(engine).alias("engine"), F.coalesce("held", F.lit("")).alias("voice"), "text")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyloom.operators import casting
+
 # Limits, pauses in milliseconds, abbreviations.
 MAX_CHARS, DIALOGUE_CHARS = 220, 280
 PAUSES = {"Narration": 120, "Dialogue": 80, "Thought": 140}
@@ -74,6 +76,14 @@ def tasks(spans: DataFrame) -> DataFrame:
     return rows.select("chapter_index", "id", "speaker", "type", "text", synthesis_pause(F.col("text")).cast("long").alias("pause_ms"))
 
 
+def voiced_tasks(spans: DataFrame, profiles: DataFrame, aliases: DataFrame, voices: DataFrame, fallback: DataFrame, engine: str) -> DataFrame:
+    """Tasks with the engine and voice that speak them and why; a span without a speaker has the engine's own voice. Voices are
+    picked once a speaker; the join is by speaker, of which there are few beside spans."""
+    rows = tasks(spans).withColumn("asked", F.coalesce("speaker", F.lit("")))
+    picked = casting.pick_voice(rows.select(F.col("asked").alias("speaker")).distinct(), profiles, aliases, voices, fallback, engine).withColumnRenamed("speaker", "asked")
+    return rows.join(picked, "asked").select("chapter_index", "id", "speaker", "type", "text", "pause_ms", "engine", "voice", "reason")
+
+
 def chunks(text: Column, cap: int) -> Column:
     """Chunks of at most cap characters: whole sentences packed while they fit; a longer sentence is wrapped at spaces.
 

@@ -29,6 +29,17 @@ def upper_median(column: str) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column} DESC)")
 
 
+def grade(qc: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row (chapters, failed, lufs_least, lufs_middle, lufs_most, peak_most) of all chapters, and the flagged rows that fail,
+    with the checks they fail. Loudness that is missing or no number fails and doesn't count otherwise."""
+    rows = flags(qc)
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    held = rows.select(finite("lufs").alias("lufs"), finite("peak").alias("peak"), "acx_ok")
+    whole = held.agg(F.count("*").alias("chapters"), F.count_if(~F.col("acx_ok")).alias("failed"), F.min("lufs").alias("lufs_least"), upper_median("lufs").alias("lufs_middle"), F.max("lufs").alias("lufs_most"), F.max("peak").alias("peak_most"))
+    failed = F.array_compact(F.array(*[F.when(~F.col(f"{k}_ok"), F.lit(k)) for k in ("lufs", "peak", "noise")]))
+    return whole, rows.filter("NOT acx_ok").withColumn("fails", failed)
+
+
 def album_offset(qc: DataFrame, target: float = -18.0, trim: float = 0.0) -> DataFrame:
     """(offset_db): target less the median of chapters' loudness, of which, from five on, a share is cut at both ends.
 

@@ -103,6 +103,20 @@ def as_json(t: dict[str, DataFrame]) -> DataFrame:
     return rows.groupBy("config").agg(F.to_json(F.struct(speakers.alias("speakers"))).alias("json"))
 
 
+def starter_json(rows: DataFrame, voices: DataFrame, engine: str) -> DataFrame:
+    """(json): one configuration of starting profiles (rank, profile, engine, voice), which ``read`` reads again: version,
+    defaults with the narrator's voice and STYLE, the engine's voices by name, and speakers in order of rank."""
+    have = voices.filter(F.col("engine") == engine).agg(F.array_sort(F.collect_set("voice")).alias("of"))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "profile", "engine", "voice")))
+    all_rows = rows.agg(ordered.alias("s")).crossJoin(F.broadcast(have))
+    narrator = F.element_at(F.filter("s", lambda x: x["rank"] == 0), 1)["voice"]
+    style = F.struct(*[F.lit(v).alias(k) for k, v in STYLE.items()])
+    speakers = F.map_from_entries(F.transform("s", lambda x: F.struct(x["profile"], F.struct(x["engine"].alias("engine"), x["voice"].alias("voice")))))
+    registered = F.when(F.size("of") > 0, F.col("of")).otherwise(F.array(narrator))
+    fields = [F.lit(1).alias("version"), F.struct(F.lit(engine).alias("engine"), narrator.alias("narrator_voice"), style.alias("style")).alias("defaults"), F.create_map(F.lit(engine), registered).alias("voices"), speakers.alias("speakers")]
+    return all_rows.select(F.to_json(F.struct(*fields)).alias("json"))
+
+
 def chapters_in(spec: Column) -> Column:
     """Chapters that "1,3-5" names, ascending; reversed ranges are turned, parts that are none are left out; null names none."""
     parts = F.filter(F.split(F.coalesce(spec, F.lit("")), ","), lambda p: F.rlike(p, F.lit(r"^\s*\d{1,9}\s*(-\s*\d{1,9}\s*)?$")))

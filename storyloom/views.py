@@ -49,6 +49,8 @@ SELECT conv_id AS chapter_index, turn + 1 AS id, {_TYPE} AS type,
 FROM ({_TURNS}) AS turns"""
 #: External quotes near the spans.
 QUOTES = f"SELECT conv_id AS chapter_index, turn * 1000 + k % 90 - 20 AS q_start, turn * 1000 + k % 90 AS q_end, name AS quoted, CAST(k % 100 AS DOUBLE) / 100 AS prob FROM ({_TURNS}) AS turns WHERE k % 2 = 0"
+#: Quotes of a second annotator, of the other turns.
+QUOTES_AGAIN = f"SELECT conv_id AS chapter_index, turn * 1000 + k % 60 AS q_start, turn * 1000 + 200 AS q_end, name AS quoted, CAST(60 + k % 40 AS DOUBLE) / 100 AS prob FROM ({_TURNS}) AS turns WHERE k % 2 = 1"
 #: Votes: a user's events of a day by type.
 VOTES = "SELECT user_id, CAST(ts AS DATE) AS day, event_type AS candidate, count(*) AS votes FROM {events} GROUP BY user_id, CAST(ts AS DATE), event_type"
 #: Books: a source's documents, whole, as chapters after a table of contents and a separator.
@@ -67,6 +69,12 @@ CHAPTER_QC = """
 SELECT CAST(year(o_orderdate) AS STRING) AS book, CAST(month(o_orderdate) AS BIGINT) AS index, CAST(count(*) AS DOUBLE) / 7 AS duration_s,
        -15 - CAST(count(*) % 11 AS DOUBLE) AS lufs, -1 - CAST(count(*) % 5 AS DOUBLE) AS peak, -55 - CAST(count(*) % 10 AS DOUBLE) AS noise
 FROM {orders} GROUP BY year(o_orderdate), month(o_orderdate)"""
+#: Lines of device monitors, a log for each priority of orders: two tables' headers, which take turns, ends and rows.
+MONITOR_LINES = """
+SELECT o_orderpriority AS log, o_orderkey AS line_no,
+       CASE WHEN o_custkey % 40 = 0 THEN 'Device r/s w/s rMB/s wMB/s %util' WHEN o_custkey % 40 = 1 THEN 'Device: %util  w/s r/s' WHEN o_custkey % 40 = 2 THEN ''
+            ELSE '  sd' || CAST(o_custkey % 3 AS STRING) || '  ' || CAST(o_orderkey % 7 AS STRING) || '.5 ' || CAST(o_orderkey % 11 AS STRING) || '   ' || CAST(o_custkey % 13 AS STRING) || CASE WHEN o_custkey % 5 = 0 THEN '' ELSE ' 1.25 ' || CAST(o_custkey % 100 AS STRING) || '%' END END AS line
+FROM {orders}"""
 #: Names with edits, and the names they come from.
 MENTIONS = """
 SELECT CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'I ' || c_name WHEN 2 THEN replace(c_name, '0', '') ELSE c_name || 'x' END AS mention FROM {customer}"""
