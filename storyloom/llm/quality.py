@@ -9,7 +9,7 @@ Fitting takes a bounded sample: the ``SAMPLE`` labelled documents of least hash.
 distinct words in features. Scoring covers every document, whole; workers hold 2**BITS weights.
 
 Defined results: a null or empty text has no words and gets the score of its bands alone; several labels of one
-doc_id count by the least grade; labels with a null doc_id or quality, or without a document, don't count, and a
+doc_id count by the least grade, and several texts of one doc_id by that of least hash when fitting; labels with a null doc_id or quality, or without a document, don't count, and a
 null toxic counts as 0; repeated documents are each scored; without any label every document is kept with grade 2.
 Further columns are kept by ``select`` and not read otherwise.
 """
@@ -134,7 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ship(spark)
     graded = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", grade_of().alias("grade")).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One text a doc_id, chosen before rows meet: a repeated doc_id may hold any share of them.
+    least = F.struct(F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min(least).alias("least")).select("doc_id", "grade", "least.text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

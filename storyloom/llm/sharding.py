@@ -1,6 +1,6 @@
 """Sharding by balanced label propagation, in DataFrame operations only.
 
-Documents with equal texts are linked. Linked documents start in a shard by hash. In every round each group that has
+Documents with equal texts are linked. Linked documents start in a shard by hash. In every round, until no more find a seat, each group that has
 no seat yet asks for the shard that holds most of it and has room; a shard takes groups, as wholes, up to its quota.
 Groups that no shard of theirs has room for are put into the gaps one after another, so that at most one a shard is
 cut, even if all documents have links. Documents without links then fill the shards up to their quotas. Law ``rows``:
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.common import cut
 
-ROUNDS = 6
 #: Share of a shard's quota that a large group counts on, as its parts differ in size.
 FILL = 0.85
 
@@ -47,7 +46,7 @@ def _ranked(df: DataFrame, by: list[str], order: list[Column], name: str) -> Dat
     )
 
 
-def shard(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, linked) of every row of docs (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
     base = cut(
@@ -66,7 +65,11 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS) -> DataFrame:
     sizes = base.filter("text_hash IS NOT NULL").groupBy(*group).agg(F.count("*").alias("copies")).filter("copies > 1")
     sizes = cut(sizes, "shard-groups")
     large = sizes.filter(F.col("copies") > part).withColumn("parts", F.ceil(F.col("copies") / part))
-    joined = base.join(sizes.select(*group, F.lit(True).alias("linked")), group, "left").join(F.broadcast(large.select(*group, "parts")), group, "left")
+    large = large.select(*group, F.lit(True).alias("linked"), "parts")
+    small = sizes.filter(F.col("copies") <= part).select(*group, F.lit(True).alias("linked"), F.lit(1).cast("long").alias("parts"))
+    # Rows of large groups get their parts where they are; only groups of an eighth of a quota at most are joined by their keys.
+    rest = base.join(F.broadcast(large), group, "left_anti").join(small, group, "left")
+    joined = base.join(F.broadcast(large), group).unionByName(rest)
     home = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(1)), F.lit(shards)).cast("int")
     rows = joined.select(
         "doc_id", *group, F.coalesce("linked", F.lit(False)).alias("linked"),
@@ -75,7 +78,7 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS) -> DataFrame:
     )
     rows = cut(rows, "shard-start")
     linked, free = rows.filter("linked"), rows.filter("NOT linked")
-    linked = _propagate(linked, quota, rounds)
+    linked = _propagate(linked, quota)
     return _fill(linked, free, quota)
 
 
@@ -92,7 +95,7 @@ def _running(df: DataFrame, by: list[str]) -> DataFrame:
     return df.withColumn("run", F.sum("n").over(run)).join(F.broadcast(first), keys).withColumn("end", F.col("first") + F.col("run")).drop("bucket", "first", "run")
 
 
-def _propagate(linked: DataFrame, quota: list[int], rounds: int) -> DataFrame:
+def _propagate(linked: DataFrame, quota: list[int]) -> DataFrame:
     """Linked rows with the shard where their group, or its part, has its seat."""
     group = ["text_hash", "text_crc32", "size"]
     spread = linked.groupBy(*group, "shard").agg(F.count("*").alias("n"))
@@ -103,8 +106,8 @@ def _propagate(linked: DataFrame, quota: list[int], rounds: int) -> DataFrame:
     parts = linked.groupBy(*group, "part").agg(F.count("*").alias("n"))
     columns = [*group, "part", "n", "best", "need", "seat"]
     state = cut(parts.join(ranked, group).select(*group, "part", "n", "best", need.alias("need"), F.lit(None).cast("int").alias("seat")), "shard-seats")
-    room, left = list(quota), None
-    for _ in range(rounds):
+    room, before, left = list(quota), None, None
+    while left is None or left not in (0, before):  # each round seats some, so that the rows without a seat fall
         free = F.array(*[F.lit(x) for x in room])
         fits = lambda shards: F.filter(shards, lambda s: F.element_at(free, s + 1) >= F.col("n"))  # noqa: B023, E731
         near, any_of = fits(F.slice("best", 1, F.col("need"))), fits(F.col("best"))
@@ -117,8 +120,6 @@ def _propagate(linked: DataFrame, quota: list[int], rounds: int) -> DataFrame:
         held = {r["seat"]: r["n"] for r in state.groupBy("seat").agg(F.sum("n").alias("n")).collect()}
         before, left = left, held.pop(None, 0)
         room = [q - held.get(k, 0) for k, q in enumerate(quota)]
-        if left in (0, before):
-            break
     ends = [sum(room[: k + 1]) for k in range(len(room))]
     packed = _running(state.filter("seat IS NULL"), [])
     at = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("end") - F.col("n")))
