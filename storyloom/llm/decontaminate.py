@@ -7,8 +7,11 @@ an item has, compared word by word; together these make up the longer runs. Each
 items have it, so texts that repeat themselves cost no more than others. An item of fewer words is looked for as a
 whole, by the hash of all its words.
 
-The benchmark's index goes to the workers. It is built for blocks of at most ``BLOCK_BYTES`` of item text; a
-benchmark beyond that is worked off block by block, and hits are merged by document.
+A benchmark of at most ``BLOCK_BYTES`` of item text goes to the workers whole, and one scan extends each hit where it is
+found. A larger one is never broadcast: documents are scanned once and written with those of their fingerprints that
+pass a bitmap of fixed size; the fingerprints of both sides are joined in Spark, salted, which gives the blocks of items
+that a document may share a run with; and candidates and items of a block meet in tasks of about ``TASK_BYTES``, where hits
+are extended. Documents are numbered where they are written, so that every later step sees one number for each.
 
 Defined results: a null or empty text, or one without words, has no words and no hits; repeated items count once
 by their item_id; a null item_id is named ``null``; items without words occur nowhere; an empty benchmark hits
@@ -17,20 +20,23 @@ nothing; repeated documents are each judged. Further columns are kept by ``clean
 
 from __future__ import annotations
 
-import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from storyloom.llm.common import ALNUM, mix, passes, raw, ship, strings, words
+from storyloom.llm.common import ALNUM, cut, mix, passes, raw, ship, strings, words
 
 SPAN, K = 10, 5
 W = SPAN - K + 1
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 FILTER_BITS = 20
+#: Bits of the bitmap of all fingerprints of a large benchmark, and tasks that share a common fingerprint.
+BITMAP_BITS, SALTS = 26, 16
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -175,14 +181,15 @@ class Index:
             yield level, *level.found(h, np.flatnonzero(_sifted(level.sieve, g)))
 
 
-def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple[str, str]]]:
-    """Distinct items by blocks; the driver holds one at a time, as a block goes to a file once it is broadcast."""
+def _items(benchmark: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """Items (id, text), and their bytes."""
     items = benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = -(-size // BLOCK_BYTES)
-    part = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, n)))
-    for k in range(max(1, n)):
-        yield [(r["id"], r["text"]) for r in items.filter(part == k).distinct().toLocalIterator()]
+    return items, items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+
+
+def _whole(items: DataFrame):
+    """The distinct items of a benchmark of at most BLOCK_BYTES, broadcast."""
+    return items.sparkSession.sparkContext.broadcast([(r["id"], r["text"]) for r in items.distinct().toLocalIterator()])
 
 
 def _judge(index: Index, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -206,62 +213,179 @@ def _judge(index: Index, column: pa.Array) -> Iterator[tuple[int, int, np.ndarra
         yield x, y, np.diff(first), of, a - begin[of], b - begin[of], text, item
 
 
+def _lists(text: np.ndarray, g: np.ndarray, n: int) -> pa.ListArray:
+    """The distinct fingerprints of each of n texts."""
+    order = np.lexsort((g, text))
+    text, g = text[order], g[order]
+    once = np.append(True, (text[1:] != text[:-1]) | (g[1:] != g[:-1]))[: len(g)]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[once], np.arange(n + 1)).astype(np.int32)), pa.array(g[once].view(np.int64)))
+
+
+def _item_prints(items: DataFrame, blocks: int) -> DataFrame:
+    """(block, id, text, size, prints) of distinct items: size counts the words of an item shorter than SPAN, whose only
+    print is that of all its words; longer ones have size 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, offsets = raw(strings(batch.column(2)))
+            for x, y in passes(offsets):
+                h, _, _, first = words(body[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], ALNUM)
+                h, n = _fenced(h, first, 1), np.diff(first)
+                begin = first[:-1] + np.arange(1, y - x + 1)
+                at, g = _winnowed(h)
+                of = np.searchsorted(begin, at, "right") - 1
+                of, g = of[n[of] >= SPAN], g[n[of] >= SPAN]
+                for m in sorted({int(k) for k in n if 0 < k < SPAN}):
+                    own = np.flatnonzero(n == m)
+                    of, g = np.concatenate([of, own]), np.concatenate([g, _hashes(h, begin[own], m)])
+                own = batch.slice(x, y - x)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.where(n < SPAN, n, 0).astype(np.int32)), _lists(of, g, y - x)], names=["block", "id", "text", "size", "prints"])
+
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block")
+    return cut(items.distinct().select(block, "id", "text").mapInArrow(run, "block int, id string, text string, size int, prints array<bigint>"), "benchmark")
+
+
+def _bitmap(prints: DataFrame) -> np.ndarray:
+    """Which low BITMAP_BITS bits the prints g have, as words of 64 bits: 8 MB, whatever the benchmark's size."""
+    low = F.col("g").bitwiseAND((1 << BITMAP_BITS) - 1)
+    parts = prints.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(1 << BITMAP_BITS - 6, np.uint64)
+    out[parts["at"].to_numpy()] = parts["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _scanned(docs: DataFrame, text: str, sizes: list[int], bitmap: np.ndarray) -> DataFrame:
+    """(row, d, n_words, prints) of every row d of docs, written once: its number, word count, and prints in the bitmap."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(bitmap)
+    place = docs.columns.index(text)
+
+    def known(g: np.ndarray) -> np.ndarray:
+        low = g & np.uint64((1 << BITMAP_BITS) - 1)
+        return shared.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1) > 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, offsets = raw(strings(batch.column(1).field(place)))
+            for x, y in passes(offsets):
+                h, _, _, first = words(body[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], ALNUM)
+                h = _fenced(h, first, 0)
+                begin = first[:-1] + np.arange(1, y - x + 1)
+                found = [_winnowed(h)]
+                for m in sizes:
+                    found.append((np.arange(max(0, len(h) - m + 1)), _grams(h, m)))
+                found = [(at[hit], g[hit]) for at, g in found for hit in (known(g),)]
+                at, g = (np.concatenate(c) for c in zip(*found, strict=True))
+                own = batch.slice(x, y - x)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.diff(first).astype(np.int64)), _lists(np.searchsorted(begin, at, "right") - 1, g, y - x)], names=["row", "d", "n_words", "prints"])
+
+    kind = T.StructType([T.StructField("row", T.LongType()), T.StructField("d", docs.schema), T.StructField("n_words", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType()))])
+    return cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("d")).mapInArrow(run, kind), "scanned")
+
+
+def _joined(docs: DataFrame, text: str, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Scanned docs, and (row, spans, items) of those with hits, for a benchmark of any size."""
+    items = _item_prints(items, -(-size // BLOCK_BYTES))
+    prints = items.select("block", F.explode("prints").alias("g"))
+    sizes = [r["size"] for r in items.filter("size > 0").select("size").distinct().orderBy("size").collect()]
+    scanned = _scanned(docs, text, sizes, _bitmap(prints))
+    asked = scanned.filter("size(prints) > 0")
+    # A print that many documents share is met in SALTS tasks; pairs are made distinct before they meet again.
+    left = asked.select("row", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"), F.explode("prints").alias("g"))
+    right = prints.distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = cut(left.join(right, ["g", "salt"]).select("row", "block").distinct(), "pairs")
+    texts = pairs.join(asked.select("row", F.coalesce(F.col("d").getField(text), F.lit("")).alias("text")), "row")
+    # Each block of items goes to as many tasks as its candidates fill.
+    shares = pairs.join(asked.select("row", F.octet_length(F.coalesce(F.col("d").getField(text), F.lit(""))).alias("n")), "row").groupBy("block").agg((F.sum("n") / TASK_BYTES).cast("int").alias("more"))
+    shares = cut(shares, "shares")
+    given = items.join(shares, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("share"), F.lit(False).alias("asks"), F.lit(None).cast("long").alias("row"), "id", "text")
+    asks = texts.join(shares, "block").select("block", F.pmod(F.xxhash64("row"), F.col("more") + 1).cast("int").alias("share"), F.lit(True).alias("asks"), "row", F.lit(None).cast("string").alias("id"), "text")
+    names = ["row", "spans", "items"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, index, ids = None, [], None, None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
+            for x, y in itertools.pairwise([*_edges(keys), batch.num_rows]):
+                block, share, asking = keys[:, x].tolist()
+                own = batch.slice(x, y - x)
+                if (block, share) != at:
+                    at, held, index = (block, share), [], None
+                if not asking:
+                    held += zip(own.column(4).to_pylist(), own.column(5).to_pylist(), strict=True)
+                    continue
+                if index is None:
+                    index, held = Index(held), []
+                    ids = pa.array(index.ids, pa.string())
+                for a, b, _, spans, hit in _found(index, ids, own.column(5)):
+                    yield pa.RecordBatch.from_arrays([own.column(3).slice(a, b - a), spans, hit], names=names)
+
+    both = given.unionByName(asks).repartition("block", "share").sortWithinPartitions("block", "share", "asks")
+    found = both.mapInArrow(run, "row bigint, spans array<struct<start:int,end:int>>, items array<string>").filter("size(spans) > 0")
+    whole = F.array_sort(F.flatten(F.collect_list("spans")))
+    # A span goes on from those before it if it begins where none of them has ended.
+    merged = F.aggregate(
+        whole, F.array().cast("array<struct<start:int,end:int>>"),
+        lambda acc, s: F.when(
+            (F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]),
+            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
+        ).otherwise(F.concat(acc, F.array(s))),
+    )
+    out = found.groupBy("row").agg(merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return scanned, out
+
+
+def _edges(keys: np.ndarray) -> list[int]:
+    """Where runs of equal columns begin."""
+    return np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))[: keys.shape[1]]).tolist()
+
+
+def _found(index: Index, ids: pa.Array, column: pa.Array) -> Iterator[tuple[int, int, pa.Array, pa.Array, pa.Array]]:
+    """Of each pass: its rows, and their word counts, spans and items."""
+    for x, y, n, of, a, b, text_of, hit in _judge(index, strings(column)):
+        bounds = [pa.array(np.searchsorted(k, np.arange(y - x + 1)).astype(np.int32)) for k in (of, text_of)]
+        spans = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["start", "end"])
+        yield x, y, pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(bounds[0], spans), pa.ListArray.from_arrays(bounds[1], ids.take(pa.array(hit)))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """(key, n_words, spans, items) of every row of docs: merged runs of hit words as (start, end), and the items hit."""
-    spark = docs.sparkSession
-    ship(spark)
-    kind = dict(docs.dtypes)[key]
-    schema = f"row bigint, {key} {kind}, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), key, text)
-
-    def over(block: list[tuple[str, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
-            ids = pa.array(index.ids, pa.string())
-            for batch in batches:
-                for x, y, n, of, a, b, text_of, hit in _judge(index, strings(batch.column(2))):
-                    bounds = [pa.array(np.searchsorted(k, np.arange(y - x + 1)).astype(np.int32)) for k in (of, text_of)]
-                    spans = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["start", "end"])
-                    own = batch.slice(x, y - x)
-                    yield pa.RecordBatch.from_arrays(
-                        [own.column(0), own.column(1), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(bounds[0], spans), pa.ListArray.from_arrays(bounds[1], ids.take(pa.array(hit)))],
-                        names=["row", key, "n_words", "spans", "items"],
-                    )
-
-        return rows.mapInArrow(run, schema)
-
-    found = [over(block) for block in _blocks(benchmark, item, text)]
-    out = functools.reduce(DataFrame.unionByName, found)
-    if len(found) > 1:
-        merged = F.aggregate(
-            F.array_sort(F.flatten(F.collect_list("spans"))),
-            F.array().cast("array<struct<start:int,end:int>>"),
-            lambda acc, s: F.when(
-                (F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]),
-                F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
-            ).otherwise(F.concat(acc, F.array(s))),
-        )
-        out = out.groupBy("row", key).agg(F.max("n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return out.drop("row")
+    ship(docs.sparkSession)
+    rows = docs.select(key, text)
+    items, size = _items(benchmark, item, text)
+    if size > BLOCK_BYTES:
+        scanned, found = _joined(rows, text, items, size)
+        out = scanned.select("row", F.col("d").getField(key).alias(key), "n_words").join(found, "row", "left")
+        none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+        return out.select(key, "n_words", none("spans", "array<struct<start:int,end:int>>"), none("items", "array<string>"))
+    shared = _whole(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(shared.value)
+        ids = pa.array(index.ids, pa.string())
+        for batch in batches:
+            for x, y, *columns in _found(index, ids, batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), *columns], names=[key, "n_words", "spans", "items"])
+
+    return rows.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
     """The rows of docs, all columns, that share no counting run with any item."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
+    items, size = _items(benchmark, item, "text")
+    if size > BLOCK_BYTES:
+        scanned, found = _joined(docs, text, items, size)
+        return scanned.join(found.select("row"), "row", "left_anti").select("d.*")
+    shared = _whole(items)
     place = docs.columns.index(text)
-    for block in _blocks(benchmark, item, "text"):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
-            for batch in batches:
-                for x, y, _, of, *_ in _judge(index, strings(batch.column(place))):
-                    keep = np.ones(y - x, bool)
-                    keep[of] = False
-                    yield batch.slice(x, y - x).filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(shared.value)
+        for batch in batches:
+            for x, y, _, of, *_ in _judge(index, strings(batch.column(place))):
+                keep = np.ones(y - x, bool)
+                keep[of] = False
+                yield batch.slice(x, y - x).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

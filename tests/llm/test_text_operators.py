@@ -16,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyloom.llm import bpe, decontaminate, lm, quality, sstable
+from storyloom.llm.common import ALNUM, raw, words
 from storyloom.llm.queries import tokenizer
 from tests.llm.data import LOWER, frame, spaced, texts
 
@@ -195,6 +196,104 @@ def test_decontamination(spark):
     assert decontaminate.find(df, bf.limit(0)).filter("size(spans) > 0").count() == 0 and decontaminate.find(df.limit(0), bf).count() == 0
 
 
+def test_large_benchmark_is_as_a_small_one(spark, monkeypatch):
+    r = random.Random(8)
+    bench = [(f"i{k}", " ".join(r.choices("abcdefghij", k=r.randrange(1, 40))), k, "x") for k in range(300)] + [(None, "one two three four five six seven eight nine ten eleven", 1, "x")] * 3
+    passage = " ".join(t for _, t, _, _ in bench[:120])
+    docs = [(k % 90 or None, " ".join(r.choices("abcdefghijk", k=50)) + (" " + passage if k % 3 == 0 else ""), k, "d", k, "p") for k in range(400)] + [(7, None, 1, "d", 1, "p"), (7, "", 1, "d", 1, "p"), (8, "ONE two, three four five six seven eight nine ten eleven!", 1, "d", 1, "p")]
+    bf = spark.createDataFrame(bench, "item_id string, text string, block int, asks string")
+    df = spark.createDataFrame(docs, "doc_id long, text string, row int, d string, block int, prints string").repartition(7)  # a third holds one passage
+    key = lambda x: (x["doc_id"], x["n_words"], tuple(map(tuple, x["spans"])), tuple(x["items"]))
+    want, kept = Counter(map(key, decontaminate.find(df, bf).collect())), Counter(decontaminate.clean(df, bf).collect())
+    assert 0 < kept.total() < len(docs) and want.total() == len(docs)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1_000)
+    monkeypatch.setattr(decontaminate, "TASK_BYTES", 20_000)
+    assert Counter(map(key, decontaminate.find(df, bf).collect())) == want
+    got = decontaminate.clean(df, bf)
+    assert got.columns == df.columns and Counter(got.collect()) == kept
+    assert decontaminate.find(df.limit(0), bf).count() == 0
+
+
+def plain_features(text: str) -> set[int]:
+    """A text's features by loops; only the hash of a single word comes from the library."""
+    data = (text or "").encode()
+    tokens = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", data.translate(LOWER))
+    hashed = lambda w: int(words(np.frombuffer(w, np.uint8), np.array([0, len(w)]), ALNUM)[0][0])
+    out = [0, *{hashed(w) % 2**quality.BITS for w in set(tokens)}]
+    slots = len(out) - 1
+    size = max(1, len(data))
+    shares = [sum(65 <= b <= 90 for b in data) / size, sum(48 <= b <= 57 for b in data) / size, sum(b in b"!#$%&*<>=@[]^_{|}~/\\+" for b in data) / size, 1 - slots / max(1, len(tokens))]
+    for k, x in enumerate(shares):
+        out += [(level + 1 + 16 * k) * 2654435761 % 2**quality.BITS for level in range(min(15, int(math.sqrt(x) * 16)))]
+    return sorted(out)
+
+
+def test_quality_features_are_the_plain_ones():
+    given = ["", "Hello WORLD 123 !!", "a a a b", "\u00e9t\u00e9 \u00c9T\u00c9 x1y2", *(t or "" for _, t in texts()[:60])]
+    slots, bounds = quality.features(*raw(pa.array(given, pa.large_string())))
+    assert [sorted(slots[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)] == [plain_features(t) for t in given]
+
+
+def plain_fit(rows: list[list[int]], grades: list[int]) -> tuple[dict[int, float], float, float]:
+    """Weights and thresholds by loops over rows and features."""
+    n, sigmoid = len(rows), lambda x: 1 / (1 + math.exp(-x)) if x > -700 else 0.0
+    logit = lambda q: math.log(q / (1 - q))
+    below = [min(max(sum(g <= k for g in grades) / n, 1e-4), 1 - 1e-4) for k in (0, 1)]
+    low, gap = logit(below[0]), math.log(max(logit(below[1]) - logit(below[0]), 1e-2))
+    z, squares, w, sums, order = Counter(), Counter(), Counter(), [1.0, 1.0], np.random.default_rng(7)
+    for _ in range(quality.EPOCHS):
+        for lot in np.array_split(order.permutation(n), max(1, n // quality.STEP)):
+            g, by_low, by_high = Counter(), 0.0, 0.0
+            for i in lot.tolist():
+                score = sum(w[f] for f in rows[i])
+                y, high = grades[i], low + math.exp(gap)
+                up = 1.0 if y == 2 else sigmoid((low, high)[y] - score)
+                down = 0.0 if y == 0 else sigmoid((low, high)[y - 1] - score)
+                p = max(up - down, 1e-9)
+                for f in rows[i]:
+                    g[f] += 1 - up - down  # (up (1 - up) - down (1 - down)) / p
+                by_low += -up * (1 - up) / p if y == 0 else down * (1 - down) / p if y == 1 else 0
+                by_high += -up * (1 - up) / p if y == 1 else down * (1 - down) / p if y == 2 else 0
+            for f, x in g.items():
+                new = squares[f] + x * x
+                z[f] += x - (math.sqrt(new) - math.sqrt(squares[f])) / quality.ALPHA * w[f]
+                squares[f] = new
+                over = abs(z[f]) - quality.L1 * math.sqrt(n)
+                w[f] = -math.copysign(over, z[f]) / ((1 + math.sqrt(new)) / quality.ALPHA + quality.L2) if over > 0 else 0.0
+            steps = [by_low + by_high, by_high * math.exp(gap)]
+            sums = [s + x * x for s, x in zip(sums, steps, strict=True)]
+            low, gap = low - 0.5 * steps[0] / math.sqrt(sums[0]), gap - 0.5 * steps[1] / math.sqrt(sums[1])
+    return w, low, low + math.exp(gap)
+
+
+def test_quality_fit_and_scores_are_the_plain_ones(spark):
+    r = random.Random(4)
+    docs = [(k, " ".join(r.choices(("bad worse awful", "dull plain grey", "good better best")[k % 3].split() + ["the", "a", "of"], k=r.randrange(1, 12)))) for k in range(300)]
+    copies = [(0, f"BAD {k} " * 3) for k in range(150)]  # one doc_id on a third of the rows, each with a text of its own
+    labels = [(k, int(k % 3 == 2), int(k % 3 == 0)) for k in range(300)] + [(5, 0, 1), (None, 1, 1), (999, 1, 0)]
+    df = frame(spark, docs + copies)
+    model = quality.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    hashed = {x["text"]: x["h"] for x in df.filter("doc_id = 0").select("text", F.xxhash64("text").alias("h")).collect()}
+    chosen = dict(docs) | {0: min(hashed, key=hashed.get)}
+    grades = [0 if k == 5 else k % 3 for k in range(300)]
+    w, low, high = plain_fit([plain_features(chosen[k]) for k in range(300)], grades)
+    assert model.thresholds == pytest.approx([low, high], abs=1e-6) and low < high
+    assert {k for k, x in w.items() if abs(x) > 1e-6} == set(np.flatnonzero(np.abs(model.weights) > 1e-6).tolist()) != set()
+    assert all(model.weights[k] == pytest.approx(x, abs=1e-5) for k, x in w.items())
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    got = quality.score(df, model).collect()
+    plain = [[sigmoid(sum(w[f] for f in plain_features(t)) - c) for c in (low, high)] for _, t in docs + copies]
+    assert Counter((x["doc_id"], round(x["p_good"], 3), round(x["p_poor_or_better"], 3)) for x in got) == Counter((k, round(b, 3), round(a, 3)) for (k, _), (a, b) in zip(docs + copies, plain, strict=True))
+
+
+@pytest.mark.parametrize("toxic, quality_", [(1, 0), (0, 0), (0, 1)])
+def test_quality_of_one_class(spark, toxic, quality_):
+    docs = frame(spark, [(k, f"word{k} text") for k in range(50)])
+    model = quality.fit(docs, spark.createDataFrame([(k, quality_, toxic) for k in range(50)], "doc_id long, quality int, toxic int"))
+    assert np.isfinite(model.thresholds).all() and model.thresholds[0] < model.thresholds[1]
+    assert {x["keep"] for x in quality.score(docs, model).collect()} == {quality_ == 1}
+
+
 def test_quality(spark):
     sf_dir = "/root/testdata/sf0.01"  # the smallest has too few labels to learn from
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
