@@ -95,6 +95,45 @@ def test_neighbours(spark):
     assert neighbours.search(few).count() == 3 and neighbours.search(few.limit(0)).count() == 0
 
 
+def test_neighbours_over_many_leaves(spark, monkeypatch):
+    """A third of all rows have one vector and another sixth are near it; each query meets few of over 50 leaves."""
+    monkeypatch.setattr(neighbours, "INDEX_ROWS", 40)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 7)
+    r = np.random.default_rng(6)
+    centres = 4 * r.standard_normal((60, 16))
+    v = centres[r.integers(0, 60, 6000)] + 0.3 * r.standard_normal((6000, 16))
+    v[r.permutation(6000)[:3000]] = v[0]
+    near = r.permutation(6000)[:1000]
+    v[near] = v[0] + 1e-3 * r.standard_normal((1000, 16))
+    df = spark.createDataFrame([(k, x.tolist(), "a", True, 1, 2) for k, x in enumerate(v)], "vec_id long, embedding array<double>, id string, asks boolean, leaf int, v int")
+    visits, real = [], neighbours._answers
+
+    def counted(index, asked, sizes, d, k):
+        visits.append((len(sizes), asked.count()))
+        return real(index, asked, sizes, d, k)
+
+    monkeypatch.setattr(neighbours, "_answers", counted)
+    got = defaultdict(list)
+    for x in neighbours.search(df, every=20).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((x["vec_id"], x["score"]))
+    (leaves, own), (_, more) = visits
+    assert own == 300 and leaves >= 50 and 0 < more < own * leaves / 3
+    hit = 0
+    for q in range(0, 6000, 20):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(6000), d))[:10]
+        if d[best[-1]] == 0:  # equal vectors are found without fail, by least vec_id
+            assert [i for i, _ in got[q]] == best.tolist()
+        hit += len({i for i, _ in got[q]} & set(best.tolist()))
+        assert len(got[q]) == 10 and np.allclose([s for _, s in got[q]], d[[i for i, _ in got[q]]], atol=1e-12)
+    assert hit / 3000 >= 0.97
+
+
+def test_reach_is_the_inverse():
+    assert abs(neighbours.chi_square(neighbours.reach(0.9)) - 0.9) < 1e-9 and neighbours.reach(0.9) < neighbours.reach(0.99)
+
+
 def sets_of(rows):
     for d, t in rows:
         w = spaced(t)
