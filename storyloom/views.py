@@ -93,9 +93,9 @@ SUPPLIER_VOICES = "SELECT DISTINCT 'engine' || CAST(s_nationkey % 4 AS STRING) A
 TABLES = ("conversations", "events", "documents", "orders", "customer", "supplier")
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A view over the tables of a folder."""
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
+def view(spark: SparkSession, sf_dir: str, sql: str, **given: DataFrame) -> DataFrame:
+    """A view over the tables of a folder, or those given."""
+    used = {t: given[t] if t in given else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
     return spark.sql(sql, **used)
 
 

@@ -14,3 +14,16 @@ def test_roster_canonical_meets_segments_not_customers(spark, sf_dir):
     df = QUERIES["roster_canonical"](spark, sf_dir)
     assert "Aggregate [c_nationkey" in plan(df)
     assert differences(df, connect(sf_dir), ORACLE_SQL["roster_canonical"]) == ""
+
+
+def test_profile_issues_meets_two_suppliers_a_group(spark, sf_dir):
+    from storyloom.operators import casting
+
+    df = QUERIES["profile_issues"](spark, sf_dir)
+    assert "Window" in plan(df)
+    assert differences(df, connect(sf_dir), ORACLE_SQL["profile_issues"]) == ""
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    aliases = frame([("a", p) for p in "QRS"] + [("A ", "R"), ("q", "Q"), ("r", "Q"), ("r", "R"), ("s", None), ("t", "X"), ("t", "X")], "alias string, profile string")
+    got = casting.profile_issues(frame([(1, p, "e", "v") for p in "QRST"], "rank int, profile string, engine string, voice string"), aliases, frame([("e", "v")], "engine string, voice string"))
+    assert "count(" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == [("alias_is_profile", "r"), ("alias_is_profile", "t"), ("alias_shared", "a"), ("alias_shared", "r")]
