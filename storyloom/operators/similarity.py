@@ -8,6 +8,7 @@ batches: a bit for each character of one string, one step for each character of
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from storyloom.operators.aliases import shortened
-from storyloom.storage import ship
+from storyloom.operators.aliases import lengths, shortened
+from storyloom.storage import cut, ship
 
 #: Deletions up to which strings meet by what deletions leave of them.
 MOST = 3
@@ -88,25 +89,57 @@ def common_length(a: Column, b: Column) -> Column:
     return measured(a, b)
 
 
-def indel_pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ratio): of distinct strings a of left and b of right, all pairs whose ratio reaches percent; nulls have none."""
-    ship(left.sparkSession)
-    left, right = (df.select(c).filter(F.col(c).isNotNull()).distinct() for df, c in ((left, "a"), (right, "b")))
+def _reach(percent: int) -> tuple[int, int, Callable[[int, int], int | None]]:
+    """The longest strings that meet by what deletions leave; the least length of longer ones' partners; and how many
+    characters two strings of such lengths must have in common."""
     most = lambda n: n * (200 - 2 * percent) // (200 - percent)
     longest = next(n for n in itertools.count(1) if most(n + 1) > MOST)
-    own = lambda c: F.floor(F.length(c) * (200 - 2 * percent) / (200 - percent) + 1e-9)
-    enough = lambda n: 2 * 100 * n >= percent * (F.length("a") + F.length("b"))
-    sides = [shortened(df.filter(F.length(c) <= longest), c, MOST, own(c)).withColumnRenamed("kept", f"kept_{c}") for df, c in ((left, "a"), (right, "b"))]
-    short = sides[0].join(sides[1], "variant").filter(enough(F.col("kept_a"))).select("a", "b")
-    # The partner of a longer string is not much shorter itself.
-    least = (longest + 1) * percent // (200 - percent)
+    return longest, (longest + 1) * percent // (200 - percent), lambda n, m: -(-percent * (n + m) // 200) if max(n, m) <= longest else None
+
+
+def _long_pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that may reach percent, of which one at least is too long to meet by what deletions leave."""
+    longest, least, _ = _reach(percent)
     beyond = lambda df, c, n: df.filter(F.length(c) > n)
     rate = 1 - percent / 100
-    long = piece_pairs(beyond(left, "a", longest), beyond(right, "b", least - 1), rate).unionByName(piece_pairs(beyond(left, "a", least - 1), beyond(right, "b", longest), rate))
-    met = short.unionByName(long).distinct().filter(200 * F.least(F.length("a"), F.length("b")) >= percent * (F.length("a") + F.length("b")))
-    measured = met.withColumn("common", common_length(F.col("a"), F.col("b"))).filter(enough(F.col("common")))
+    # The partner of a longer string is not much shorter itself.
+    return piece_pairs(beyond(left, "a", longest), beyond(right, "b", least - 1), rate).unionByName(piece_pairs(beyond(left, "a", least - 1), beyond(right, "b", longest), rate))
+
+
+def _measured(met: DataFrame, percent: int) -> DataFrame:
+    met = met.distinct().filter(200 * F.least(F.length("a"), F.length("b")) >= percent * (F.length("a") + F.length("b")))
     total = F.length("a") + F.length("b")
-    return measured.select("a", "b", F.when(total == 0, 1.0).otherwise(2 * F.col("common") / total).alias("ratio"))
+    rows = met.withColumn("common", common_length(F.col("a"), F.col("b"))).filter(200 * F.col("common") >= percent * total)
+    return rows.select("a", "b", F.when(total == 0, 1.0).otherwise(2 * F.col("common") / total).alias("ratio"))
+
+
+def indel_pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ratio): of distinct strings a of left and b of right, all pairs whose ratio reaches percent; nulls have none."""
+    ship(left.sparkSession)
+    left, right = (cut(df.select(c).filter(F.col(c).isNotNull()).distinct(), "names") for df, c in ((left, "a"), (right, "b")))
+    kept = _reach(percent)[2]
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = [shortened(df, c, lengths(other, d), kept).repartition(parts, "variant") for df, c, other, d in ((left, "a", right, "b"), (right, "b", left, "a"))]
+    # A variant may have been made for a partner of another length.
+    short = sides[0].join(sides[1], "variant").filter(200 * F.length("variant") >= percent * (F.length("a") + F.length("b"))).select("a", "b")
+    return _measured(short.unionByName(_long_pairs(left, right, percent)), percent)
+
+
+def linked(strings: DataFrame, percent: int) -> DataFrame:
+    """(tile, node): tiles that join distinct strings (a) as pairs whose ratio reaches percent do, without all those pairs.
+
+    Strings that share a variant reach percent with the shortest of them, if it is long enough for both: so each of its
+    strings is tied to that one, and two others that reach percent are joined by it."""
+    ship(strings.sparkSession)
+    own = cut(strings.select("a").filter("a IS NOT NULL").distinct(), "names")
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = shortened(own, "a", lengths(own, "a"), _reach(percent)[2]).repartition(parts, "variant")
+    held = rows.groupBy("variant").agg(F.collect_list("a").alias("all"), F.min(F.struct(F.length("a").alias("n"), F.col("a"))).alias("low")).filter(F.size("all") > 1)
+    tied = held.select("variant", "low", F.explode("all").alias("node")).filter(200 * F.length("variant") >= percent * (F.col("low.n") + F.length("node")))
+    pairs = tied.select(F.col("low.a").alias("a"), F.col("node").alias("b")).filter("a <> b")
+    long = _measured(_long_pairs(own, own.withColumnRenamed("a", "b"), percent), percent).select("a", "b").filter("a < b")
+    pairs = cut(pairs.unionByName(long).distinct(), "linked")
+    return pairs.select(F.col("a").alias("tile"), F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def piece_pairs(left: DataFrame, right: DataFrame, rate: float) -> DataFrame:

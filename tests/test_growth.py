@@ -27,3 +27,36 @@ def test_profile_issues_meets_two_suppliers_a_group(spark, sf_dir):
     got = casting.profile_issues(frame([(1, p, "e", "v") for p in "QRST"], "rank int, profile string, engine string, voice string"), aliases, frame([("e", "v")], "engine string, voice string"))
     assert "count(" not in plan(got)
     assert sorted(map(tuple, got.collect())) == [("alias_is_profile", "r"), ("alias_is_profile", "t"), ("alias_shared", "a"), ("alias_shared", "r")]
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edit_candidates_are_the_nearest(spark):
+    import random
+
+    from storyloom.operators import aliases
+
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("ab1") for _ in range(r.randint(1, 6)))
+    names, roster = sorted({word() for _ in range(80)} | {"customer 0000000000000012", "zzzzzzzzz"}), sorted({word() for _ in range(50)} | {f"customer 00000000000000{k:02}" for k in range(100) if k != 12} | {"customer 0000000000000012ab"})
+    frame = lambda rows, c: spark.createDataFrame([(x,) for x in rows], f"{c} string")
+    m, c = frame(names, "normalized"), frame(roster, "canonical")
+
+    def score(a, b):
+        return 1.0 if a == b else min(1 - levenshtein(a, b) / (len(a) + 1) + 0.05 * (b.startswith(a) or b.endswith(a)), 1.0)
+
+    want = {}
+    for a in names:
+        near = [(-score(a, b), b) for b in roster if levenshtein(a, b) <= 2]
+        if near:
+            want[a] = (min(near)[1], round(-min(near)[0], 9))
+    assert {x["normalized"]: (x["canonical"], round(x["score"], 9)) for x in aliases.edit_scores(m, c).collect()} == want
+    # Of a hundred names within two edits, those within one and the one that begins alike.
+    assert aliases.edit_candidates(m, c).filter("normalized LIKE 'customer%'").count() == 19
