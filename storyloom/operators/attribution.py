@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from storyloom.functions import text as T
 from storyloom.operators import cues
 from storyloom.operators.blocks import paragraph_offsets
-from storyloom.operators.similarity import indel_pairs
+from storyloom.operators.similarity import indel_pairs, linked
 from storyloom.storage import cut
 
 # Cue patterns and titles.
@@ -171,10 +171,8 @@ def similar_names(names: DataFrame, percent: int = 90) -> DataFrame:
     from storyloom.operators.graph import components
 
     own = names.select("name").distinct().withColumn("k", F.lower("name"))
-    near = indel_pairs(own.select(F.col("k").alias("a")), own.select(F.col("k").alias("b")), percent)
-    # Each pair once, and found once: components read them several times. Names without a pair are their own group.
-    close = cut(near.select("a", "b").filter("a < b"), "similar-names")
-    tiles = close.select(F.struct("a", "b").alias("tile"), F.explode(F.array("a", "b")).alias("node"))
+    # Names without a partner are their own group.
+    tiles = linked(own.select(F.col("k").alias("a")), percent)
     grouped = own.join(components(tiles).withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     head = grouped.groupBy("root").agg(F.min_by("name", F.struct(-F.length("name"), F.col("name"))).alias("canonical"))
     return grouped.join(head, "root").select("name", "canonical")
