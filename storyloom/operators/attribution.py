@@ -53,7 +53,9 @@ def contexts(spans: DataFrame, paras: DataFrame) -> DataFrame:
     speech = F.col("type").isin("Dialogue", "Thought")
     order = Window.partitionBy("chapter_index").orderBy("start", "end", "id")
     placed = spans.withColumn("floor", F.max(F.when(speech, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    placed = placed.withColumn("ceiling", F.first(F.when(speech, F.col("start")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    # From the end, as a frame up to the end is read again for every span.
+    back = Window.partitionBy("chapter_index").orderBy(F.desc("start"), F.desc("end"), F.desc("id"))
+    placed = placed.withColumn("ceiling", F.last(F.when(speech, F.col("start")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     kept = placed.filter(speech).groupBy("chapter_index", "para_index").agg(F.collect_list(F.struct("id", "type", "start", "end", "floor", "ceiling")).alias("own"))
     # Paragraphs are placed among their neighbours before those without speech go.
     rows = surroundings(paragraph_offsets(paras)).join(kept, ["chapter_index", "para_index"]).withColumn("parts", cues.pieces(F.col("para")))

@@ -95,35 +95,43 @@ def within(parts: Column, start: Column, end: Column) -> Column:
 def clip_after(c: Column) -> Column:
     """What follows a span, up to a blank line, a quotation mark and the second sentence end."""
     line = F.substring_index(c, "\n\n", 1)
-    unquoted = F.regexp_extract(line, r'\A[^"“]*', 0)
+    unquoted = F.substring_index(F.substring_index(line, '"', 1), "“", 1)
     return F.regexp_extract(unquoted, rf"\A(?:[^.?!]*[.?!]){{{SENTENCES}}}|\A(?s:.*)", 0)
 
 
 def clip_before(c: Column) -> Column:
     """What precedes a span, from a blank line, a quotation mark and, of more than two sentence ends, the last but one."""
     line = F.substring_index(c, "\n\n", -1)
-    unquoted = F.regexp_extract(line, r'[^"”]*\z', 0)
+    unquoted = F.substring_index(F.substring_index(line, '"', -1), "”", -1)
     ends = F.regexp_count(unquoted, F.lit("[.?!]"))
     tail = r"[^.?!]*" + r"[.?!][^.?!]*" * (SENTENCES - 1) + r"\z"
-    return F.when(ends > SENTENCES, F.regexp_extract(unquoted, tail, 0)).otherwise(unquoted)
+    # Anchored at the start, as a search for the tail tries every place.
+    return F.when(ends > SENTENCES, F.regexp_extract(unquoted, rf"(?s)\A.*[.?!]({tail})", 1)).otherwise(unquoted)
 
 
 def _found(c: Column, pattern: str, groups: int) -> Column:
     """Matches in order: (start, g0, g1, ...), start from 0."""
-    gaps = F.split(c, pattern, -1)
-    whole = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    # One pass marks each match and parts its groups. Splitting by the pattern would compile it for every text, which
+    # takes longer than matching. No pattern here tells control characters apart, so the text's own marks may change.
+    names = [f"g{k}" for k in range(groups + 1)]
+    marked = F.regexp_replace(F.replace(F.replace(c, F.lit("\u0001"), F.lit("\u0003")), F.lit("\u0002"), F.lit("\u0003")), pattern, "\u0001" + "".join(f"${k}\u0002" for k in range(groups + 1)))
+    # After the first gap, each part holds a match, its groups and the gap after it.
+    parts = F.transform(F.split(marked, "\u0001", -1), lambda p: F.split(p, "\u0002", -1))
     # One fold carries how far the text has been read.
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x["gap"]) + F.length(x["own"])).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + F.length(x["gap"]))).alias("starts"))
-    both = F.zip_with(F.slice(gaps, 1, F.size(whole)), whole, lambda g, w: F.struct(g.alias("gap"), w.alias("own")))
-    starts = F.aggregate(both, none, step, lambda acc: acc["starts"])
-    # A match's groups are read from the match alone, which is short.
-    return F.zip_with(starts, whole, lambda n, w: F.struct(n.alias("start"), w.alias("g0"), *[F.regexp_extract(w, pattern, k).alias(f"g{k}") for k in range(1, groups + 1)]))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<start:int,{','.join(f'{g}:string' for g in names)}>>").alias("found"))
+
+    def step(acc: Column, p: Column) -> Column:
+        own = F.struct(acc["at"].alias("start"), *[F.get(p, F.lit(k)).alias(g) for k, g in enumerate(names)])
+        first = F.size(p) == 1
+        size = F.length(F.get(p, F.lit(0))) + F.when(first, 0).otherwise(F.length(F.get(p, F.lit(groups + 1))))
+        return F.struct((acc["at"] + size).alias("at"), F.when(first, acc["found"]).otherwise(F.concat(acc["found"], F.array(own))).alias("found"))
+
+    return F.aggregate(parts, none, step, lambda acc: acc["found"])
 
 
 def _resolved(c: Column, subject: Column, at: Column) -> Column:
-    """(name, pronoun): a subject's name, for he, she and they the last name before it in the text, else null."""
-    earlier = F.nullif(F.regexp_extract(F.substring(c, F.lit(1), at), _LAST_NAME, 1), F.lit(""))
+    """(name, pronoun): a subject's name, for he, she and they the last name before it in the text, else null or blank."""
+    earlier = F.regexp_extract(F.substring(c, F.lit(1), at), _LAST_NAME, 1)
     pronoun = F.rlike(subject, F.lit(_IS_PRONOUN))
     name = F.when(~pronoun, F.regexp_extract(subject, r"(\S+)\s*\z", 1)).when(F.rlike(subject, F.lit(THIRD)), earlier)
     return F.struct(name.alias("name"), pronoun.alias("pronoun"))
@@ -166,8 +174,8 @@ def nearest(c: Column, to: Column, forward: bool | None) -> Column:
     verb, phrase = least(verbs(c)), least(phrases(c))
 
     def result(m: Column, is_phrase: bool) -> Column:
-        who = _resolved(c, m["subject"], m["subject_at"])
-        return F.when(who["name"].isNotNull(), F.struct(who["name"].alias("name"), who["pronoun"].alias("pronoun"), F.lit(is_phrase).alias("phrase")))
+        who = F.transform(F.array(_resolved(c, m["subject"], m["subject_at"])), lambda w: F.struct(w["name"].alias("name"), w["pronoun"].alias("pronoun"), F.lit(is_phrase).alias("phrase")))
+        return F.get(F.filter(who, lambda w: w["name"] != ""), F.lit(0))
 
     # Bound once each: what follows names them several times.
     both = F.array(F.struct(verb.alias("v"), phrase.alias("p")))

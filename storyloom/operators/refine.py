@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
+from storyloom.operators import cues
 from storyloom.operators.audit import spoken
 
 
@@ -19,8 +20,11 @@ def candidates(spans: DataFrame, threshold: float = 0.90) -> DataFrame:
 
 def prompts(found: DataFrame, chapters: DataFrame, size: int = 480) -> DataFrame:
     """Adds the context (left, mid, right) of each candidate in its chapter's text, and a key of it."""
-    out = found.join(chapters.select("chapter_index", F.col("text").alias("chapter_text")), "chapter_index")
-    out = out.withColumn("c", T.context(F.col("chapter_text"), F.col("start"), F.col("end"), size)).select(*found.columns, "c.left", "c.mid", "c.right")
+    # A candidate reads the pieces around it, not its chapter from the start.
+    out = found.join(chapters.select("chapter_index", cues.pieces(F.col("text")).alias("parts")), "chapter_index")
+    low = F.greatest(F.col("start") - size, F.lit(0))
+    out = out.select(*found.columns, low.alias("low"), cues.within(F.col("parts"), low, F.col("end") + size).alias("around"))
+    out = out.withColumn("c", T.context(F.col("around"), F.col("start") - F.col("low"), F.col("end") - F.col("low"), size)).select(*found.columns, "c.left", "c.mid", "c.right")
     return out.withColumn("key", T.content_key(F.col("type"), F.col("left"), F.col("mid"), F.col("right")))
 
 

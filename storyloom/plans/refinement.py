@@ -52,7 +52,8 @@ def answers(prompts: DataFrame, client: Callable[[str], str], votes: int, tasks:
         for frame in frames:
             yield pd.DataFrame({"key": frame["key"], "n": frame["n"], "answer": [one(p) for p in frame["prompt"]]})
 
-    asked = prompts.select("key", "prompt").dropDuplicates(["key"]).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(votes)))).repartition(tasks)
+    # A prompt is shipped once, to the task that asks it as often as votes says.
+    asked = prompts.select("key", "prompt").repartition(tasks, "key").dropDuplicates(["key"]).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(votes))))
     return cut(asked.mapInPandas(run, "key string, n int, answer string"), "answers")
 
 
@@ -62,10 +63,11 @@ def refine_document(spans: DataFrame, chapters: DataFrame, roster: DataFrame, cl
     spans: (chapter_index, id, type, speaker, method, confidence, start, end, ...); chapters: (chapter_index, text);
     roster: (rank, name). Names that a model gives are taken for the roster's entries that they are like, others are
     Unknown. Of several answers to a prompt the surest counts; the speaker of the span before is a little surer."""
+    spans = cut(spans, "attributed")  # read four times below, and dear to make
     names = roster.groupBy().agg(F.array_sort(F.collect_set("name")).alias("names"))  # what every prompt shows
     keyed = refine.prompts(refine.candidates(spans, options.threshold), chapters, options.context).crossJoin(F.broadcast(names))
     keyed = keyed.withColumn("key", T.content_key(F.array_join("names", "|"), F.col("type"), F.col("left"), F.col("mid"), F.col("right")))
-    keyed = cut(keyed.withColumn("prompt", T.speaker_prompt(F.col("names"), F.col("type"), F.col("left"), F.col("mid"), F.col("right"))), "prompts")
+    keyed = cut(keyed.select("chapter_index", "id", "key", T.speaker_prompt(F.col("names"), F.col("type"), F.col("left"), F.col("mid"), F.col("right")).alias("prompt")), "prompts")
     missing = keyed if cache is None else keyed.join(cache.select("key"), "key", "left_anti")
     said = answers(missing, client, options.votes, options.tasks).filter("answer IS NOT NULL").select("key", parsed(F.col("answer")).alias("a")).select("key", "a.speaker", "a.confidence")
     known = attribution.closest_in_roster(said.select(F.col("speaker").alias("name")), roster).withColumnRenamed("name", "speaker")

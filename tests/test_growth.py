@@ -75,3 +75,62 @@ def test_gram_scores_make_no_task_a_pair_of_packs(spark):
         assert all(r["normalized"] == r["canonical"] for r in got.collect())
     finally:
         aliases.PACK, aliases.BLOCK = before
+
+
+def test_refined_speakers_attributes_once_and_compiles_no_long_pattern(spark, sf_dir, monkeypatch):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from storyloom import views
+    from storyloom.operators import attribution, cues, refine
+    from storyloom.operators import spans as spans_
+    from storyloom.plans import refinement
+
+    shipped, cut = {}, refinement.cut
+
+    def watched(df, name="stage"):
+        shipped[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return cut(df, name)
+
+    monkeypatch.setattr(refinement, "cut", watched)
+    done = plan(QUERIES["refined_speakers"](spark, sf_dir))
+    # The rules' texts are in one plan; what reads their spans, reads a table.
+    assert "rule:thought_cue" in shipped["attributed"] and not any("rule:" in p for p in [done, *(p for n, p in shipped.items() if n != "attributed")])
+    # A prompt is repeated for its votes after it has been shipped.
+    answered = shipped["answers"]
+    assert answered.index("Generate") < answered.index("RepartitionByExpression")
+    # Chapters meet candidates in pieces.
+    assert "Join" in shipped["prompts"] and "regexp_extract_all" in shipped["prompts"].split("Join", 1)[1]
+    tagged = spans_.normalize(views.view(spark, sf_dir, views.PROSE))
+    said = plan(attribution.attribute(spans_.spans(tagged), tagged, spark.createDataFrame([("Holt",)], "name string")))
+    assert "split(right#" not in said and "unboundedfollowing" not in plan(attribution.contexts(spans_.spans(tagged), tagged)).lower()
+
+    texts = ["", None, "x" * 5000, "Holt\u0001 said\u0002 so. \u0001Mara\u0002 went on, cried Layla \u0001", "He said. Quinn said", "said", "😀 Holt said 😀 asked Mara"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    found = {r["k"]: r["f"] for r in df.select("k", cues._found(F.col("t"), cues.CUE, 4).alias("f")).collect()}
+    assert found[1] is None and found[0] == found[2] == []
+    for k in (3, 4, 5, 6):
+        # Whole characters are counted, and the text's own marks count as characters.
+        assert [texts[k][m["start"] : m["start"] + len(m["g0"])] for m in found[k]] == [m["g0"] for m in found[k]]
+        assert [m["g3"] for m in found[k]] == re.findall(r"said|cried|asked", texts[k])
+    assert [(m["g2"], m["g4"]) for m in found[6]] == [("Holt", ""), ("", "Mara")] and found[3][0]["g1"] == ""
+
+    sides = ['a. b" c. d? e! f', 'a "b” c', "a. b\n\nc. d. e. f\ng. ", "", "one. two", '”x. “y. z. w', None]
+    rows = spark.createDataFrame([(t,) for t in sides], "t string").select("t", cues.clip_after(F.col("t")), cues.clip_before(F.col("t"))).collect()
+    for t, after, before in rows:
+        if t is None:
+            assert after is before is None
+            continue
+        tail = re.search(r'[^"”]*\Z', t.split("\n\n")[-1])[0]
+        ends = [m.end() for m in re.finditer("[.?!]", tail)]
+        assert before == (tail[ends[-2] :] if len(ends) > 2 else tail)
+        head = re.match(r'[^"“]*', t.split("\n\n")[0])[0]
+        ends = [m.end() for m in re.finditer("[.?!]", head)]
+        assert after == (head[: ends[1]] if len(ends) > 1 else head)
+
+    text = "".join(chr(97 + k % 26) if k % 7 else "😀" for k in range(5000))
+    places = [(0, 5), (3, 1100), (1023, 1024), (1024, 1025), (2000, 4000), (4990, 5000), (4999, 6000)]
+    asked = spark.createDataFrame([(0, k, "Dialogue", a, b) for k, (a, b) in enumerate(places)], "chapter_index int, id int, type string, start int, end int")
+    got = refine.prompts(asked, spark.createDataFrame([(0, text), (1, None)], "chapter_index int, text string"), 480).orderBy("id").collect()
+    assert [(r["left"], r["mid"], r["right"]) for r in got] == [(text[max(a - 480, 0) : a], text[a:b], text[b : b + 480]) for a, b in places]
